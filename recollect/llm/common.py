@@ -55,17 +55,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def collected_bytes(values: list) -> bytes:
-    return b"".join(values)
-
-
-def steps(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut record batches so that each has at most ``limit`` characters of text, or one row. Null texts become empty."""
+def steps(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = STEP_CHARS, rows: int = 10_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Cut record batches so that each has at most ``limit`` characters of text and ``rows`` rows, or one row. Null texts become empty."""
     for batch in batches:
         texts = [t or "" for t in batch.column(text).to_pylist()]
         start, size = 0, 0
         for i, t in enumerate(texts):
-            if size and size + len(t) > limit:
+            if size and size + len(t) > limit or i - start >= rows:
                 yield batch.slice(start, i - start), texts[start:i]
                 start, size = i, 0
             size += len(t)
@@ -107,3 +103,19 @@ def segment_sums(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros((1, *values.shape[1:]), np.float64 if values.dtype.kind == "f" else np.int64), np.cumsum(values, axis=0)])
     ends = np.cumsum(lens)
     return total[ends] - total[ends - lens]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, dict[int, int]]:
+    """(rows (id, text, label) of at most ``per_class`` documents a class, labelled documents a class).
+
+    Which documents is decided by a hash of their id. Only ids of the sample are broadcast, at most
+    ``2 * per_class``. An id with several labels counts with the highest, one with several texts with the
+    smallest; null ids, labels and labels other than 0 and 1 are left out.
+    """
+    y = F.col(label).cast("int")
+    known = labels.where(F.col(id_col).isNotNull() & y.isin(0, 1)).groupBy(id_col).agg(F.max(y).alias("label"))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    parts = [known.where(F.col("label") == c).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for c in (0, 1)]
+    ids = parts[0].unionByName(parts[1])
+    rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), id_col).groupBy(id_col, "label").agg(F.min("text").alias("text"))
+    return sorted((r[id_col], r["text"], r["label"]) for r in rows.collect()), counts
