@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Functions travel to the executors with their code, so that these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
+
 #: Characters of text that one numpy step handles at once; a longer text is a step of its own.
 STEP_CHARS = 2_000_000
 #: Words kept by a worker's word-to-hash dictionary before it starts anew.

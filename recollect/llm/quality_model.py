@@ -115,13 +115,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score), one row per row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         common = common_hashes(hashes)
         for batch, texts in steps(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(statistics(texts, hashes, common)))], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.score(statistics(texts, hashes, common)))], names=[id_col, "score"])
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
