@@ -8,9 +8,10 @@ from .ngram_join import op8_ngram_join
 from .quality_model import op7_quality_model
 from .quality_rules import op10_quality_rules
 from .secret_scan import op9_secret_scan
+from .sentencepiece_codec import op2_sentencepiece
 from .toxicity import op3_toxicity
 from .url_filter import ORACLE as URL_SQL
 from .url_filter import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_toxicity, op4_katz_lm, op5_language_id, op7_quality_model, op8_ngram_join, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_toxicity, op4_katz_lm, op5_language_id, op7_quality_model, op8_ngram_join, op9_secret_scan, op10_quality_rules)}
 ORACLE_SQL = {"op1_url_filter": URL_SQL}
