@@ -109,9 +109,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from the rows of ``docs`` with a language and a non-empty text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where((F.length("text") > 0) & F.col("lang").isNotNull())
     idf = inverse_frequencies(rows.select("text"))
-    per = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, rows.select("lang").distinct().count())))
+    sizes = rows.groupBy("lang").count()
+    per = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, sizes.count())))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = rows.select("id", "lang").where("id IS NOT NULL").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per).drop("r")
+    # a share of each language by hash leaves some four times the sample, so that no language is ranked whole
+    share = sizes.select("lang", F.least(F.lit(1.0), 4.0 * per / F.col("count")).alias("share"))
+    some = rows.select("id", "lang").where("id IS NOT NULL").join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    picked = some.select("id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per).drop("r")
     sample = rows.join(F.broadcast(picked), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
