@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op6_decontamination
 from .katz_lm import op4_katz_lm
 from .language_id import op5_language_id
 from .ngram_join import op8_ngram_join
@@ -13,5 +14,5 @@ from .toxicity import op3_toxicity
 from .url_filter import ORACLE as URL_SQL
 from .url_filter import op1_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_toxicity, op4_katz_lm, op5_language_id, op7_quality_model, op8_ngram_join, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_toxicity, op4_katz_lm, op5_language_id, op6_decontamination, op7_quality_model, op8_ngram_join, op9_secret_scan, op10_quality_rules)}
 ORACLE_SQL = {"op1_url_filter": URL_SQL}
