@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,9 +109,7 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[REDACTED]") -> D
     """
 
     @F.pandas_udf("string")
-    def masked(batches: Iterator["pd.Series"]) -> Iterator["pd.Series"]:  # noqa: F821
-        import pandas as pd
-
+    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         keywords = automaton()
         for texts in batches:
             out = []
