@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import non_empty, normalize_text
 from ..plugins import extractor
@@ -43,7 +44,7 @@ def chunks(text: str, size: int = MAX_CHARS, overlap: int = OVERLAP, most: int =
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda t: chunks(t) if t else [])

@@ -8,11 +8,13 @@ from ..functions.times import moment
 from ..operators import growth as g
 from ..sources import domain as dom
 
-NOW = moment(dom.AS_OF)
+
+def now():
+    return moment(dom.AS_OF)
 
 
 def _series(s, d, span="week"):
-    return g.growth_series(dom.growth_events(s, d), dom.named_spaces(s), NOW, span)
+    return g.growth_series(dom.growth_events(s, d), dom.named_spaces(s), now(), span)
 
 
 def _areas(s, d):
@@ -22,7 +24,7 @@ def _areas(s, d):
 QUERIES = {
     "growth_series": lambda s, d: _series(s, d),
     "growth_series_hourly": lambda s, d: _series(s, d, "day"),
-    "growth_totals": lambda s, d: g.growth_totals(dom.growth_events(s, d), NOW),
+    "growth_totals": lambda s, d: g.growth_totals(dom.growth_events(s, d), now()),
     "growth_chart_rollup": lambda s, d: g.chart_rollup(_series(s, d)),
     "growth_stack_offsets": lambda s, d: g.stack_offsets(_series(s, d)),
     "areas": _areas,

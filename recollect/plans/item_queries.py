@@ -12,14 +12,17 @@ from ..operators import membership as m
 from ..sources import domain as dom
 from ..sources.readers import accepted_file, first_match, load, lookup
 
-NOW = moment(dom.AS_OF)
+
+def now():
+    return moment(dom.AS_OF)
+
 PAGE = ("en", 7, 157)
 
 
 def _time_ago(s, d):
     recent = load(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_seen"))
     some = recent.withColumn("last_seen", F.when(F.col("user_id") % 7 != 0, F.col("last_seen")))
-    return a.with_time_ago(some, NOW).select("user_id", "ago")
+    return a.with_time_ago(some, now()).select("user_id", "ago")
 
 
 def _codes(s, d):
@@ -50,7 +53,7 @@ QUERIES = {
     "last_seen": lambda s, d: a.last_seen(dom.access_log(s, d)),
     "space_items_page": lambda s, d: m.space_items_page(dom.memory_index(s, d), *PAGE, limit=20).select("memory_id", "created_at"),
     "other_spaces": lambda s, d: m.other_spaces(dom.memory_index(s, d), dom.memory_spaces(s), "en"),
-    "latest_code": lambda s, d: li.latest_code(_codes(s, d), NOW).select("key", "id"),
+    "latest_code": lambda s, d: li.latest_code(_codes(s, d), now()).select("key", "id"),
     "token_resolution": _tokens,
     "grants_after_changes": _grants_after,
     "revoke_connections": lambda s, d: a.revoke(dom.connections(s, d), dom.connections(s, d).where("id % 4 = 0").select("id", F.when(F.col("id") % 8 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id"))).select("id", "revoked"),

@@ -11,7 +11,9 @@ from ..operators import membership as m
 from ..sources import domain as dom
 from ..sources.readers import load
 
-NOW = moment(dom.AS_OF)
+
+def now():
+    return moment(dom.AS_OF)
 
 
 def _new_labels(s, d):
@@ -84,7 +86,7 @@ QUERIES = {
     "toggle_membership": lambda s, d: dom.memory_index(s, d).select("memory_id", F.array_join(toggle(F.col("space_ids"), F.lit("long")), ",").alias("space_ids")),
     "clamp_sets": lambda s, d: dom.memory_index(s, d).select("memory_id", F.array_join(clamp(F.when(F.col("memory_id") % 4 != 0, F.array(F.lit("fr"), F.lit("long"), F.lit("en"), F.lit("fr"))), F.col("space_ids")), ",").alias("effective")),
     "confirmed_candidates": lambda s, d: dom.memory_index(s, d).select("memory_id", F.array_join(confirmed(F.col("space_ids"), F.lit("long , en")), ",").alias("confirmed")),
-    "growth_of_new_items": lambda s, d: ing.growth_of(dom.memory_index(s, d).select("memory_id", "user_id"), load(s, d, "labels").select(F.col("doc_id").alias("memory_id")), NOW).select("id", "user_id", "created_at"),
+    "growth_of_new_items": lambda s, d: ing.growth_of(dom.memory_index(s, d).select("memory_id", "user_id"), load(s, d, "labels").select(F.col("doc_id").alias("memory_id")), now()).select("id", "user_id", "created_at"),
     "job_status": lambda s, d: ing.job_status(load(s, d, "pages").select(F.col("page_id").alias("file_id"), F.when(F.col("page_id") % 3 == 0, F.col("html")).alias("error"), (F.col("page_id") % 4).alias("attempts"))),
 }
 

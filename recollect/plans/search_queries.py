@@ -12,7 +12,10 @@ from ..operators import cluster as k
 from ..operators import search as se
 from ..sources import domain as dom
 
-NOW = moment(dom.AS_OF)
+
+def now():
+    return moment(dom.AS_OF)
+
 HI, LO = 0.30, 0.15
 
 
@@ -57,7 +60,7 @@ QUERIES = {
     "search_denied": _denied,
     "search_response": lambda s, d: se.response(_granted(s, d), dom.items(s, d)).select("request_id", F.size(F.from_json("body", "array<struct<id:long,score:double,spaces:array<string>>>")).alias("n"), F.sha2("body", 256).isNotNull().alias("has_body")),
     "clamped_labels": lambda s, d: _asked(s, d).select("request_id", F.array_join("effective", ",").alias("effective")),
-    "audit_rows": lambda s, d: a.audit_rows(_asked(s, d), _granted(s, d), NOW),
+    "audit_rows": lambda s, d: a.audit_rows(_asked(s, d), _granted(s, d), now()),
     "classify_bands": lambda s, d: c.scores(dom.items(s, d), dom.vector_spaces(s, d), HI, LO).where("band <> 'none'").select("id", "space_id", "score", "band"),
     "classify_assign": lambda s, d: c.assign(dom.items(s, d), dom.vector_spaces(s, d), HI, LO).select("id", F.array_join("space_ids", ",").alias("space_ids")),
     "backfill_topk": lambda s, d: c.backfill(dom.items(s, d), dom.vector_spaces(s, d), 200, HI, LO),

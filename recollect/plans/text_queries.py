@@ -14,7 +14,9 @@ from ..operators import limits as li
 from ..sources import domain as dom
 from ..sources.readers import load
 
-NOW = moment(dom.AS_OF)
+
+def now():
+    return moment(dom.AS_OF)
 
 
 def _hits(s, d):
@@ -36,7 +38,7 @@ def _tries(s, d):
 
 
 def _leads(s, d):
-    return le.normalized(dom.leads(s, d), NOW)
+    return le.normalized(dom.leads(s, d), now())
 
 
 def _export(s, d):
@@ -68,7 +70,7 @@ QUERIES = {
     "ext_of_name": lambda s, d: dom.files(s, d).select("id", t.extension(F.col("name")).alias("ext")),
     "query_marks": lambda s, d: load(s, d, "customer").select("c_custkey", t.query_mark(F.concat("c_name", F.lit(" "), F.repeat("c_mktsegment", 8))).alias("mark"), t.token_key(F.col("c_name")).alias("token_key")),
     "small_texts": lambda s, d: load(s, d, "events").select("event_id", t.digits_only(F.col("props")).alias("digits"), hour_label(F.col("ts")).alias("hour"), t.signed(F.floor("value").cast("long") - 50).alias("signed"), t.pad2(F.hour("ts")).alias("padded")),
-    "countdowns": lambda s, d: load(s, d, "events").select("event_id", countdown(NOW, F.col("ts")).alias("c")).select("event_id", *[F.col(f"c.{x}").cast("long").alias(x) for x in ("days", "hours", "minutes", "seconds")]),
+    "countdowns": lambda s, d: load(s, d, "events").select("event_id", countdown(now(), F.col("ts")).alias("c")).select("event_id", *[F.col(f"c.{x}").cast("long").alias(x) for x in ("days", "hours", "minutes", "seconds")]),
     "status_labels": lambda s, d: load(s, d, "orders").select("o_orderkey", t.labelled(F.col("o_orderstatus"), {"O": "Pendiente", "F": "Indexado"}, "Error").alias("label")),
     "last_break": lambda s, d: load(s, d, "documents").select("doc_id", t.last_index(F.col("text"), "\n").cast("long").alias("at")),
     "progress": lambda s, d: load(s, d, "lineitem").select("l_orderkey", "l_linenumber", ing.progress(F.col("l_linenumber"), F.lit(7)).alias("percent")),

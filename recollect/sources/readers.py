@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import parsed_json
 from ..schemas import MAX_FILE_BYTES, MIME_DOCX, MIME_PDF, MIME_TEXT, schema
@@ -31,10 +32,12 @@ def accepted_file(mime: Column, size: Column) -> Column:
     return F.coalesce(mime.isin(*MIME_TEXT, MIME_PDF, MIME_DOCX) & (size > 0) & (size <= MAX_FILE_BYTES), F.lit(False))
 
 
-@F.udf("string")
+@F.udf(StringType())
 def _document_text(content, mime):
     import io
 
+    if content is None:
+        return None
     if mime == MIME_PDF:
         import pypdf
 
@@ -46,7 +49,7 @@ def _document_text(content, mime):
 
 def parsed_text(content: Column, mime: Column) -> Column:
     """Text of a file's bytes by type. CSV and JSON are text, not tables; an unknown type is an error."""
-    return F.when(mime.isin(*MIME_TEXT), F.decode(content, "UTF-8")).when(mime.isin(MIME_PDF, MIME_DOCX), _document_text(content, mime)).otherwise(F.raise_error(F.concat(F.lit("unsupported type: "), F.coalesce(mime, F.lit("null")))))
+    return F.when(mime.isin(*MIME_TEXT), F.decode(content, "UTF-8")).when(mime.isin(MIME_PDF, MIME_DOCX), _document_text(F.when(mime.isin(MIME_PDF, MIME_DOCX), content), mime)).otherwise(F.raise_error(F.concat(F.lit("unsupported type: "), F.coalesce(mime, F.lit("null")))))
 
 
 MIME_BY_EXTENSION = {"txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "json": "application/json", "pdf": MIME_PDF, "docx": MIME_DOCX}

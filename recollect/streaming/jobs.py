@@ -7,8 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ingest import ingest
 from ..schemas import schema
@@ -52,30 +51,24 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("stream", F.lit("a")).unionByName(b.withColumn("stream", F.lit("b")))
 
 
-class FixedWindow(StatefulProcessor):
-    """Per key: when its window started and how many hits it had; state goes with the window."""
-
-    def __init__(self, limit: int, seconds: int):
-        self.limit, self.span = limit, seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", StructType.fromDDL("start long, n int"), ttlDurationMs=2 * self.span // 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        start, n = self.state.get() if self.state.exists() else (None, 0)
+def limiter_stream(hits: DataFrame, limit: int = 30, seconds: int = 60) -> DataFrame:
+    """hits (key, id, us: microseconds): the fixed-window limit on a stream. Per key the state tells when its window
+    started and how many hits it had; it goes once the key has been silent for two windows."""
+    span = seconds * 1_000_000
+
+    def fold(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, n = state.get if state.exists else (None, 0)
         out = []
-        for us, hit in sorted((int(us), hit) for pdf in rows for us, hit in zip(pdf["us"], pdf["id"], strict=True)):
-            if start is None or us >= start + self.span:
+        for us, hit in sorted((int(us), int(hit)) for pdf in rows for us, hit in zip(pdf["us"], pdf["id"], strict=True)):
+            if start is None or us >= start + span:
                 start, n = us, 0
             n += 1
-            out.append((key[0], hit, n, n <= self.limit))
-        self.state.update((start, n))
+            out.append((key[0], hit, n, n <= limit))
+        state.update((start, n))
+        state.setTimeoutDuration(2 * seconds * 1000)
         yield pd.DataFrame(out, columns=["key", "id", "hit_no", "allowed"])
 
-    def close(self) -> None:
-        pass
-
-
-def limiter_stream(hits: DataFrame, limit: int = 30, seconds: int = 60) -> DataFrame:
-    """hits (key, id, us: microseconds): the fixed-window limit on a stream; needs the RocksDB state store."""
-    return hits.groupBy("key").transformWithStateInPandas(FixedWindow(limit, seconds), outputStructType="key string, id long, hit_no int, allowed boolean", outputMode="append", timeMode="ProcessingTime")
+    return hits.groupBy("key").applyInPandasWithState(fold, "key string, id long, hit_no int, allowed boolean", "start long, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
