@@ -3,24 +3,18 @@
 from __future__ import annotations
 
 import os
-import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Functions travel to the executors with their code, so that these need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
-
 #: Characters of text that one numpy step handles at once; a longer text is a step of its own.
 STEP_CHARS = 2_000_000
-#: Words kept by a worker's word-to-hash dictionary before it starts anew.
-DICT_WORDS = 300_000
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +45,12 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and read it back; that cuts the lineage at a place that survives executors."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEAN, None)
+        try:  # what was shuffled for the table is of no use once it is written
+            self.spark.conf.set(CLEAN, "true")
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
@@ -79,19 +78,41 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash, filled on demand and bounded."""
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) >= DICT_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+def word_hashes(texts: list[str], replace: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some texts (A-Z lower-cased, cut at ASCII white space), and each text's number of words.
+
+    Eight bytes of every word are mixed in at a time, for all words at once. ``replace`` maps each byte to another before that.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    if replace:
+        raw = [r.translate(replace) for r in raw]
+    data = b" ".join(raw).lower()
+    buffer = np.frombuffer(b" " + data + b" " * 9, np.uint8)
+    gap = GAP[buffer[: len(data) + 2]]
+    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1  # starts and ends in turn
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    limits = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1) + 1
+    lens = np.diff(np.searchsorted(starts, limits), prepend=0)
+    eight = np.ndarray((len(buffer) - 7,), "<u8", buffer=buffer, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = mix(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (eight[starts] & LOW_BYTES[np.minimum(sizes, 8)]))
+        for k in range(8, LONG_WORD, 8):
+            more = np.flatnonzero(sizes > k)
+            if not len(more):
+                break
+            h[more] = mix(h[more] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[starts[more] + k] & LOW_BYTES[np.minimum(sizes[more] - k, 8)]))
+    long = np.flatnonzero(sizes > LONG_WORD)
+    if len(long):
+        import xxhash
 
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        h[long] = [xxhash.xxh3_64_intdigest(data[s - 1 : s - 1 + n]) for s, n in zip(starts[long].tolist(), sizes[long].tolist(), strict=True)]
+    return h, lens
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, crc_mod, mix, steps, table, words_of
+from .common import Scratch, crc_mod, mix, steps, table, word_hashes
+from .packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 
 #: Tokens of a segment, and keys of a bucket, about.
 SEGMENT, BUCKET = 1_000_000, 1_000_000
@@ -36,37 +37,6 @@ GT = 5
 END, START = np.uint64(1), np.uint64(2)
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Bytes of an array by place value, compressed."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()) if len(a) else b""
-
-
-def unpack(blob: bytes, dtype) -> np.ndarray:
-    import zstandard
-
-    if not blob:
-        return np.zeros(0, dtype)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).ravel()
-
-
-def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=np.uint64(0)))
-
-
-def unpack_sorted(blob: bytes) -> np.ndarray:
-    return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
-
-
-def bucket_edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where in sorted keys each of the equal hash ranges starts, and the end."""
-    limits = np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, limits), [len(keys)]]).astype(np.int64)
-
-
 def discounts(counts: np.ndarray) -> np.ndarray:
     """d(0..GT) from the numbers of n-grams seen once, twice, .. GT + 1 times.
 
@@ -89,7 +59,7 @@ def segments(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        hashes, seg = WordHashes(), TaskContext.get().partitionId() << 24
+        seg = TaskContext.get().partitionId() << 24
         ids, train, lens, flat, size = [], [], [], [], 0
 
         def flush():
@@ -99,9 +69,9 @@ def segments(df: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(row, names=["seg", "ids", "lens", "train", "vocab", "tokens", "n", "v"])
 
         for batch, texts in steps(batches):
-            for i, held, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), texts, strict=True):
-                h = mix(hashes.array(words_of(text)))
-                h[h <= START] += np.uint64(3)  # two values are marks
+            hashes, sizes = word_hashes(texts)
+            hashes[hashes <= START] += np.uint64(3)  # two values are marks
+            for i, held, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), np.split(hashes, np.cumsum(sizes)[:-1]), strict=True):
                 ids.append(i)
                 train.append(not held)
                 lens.append(len(h) + 1)

@@ -5,10 +5,10 @@ without words has an empty set and links with nothing. Two documents link when 1
 80 * union. The result is exact up to collisions of 64-bit hashes.
 
 1. Equal sets form one class, and only classes go on; copies cost nothing beyond their own row.
-2. A global order puts the heaviest shingles last (which ones they are is an estimate: any order is right).
+2. A global order puts frequent shingles last (which ones those are changes the cost only: any order is right).
    Linked sets share a shingle among the first n - ceil(0.8 n) + 1 of each, so only those are shuffled, and
    of them only the ones that two classes have.
-3. Classes with the same first shared shingle form groups of bounded size. The token-group matrix holds each
+3. Classes with the same most frequent shared shingle and alike in size form groups of bounded size. The token-group matrix holds each
    group's union of such shingles with the range of set sizes.
 4. The number of shingles that a class shares with a group bounds every overlap in that group from above; only
    qualifying (class, group) pairs are opened. An opened group is built into an inverted index of its full
@@ -35,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, mix, steps, table, words_of
+from .common import Scratch, mix, steps, table, word_hashes
 from .components import connected_components
+from .packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 
 SHINGLE = 5
-#: The heaviest shingles that the order knows, at most (one long each, broadcast); others are ordered by hash.
-HEAVY, HEAVY_LEAST, HEAVY_CHUNK = 1 << 17, 32, 4_000_000
-#: A group is split beyond so many classes or shingles.
+#: Shingles of so many sets are hot and ordered last; leading hash bits that the bitmap of them tells apart (4 MB, broadcast).
+HOT, HOT_BITS = 16, 25
+#: Shingles that are counted at once.
+CHUNK = 1_000_000
+#: A group's sets differ in size by this factor at most, and it is split beyond so many classes or shingles.
+GROUP_RATIO = 1.12
 GROUP_CLASSES, GROUP_TOKENS = 256, 500_000
 #: Queries of one group that one task handles.
 QUERIES = 2048
@@ -50,11 +54,9 @@ FILTER_BITS = 1 << 23
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
-def shingle_sets(texts: list[str], hashes: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    split = [words_of(t) for t in texts]
-    lens = np.fromiter(map(len, split), np.int64, len(split))
-    h = mix(hashes.array([w for ws in split for w in ws]))
+    h, lens = word_hashes(texts)
     ends = np.cumsum(lens)
     with np.errstate(over="ignore"):
         if len(h) >= SHINGLE:
@@ -81,48 +83,84 @@ def prefix_size(n: int) -> int:
     return n - -(-8 * n // 10) + 1
 
 
-def heavy_shingles(texts: DataFrame) -> np.ndarray:
-    """The shingles that occur in most sets, estimated: rare ones of a chunk are not counted."""
-    parts = texts.rdd.getNumPartitions()
-    texts = texts.coalesce(max(min(parts, 2 * texts.sparkSession.sparkContext.defaultParallelism), parts // 8))
+def hot_filter(texts: DataFrame) -> np.ndarray:
+    """A bitmap of the leading hash bits of the shingles that HOT sets or more have.
+
+    Counted over all texts, in packed blocks of hashes cut to 40 bits. Other shingles that share a count or a bit are taken for
+    hot too, which changes the order but nothing else.
+    """
+    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def flush():
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(tokens[n >= 3].view(np.int64)), pa.array(n[n >= 3])], names=["tok", "n"])
+            keys, n = np.unique(np.concatenate(held) >> np.uint64(24), return_counts=True)
+            keys <<= np.uint64(24)
+            edges = bucket_edges(keys, buckets)
+            full = np.flatnonzero(np.diff(edges))
+            cut = [(edges[i], edges[i + 1]) for i in full]
+            return pa.RecordBatch.from_arrays([pa.array(full), pa.array([pack_sorted(keys[s:e]) for s, e in cut], pa.binary()), pa.array([pack(n[s:e].astype(np.int32)) for s, e in cut], pa.binary())], names=["bucket", "keys", "n"])
 
         for _, part in steps(batches, text=0):
-            sets = shingle_sets(part, hashes)
+            sets = shingle_sets(part)
             held += sets
             size += sum(map(len, sets))
-            if size >= HEAVY_CHUNK:
+            if size >= CHUNK:
                 yield flush()
                 held, size = [], 0
-        if held:
+        if size:
             yield flush()
 
-    counted = texts.mapInArrow(count, "tok long, n long").groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_LEAST)
-    return np.sort(np.array([r["tok"] for r in counted.orderBy(F.desc("n"), "tok").limit(HEAVY).collect()], np.int64).view(np.uint64))
+    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows):
+            keys, back = np.unique(np.concatenate([unpack_sorted(r["keys"]) for r in rows]), return_inverse=True)
+            n = np.bincount(back, weights=np.concatenate([unpack(r["n"], np.int32) for r in rows]))
+            return pa.RecordBatch.from_arrays([pa.array([pack_sorted(np.unique(keys[n >= HOT] >> np.uint64(64 - HOT_BITS)))], pa.binary())], names=["bits"])
+
+        bucket, rows = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if rows and r["bucket"] != bucket:
+                    yield flush(rows)
+                    rows = []
+                bucket = r["bucket"]
+                rows.append(r)
+        if rows:
+            yield flush(rows)
+
+    out = np.zeros(1 << HOT_BITS, bool)
+    asked = texts.mapInArrow(count, "bucket long, keys binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
+    for r in asked.mapInArrow(hot, "bits binary").collect():
+        out[unpack_sorted(bytes(r["bits"])).astype(np.int64)] = True
+    return np.packbits(out)
+
+
+def is_hot(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = (keys >> np.uint64(64 - HOT_BITS)).astype(np.int64)
+    return bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & np.uint8(1) > 0
+
+
+def bitmap(words: DataFrame, bits: int) -> np.ndarray:
+    """Words (w, b) joined to one bitmap; as many rows as it has words come back at most."""
+    out = np.zeros(bits // 32, np.uint32)
+    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
+        out[r["w"]] = r["b"]
+    return out
 
 
-def measured(df: DataFrame, heavy: np.ndarray) -> DataFrame:
+def measured(df: DataFrame, hot: np.ndarray) -> DataFrame:
     """(id, n, node, prefix array<long> in the global order)."""
-    shared = df.sparkSession.sparkContext.broadcast(heavy)
+    shared = df.sparkSession.sparkContext.broadcast(hot)
     kind = df.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, heavy = WordHashes(), shared.value
         for batch, texts in steps(batches):
-            sets = shingle_sets(texts, hashes)
+            sets = shingle_sets(texts)
             prefixes = []
             for s in sets:
-                if len(heavy) and len(s):
-                    late = heavy[np.searchsorted(heavy, s).clip(max=len(heavy) - 1)] == s
-                    prefixes.append(np.concatenate([s[~late], s[late]])[: prefix_size(len(s))])
-                else:
-                    prefixes.append(s[: prefix_size(len(s))] if len(s) else s)
+                late = is_hot(shared.value, s)
+                prefixes.append(np.concatenate([s[~late], s[late]])[: prefix_size(len(s))] if len(s) else s)
             sizes = np.fromiter(map(len, prefixes), np.int32, len(prefixes))
             flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
@@ -161,6 +199,25 @@ class Group:
         self.union, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.sets = []
 
+    def shared(self, q: np.ndarray) -> np.ndarray:
+        """How many tokens of the query each member has; empty where the group's union has none."""
+        at = np.searchsorted(self.union, q).clip(max=len(self.union) - 1)
+        at = at[self.union[at] == q]
+        if not len(at):
+            return at
+        n = self.count[at]
+        slots = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.owner[slots], minlength=len(self.nodes))
+
+    def rehearse(self, node: int, n: int, q: np.ndarray) -> list[int]:
+        """Members that may link by the bound on shared prefix shingles; members hold prefixes, comps their sizes."""
+        if not len(self.union) or not len(c := self.shared(q)):
+            return []
+        m = np.array(self.comps, np.float64)
+        need = 4 * (n + m) / 9 - 0.8 * np.maximum(n, m)
+        fit = (c > 0) & (c + 1e-6 >= need) & (m + 1e-6 >= 0.8 * n) & (0.8 * m <= n + 1e-6)
+        return [self.nodes[i] for i in np.flatnonzero(fit) if self.nodes[i] != node]
+
     def find(self, c: int) -> int:
         while (p := self.parent.get(c, c)) != c:
             self.parent[c] = self.parent.get(p, p)
@@ -171,13 +228,10 @@ class Group:
         """New links of components that this query makes."""
         if not len(self.union):
             return []
-        at = np.searchsorted(self.union, q).clip(max=len(self.union) - 1)
-        at = at[self.union[at] == q]
-        if 9 * len(at) < 4 * (len(q) + max(self.sizes.min(), 0.8 * len(q))):
+        hits = np.searchsorted(self.union, q).clip(max=len(self.union) - 1)
+        if 9 * (self.union[hits] == q).sum() < 4 * (len(q) + max(self.sizes.min(), 0.8 * len(q))):
             return []  # the group's union bounds every overlap
-        n = self.count[at]
-        slots = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        overlap = np.bincount(self.owner[slots], minlength=len(self.nodes))
+        overlap = self.shared(q)
         out = []
         for s in np.flatnonzero(9 * overlap >= 4 * (len(q) + self.sizes)):
             a, b = self.find(comp), self.find(self.comps[s])
@@ -187,6 +241,44 @@ class Group:
         return out
 
 
+def rehearsed(opens: DataFrame, members: DataFrame, prefixes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Of the (class, group) pairs that a group's union lets through, those that some member's own bound lets through.
+
+    opens: (node, g); members: (node, g); prefixes: (node, n, toks), the shared prefix shingles. Gives
+    (node, g, answers): queries, and with ``answers`` members that a query may link with. Full sets are loaded for these
+    only.
+    """
+    salts = opens.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
+    inside = members.join(salts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "node")
+    asking = opens.join(salts, "g").select("g", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "node")
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, ready, hit = None, Group(), False, set()
+        for b in batches:
+            out = []
+            for g, salt, kind, node, n, toks in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (g, salt) != key:
+                    out += [(x, key[0], True) for x in hit]
+                    key, group, ready, hit = (g, salt), Group(), False, set()
+                toks = np.array(toks, np.int64).view(np.uint64)
+                if kind == 0:
+                    group.add(node, n, toks)
+                    continue
+                if not ready:
+                    group.build()
+                    ready = True
+                if len(may := group.rehearse(node, n, toks)):
+                    out.append((node, g, False))
+                    hit.update(may)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["node", "g", "answers"])
+        if hit:
+            yield pa.RecordBatch.from_arrays([pa.array(list(hit), pa.int64()), pa.array([key[0]] * len(hit), pa.int64()), pa.array([True] * len(hit))], names=["node", "g", "answers"])
+
+    rows = inside.unionByName(asking).join(prefixes, "node").select("g", "salt", "kind", "node", "n", "toks")
+    rows = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "kind", "node")
+    return scratch.keep(rows.mapInArrow(match, "node long, g long, answers boolean").distinct(), f"{name}-rehearsed")
+
+
 def opened(df: DataFrame, opens: DataFrame, active: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Links (a, b) between components that opening finds.
 
@@ -194,16 +286,14 @@ def opened(df: DataFrame, opens: DataFrame, active: DataFrame, scratch: Scratch,
     """
     spark = df.sparkSession
     bit = F.pmod("node", F.lit(FILTER_BITS))
-    words = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in active.select(F.shiftright(bit, 5).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}) & 31 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        words[r["w"]] = r["b"]
-    shared = spark.sparkContext.broadcast(words)
+    words = active.select(F.floor(bit / 32).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}) & 31 as int))").alias("b"))
+    shared = spark.sparkContext.broadcast(bitmap(words, FILTER_BITS))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bits, seen = WordHashes(), shared.value, set()
+        bits, seen = shared.value, set()
         for _, texts in steps(batches, text=0):
             nodes, sets = [], []
-            for s in shingle_sets(texts, hashes):
+            for s in shingle_sets(texts):
                 if len(s):
                     node = node_of(s)
                     k = node % FILTER_BITS
@@ -240,45 +330,52 @@ def opened(df: DataFrame, opens: DataFrame, active: DataFrame, scratch: Scratch,
     return scratch.keep(rows.mapInArrow(match, "a long, b long"), f"{name}-links")
 
 
+def tokens_of(matrix_rows: DataFrame) -> DataFrame:
+    """(node, n, toks): each class's shared prefix shingles, at most a fifth of its set."""
+    return matrix_rows.groupBy("node", "n").agg(F.collect_list("tok").alias("toks"))
+
+
 def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id), one row per row."""
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.keep(measured(df, heavy_shingles(df.select("text"))), "rows")
+    rows = scratch.keep(measured(df, hot_filter(df.select("text"))), "rows")
     classes = rows.where("n > 0").groupBy("node").agg(F.min_by(F.struct("n", "prefix"), F.size("prefix")).alias("x"))
-    tokens = classes.select("node", "x.n", F.posexplode("x.prefix").alias("ord", "tok"))
+    tokens = classes.select("node", "x.n", F.explode("x.prefix").alias("tok"))
     tokens = scratch.keep(tokens, "tokens")
-    shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1").select("tok")
+    shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     tokens = tokens.join(shared, "tok")
     tokens = scratch.keep(tokens, "shared")
     scratch.drop("tokens")
     # groups
-    heads = tokens.groupBy("node", "n").agg(F.min_by("tok", "ord").alias("head"))
+    size = F.floor(F.log("n") / np.log(GROUP_RATIO)).cast("int")
+    heads = tokens.groupBy("node", "n").agg(F.max_by("tok", F.struct("df", "tok")).alias("tok")).select("node", "n", F.xxhash64("tok", size).alias("head"))
     parts = heads.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / GROUP_CLASSES), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts"))
-    groups = heads.join(parts, "head").select("node", F.xxhash64("head", F.pmod(F.xxhash64("node"), "parts")).alias("g"))
+    groups = scratch.keep(heads.join(parts, "head").select("node", F.xxhash64("head", F.pmod(F.xxhash64("node"), "parts")).alias("g")), "groups")
     matrix_rows = scratch.keep(tokens.select("tok", "node", "n").join(groups, "node"), "matrix-rows")
     scratch.drop("shared")
     matrix = scratch.keep(matrix_rows.groupBy("tok", "g").agg(F.count("*").alias("cnt"), F.min("n").alias("lo"), F.max("n").alias("hi")), "matrix")
     # own groups, and of each class the pivot group that most of its shingles name
     bounds = [F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    own = matrix_rows.join(matrix.where("cnt > 1").drop("cnt"), ["tok", "g"]).groupBy("node", "n", "g").agg(*bounds).where(qualifies()).select("node", "g", F.col("g").alias("own"))
+    own = matrix_rows.join(matrix.where("cnt > 1").drop("cnt"), ["tok", "g"]).groupBy("node", "n", "g").agg(*bounds).where(qualifies()).select("node", "g")
     pivots = matrix.groupBy("tok").agg(F.min(F.struct("g", "lo", "hi")).alias("p")).select("tok", F.col("p.g").alias("pg"), "p.lo", "p.hi")
     pivot = matrix_rows.join(pivots, "tok").where("g <> pg").groupBy("node", "n", "g", "pg").agg(*bounds).where(qualifies())
-    pivot = pivot.groupBy("node", "g").agg(F.max_by("pg", F.struct("c", "pg")).alias("pg")).select("node", F.col("pg").alias("g"), F.col("g").alias("own"))
-    first = scratch.keep(own.unionByName(pivot), "first")
-    active = first.select("node", F.col("own").alias("g"), F.col("node").alias("comp")).distinct()
-    linked = connected_components(opened(df, first.select("node", "g"), active, scratch, "first"), scratch, "first-parts")
+    pivot = pivot.groupBy("node", "g").agg(F.max_by("pg", F.struct("c", "pg")).alias("pg")).select("node", F.col("pg").alias("g"))
+    prefixes = scratch.keep(tokens_of(matrix_rows), "prefixes")
+    first = rehearsed(own.unionByName(pivot).select("node", "g"), groups, prefixes, scratch, "first")
+    active = first.select("node").distinct().join(groups, "node").withColumn("comp", F.col("node"))
+    linked = connected_components(opened(df, first.where("NOT answers").select("node", "g"), active, scratch, "first"), scratch, "first-parts")
     linked = scratch.keep(linked, "linked")
     scratch.drop("first-sets")
     # all other qualifying groups, outside what is linked already
     at = matrix_rows.join(linked, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     mixed = at.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
     at = scratch.keep(at.join(mixed, "tok"), "mixed")
-    others = at.groupBy("tok", "g", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnsRenamed({"g": "og", "comp": "oc"})
-    cross = at.join(others, "tok").where("g <> og AND comp <> oc AND hi >= 0.8 * n AND lo <= 1.25 * n + 1e-6")
-    cross = cross.groupBy("node", "n", "g", "comp", "og").agg(*bounds).where(qualifies())
-    cross = scratch.keep(cross.select("node", "g", "comp", "og"), "cross")
-    active = cross.select("node", "g", "comp").distinct()
-    more = connected_components(opened(df, cross.where("g > og").select("node", F.col("og").alias("g")), active, scratch, "cross"), scratch, "cross-parts")
+    others = at.groupBy("tok", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).withColumnRenamed("g", "og")
+    pairs = at.join(others, "tok").where("g > og AND (comp <> c1 OR comp <> c2) AND hi >= 0.8 * n AND lo <= 1.25 * n + 1e-6")
+    cross = pairs.groupBy("node", "n", "og").agg(*bounds).where(qualifies())
+    cross = rehearsed(cross.select("node", F.col("og").alias("g")), groups, prefixes, scratch, "cross")
+    active = cross.select("node").distinct().join(groups, "node").join(linked, "node", "left").select("node", "g", F.coalesce("component", "node").alias("comp"))
+    more = connected_components(opened(df, cross.where("NOT answers").select("node", "g"), active, scratch, "cross"), scratch, "cross-parts")
     scratch.drop("cross-sets")
     # classes to components to rows
     names = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id")).join(linked, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
@@ -289,9 +386,13 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
 
 
 def deduplicated(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id names their component: one document of each group, with all columns."""
+    """One document of each group, the one with the smallest id, with all columns.
+
+    Rows repeated with id and text leave one. A row with a null id has no name to choose it by and is kept.
+    """
     keep = components(docs, scratch, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    named = docs.join(keep, id_col, "left_semi").select(*docs.columns, F.xxhash64(text_col).alias("_text_hash")).dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,17 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, crc_mod, labelled_sample, steps, table
-from .quality_rules import CLASSES, WORDS, features
+from .common import crc_mod, labelled_sample, steps, table
+from .quality_rules import CLASSES, common_hashes, features
 
 #: Labelled documents a class that the trees are fitted on, at most.
 SAMPLE_PER_CLASS = 3000
 TREES, DEPTH, BINS, RATE, RIDGE, LEAST = 60, 4, 64, 0.15, 1.0, 5.0
 
 
-def statistics(texts: list[str], hashes: WordHashes, common: np.ndarray) -> np.ndarray:
+def statistics(texts: list[str], common: np.ndarray) -> np.ndarray:
     """One row of document statistics per text."""
-    f = features(texts, hashes, common)
+    f = features(texts, common)
     words = np.maximum(f["n_words"], 1)
     chars = np.maximum(f["classes"].sum(1), 1)
     hits = f["words"][:, :-1]
@@ -97,15 +97,10 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Forest:
     return Forest(prior, *(np.array(a).reshape(len(a), n) for a, n in zip(trees, (inner, inner, leaves), strict=True)))
 
 
-def common_hashes(hashes: WordHashes) -> np.ndarray:
-    return np.sort(hashes.array([w.encode() for w in WORDS]))
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> Forest:
     rows, counts = labelled_sample(docs, labels, label, per_class, id_col, text_col)
-    hashes = WordHashes()
-    common = common_hashes(hashes)
-    x = np.vstack([np.zeros((0, 9 + CLASSES)), *[statistics([r[1] for r in rows[i : i + 200]], hashes, common) for i in range(0, len(rows), 200)]])
+    common = common_hashes()
+    x = np.vstack([np.zeros((0, 9 + CLASSES)), *[statistics([r[1] for r in rows[i : i + 200]], common) for i in range(0, len(rows), 200)]])
     y = np.array([r[2] for r in rows], np.int64)
     got = np.bincount(y, minlength=2)
     w = np.array([counts.get(c, 0) / max(got[c], 1) for c in (0, 1)])[y] if len(y) else np.zeros(0)
@@ -117,10 +112,9 @@ def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        common = common_hashes(hashes)
+        common = common_hashes()
         for batch, texts in steps(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.score(statistics(texts, hashes, common)))], names=[id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forest.score(statistics(texts, common)))], names=[id_col, "score"])
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, mix, segment_sums, steps, table
+from .common import Scratch, mix, segment_sums, steps, table, word_hashes
 
 #: Function words of widely written European languages; their shares tell running text from lists and noise.
 COMMON = {
@@ -51,7 +51,11 @@ def byte_classes() -> np.ndarray:
     return c
 
 
-def features(texts: list[str], hashes: WordHashes, common: np.ndarray) -> dict[str, np.ndarray]:
+def common_hashes() -> np.ndarray:
+    return np.sort(word_hashes(WORDS)[0])
+
+
+def features(texts: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
     """Counts and histograms of some texts. common: the sorted hashes of WORDS."""
     n = len(texts)
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -60,9 +64,7 @@ def features(texts: list[str], hashes: WordHashes, common: np.ndarray) -> dict[s
     by_byte = np.bincount(owner * 256 + np.frombuffer(b"".join(raw), np.uint8), minlength=256 * n).reshape(n, 256)
     classes = byte_classes()
     onehot = (classes[:, None] == np.arange(CLASSES)).astype(np.int64)
-    split = [r.lower().split() for r in raw]
-    lens = np.fromiter(map(len, split), np.int64, n)
-    h = hashes.array([w for ws in split for w in ws])
+    h, lens = word_hashes(texts)
     at = np.searchsorted(common, h).clip(max=len(common) - 1)
     hit = common[at] == h
     doc = np.repeat(np.arange(n), lens)
@@ -104,10 +106,9 @@ def measure(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     """(id, lang, counts, classes binary, words binary), the histograms as int32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        common = np.sort(hashes.array([w.encode() for w in WORDS]))
+        common = common_hashes()
         for batch, texts in steps(batches):
-            f = features(texts, hashes, common)
+            f = features(texts, common)
             hist = [pa.array([r.tobytes() for r in f[k].astype(np.int32)], pa.binary()) for k in ("classes", "words")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(f[c].astype(np.int64)) for c in COUNTS], *hist], names=[id_col, "lang", *COUNTS, "classes", "words"])
 
