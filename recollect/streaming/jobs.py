@@ -51,9 +51,10 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("stream", F.lit("a")).unionByName(b.withColumn("stream", F.lit("b")))
 
 
-def limiter_stream(hits: DataFrame, limit: int = 30, seconds: int = 60) -> DataFrame:
+def limiter_stream(hits: DataFrame, limit: int = 30, seconds: int = 60, expire: bool = True) -> DataFrame:
     """hits (key, id, us: microseconds): the fixed-window limit on a stream. Per key the state tells when its window
-    started and how many hits it had; it goes once the key has been silent for two windows."""
+    started and how many hits it had; with ``expire`` it goes once the key has been silent for two windows (not with
+    a trigger that ends, which would wait for it)."""
     span = seconds * 1_000_000
 
     def fold(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -68,7 +69,8 @@ def limiter_stream(hits: DataFrame, limit: int = 30, seconds: int = 60) -> DataF
             n += 1
             out.append((key[0], hit, n, n <= limit))
         state.update((start, n))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        if expire:
+            state.setTimeoutDuration(2 * seconds * 1000)
         yield pd.DataFrame(out, columns=["key", "id", "hit_no", "allowed"])
 
-    return hits.groupBy("key").applyInPandasWithState(fold, "key string, id long, hit_no int, allowed boolean", "start long, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy("key").applyInPandasWithState(fold, "key string, id long, hit_no int, allowed boolean", "start long, n int", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)

@@ -50,7 +50,7 @@ def test_limiter_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "key string, id long, us long")
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    run_to_memory(jobs.limiter_stream(stream, 10, 30), "limited")
+    run_to_memory(jobs.limiter_stream(stream, 10, 30, expire=False), "limited")
     hits = df.withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz"))
     want = {r["id"]: r["hit_no"] for r in limits.fixed_window(hits, "key", "ts", "id", 10, 30).collect()}
     assert {r["id"]: r["hit_no"] for r in spark.table("limited").collect()} == want
