@@ -134,7 +134,7 @@ def references(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     parts = measured.where(F.col("lang").isNotNull()).select("lang", "classes", "words").mapInArrow(sums, "lang string, hist array<long>")
     rows = parts.select("lang", F.posexplode("hist").alias("bin", "n")).groupBy("lang", "bin").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("h")).orderBy("lang").collect()
-    hist = np.array([[x["n"] for x in r["h"]] for r in rows], np.float64).reshape(len(rows), -1)
+    hist = np.array([[x["n"] for x in r["h"]] for r in rows], np.float64).reshape(len(rows), CLASSES + len(WORDS) + 1)
     hist = hist[hist[:, CLASSES:].sum(1) >= MIN_REFERENCE_WORDS] if len(hist) else np.zeros((0, CLASSES + len(WORDS) + 1))
     return hist[:, :CLASSES], hist[:, CLASSES:]
 
