@@ -27,9 +27,11 @@ def usable_points(points: DataFrame, most: int = SAMPLE) -> DataFrame:
 def assign(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """(id, cluster, sim): the centroid (cluster, centroid) of greatest dot product, lowest number on ties.
 
-    Centroids are few (at most MAX_K an owner) and are joined by owner where both have one.
+    Centroids with an owner are joined by owner; without one they are a single run's, at most MAX_K rows, which is checked.
     """
-    pairs = points.join(F.broadcast(centroids), "user_id") if "user_id" in centroids.columns else points.crossJoin(F.broadcast(centroids))
+    pairs = points.join(centroids, "user_id") if "user_id" in centroids.columns else points.crossJoin(F.broadcast(centroids))
+    if "user_id" not in centroids.columns and centroids.limit(MAX_K + 1).count() > MAX_K:
+        raise ValueError(f"more than {MAX_K} centroids")
     sim = F.round(dot(F.col("vector"), F.col("centroid")), 6)
     best = pairs.select("id", "cluster", sim.alias("sim")).groupBy("id").agg(F.max(F.struct("sim", (-F.col("cluster")).alias("c"))).alias("b"))
     return best.select("id", (-F.col("b.c")).alias("cluster"), F.col("b.sim").alias("sim"))

@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 
 
 def sliding_window(hits: DataFrame, key: str, ts: str, limit: int, seconds: int) -> DataFrame:
-    """Each hit with the hits of its key in the window that ends with it, and whether it is allowed; exact."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, Window.currentRow)
-    return hits.withColumn("hits", F.count("*").over(w)).withColumn("allowed", F.col("hits") <= limit)
+    """Each hit with the hits of its key in the window that ends with it, and whether it is allowed; exact.
+
+    Hits are counted by key and stretch of time, each stretch seeing the one before as well, so that a busy key is dealt to
+    many tasks.
+    """
+    span = seconds * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    place = F.explode(F.array(F.struct(F.floor(us / span).alias("n"), F.lit(True).alias("own")), F.struct((F.floor(us / span) + 1).alias("n"), F.lit(False).alias("own"))))
+    w = Window.partitionBy(key, "_at.n").orderBy("_us").rangeBetween(-span, Window.currentRow)
+    counted = hits.select("*", us.alias("_us"), place.alias("_at")).withColumn("hits", F.count("*").over(w)).where("_at.own")
+    return counted.drop("_us", "_at").withColumn("allowed", F.col("hits") <= limit)
 
 
 def fixed_window(hits: DataFrame, key: str, ts: str, id_col: str, limit: int, seconds: int) -> DataFrame:

@@ -24,7 +24,7 @@ def _asked(s, d):
     own = a.with_grants(dom.connections(s, d).where("NOT revoked AND id % 3 = 0"), dom.grants(s, d))
     v = dom.vector_spaces(s, d).where("space_id < 10").select("user_id", F.col("description_vector").alias("vector"))
     wish = F.when(F.col("id") % 2 == 0, F.array(F.col("user_id").cast("string"), F.lit("999")))
-    req = own.join(F.broadcast(v), "user_id", "left").select(F.col("id").alias("request_id"), F.col("id").alias("connection_id"), "user_id", "vector", F.concat(F.lit("query "), F.col("label")).alias("query"), wish.alias("requested"), F.col("space_ids").alias("granted"))
+    req = own.join(v, "user_id", "left").select(F.col("id").alias("request_id"), F.col("id").alias("connection_id"), "user_id", "vector", F.concat(F.lit("query "), F.col("label")).alias("query"), wish.alias("requested"), F.col("space_ids").alias("granted"))
     return se.effective_labels(req)
 
 

@@ -70,7 +70,7 @@ def connections(spark: SparkSession, d: str) -> DataFrame:
 
 def grants(spark: SparkSession, d: str) -> DataFrame:
     c, s = load(spark, d, "customer"), vector_spaces(spark, d)
-    return c.join(F.broadcast(s), F.col("c_nationkey") == F.col("user_id")).where((F.col("c_custkey") + F.col("space_id")) % 3 == 0).select(F.col("c_custkey").alias("connection_id"), F.col("space_id").cast("string").alias("space_id"))
+    return c.join(s, F.col("c_nationkey") == F.col("user_id")).where((F.col("c_custkey") + F.col("space_id")) % 3 == 0).select(F.col("c_custkey").alias("connection_id"), F.col("space_id").cast("string").alias("space_id"))
 
 
 def conversations(spark: SparkSession, d: str) -> DataFrame:
