@@ -46,6 +46,12 @@ def fixed_window(hits: DataFrame, key: str, ts: str, id_col: str, limit: int, se
     return ordered.mapInPandas(fold, f"{id_col} {kinds[id_col]}, {key} {kinds[key]}, hit_no long, allowed boolean")
 
 
+def both_limits(hits: DataFrame, keys: tuple[str, str], ts: str, id_col: str, limit: int = 5, seconds: int = 3600) -> DataFrame:
+    """(id, allowed): each hit counts against both keys' fixed windows and passes only if both allow it."""
+    one, two = (fixed_window(hits, k, ts, id_col, limit, seconds).select(id_col, F.col("allowed").alias(f"allowed_{i}")) for i, k in enumerate(keys))
+    return one.join(two, id_col).select(id_col, (F.col("allowed_0") & F.col("allowed_1")).alias("allowed"))
+
+
 def latest_code(codes: DataFrame, as_of: Column) -> DataFrame:
     """The newest unconsumed, unexpired code of each key; a code that expires right now is expired."""
     live = codes.where(F.col("consumed_at").isNull() & (F.col("expires_at") > as_of))

@@ -83,7 +83,12 @@ def chat_export(raw: DataFrame, raw_col: str = "raw") -> DataFrame:
     return raw.select(F.explode(checked).alias("c")).select("c.title", F.map_values("c.mapping").alias("nodes"))
 
 
+def as_event_lines(events: DataFrame) -> DataFrame:
+    """Events as ``data: {json}`` lines, each followed by a blank line."""
+    return events.select(F.concat(F.lit("data: "), F.to_json(F.struct(*events.columns)), F.lit("\n\n")).alias("value"))
+
+
 def event_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """Parse ``data: {json}`` lines of an event stream; other lines are dropped."""
-    text = F.regexp_extract(F.col(col), r"^data: (.*)$", 1)
+    text = F.regexp_extract(F.col(col), r"(?s)^data: (.*?)\s*$", 1)
     return lines.where(F.col(col).startswith("data: ")).select(F.from_json(text, schema("stream_event")).alias("e")).where("e IS NOT NULL").select("e.*")

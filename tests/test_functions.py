@@ -98,6 +98,14 @@ def test_files(spark, tmp_path):
     assert got == {"text/csv": "x,y\n1,2\n", "application/json": '{"k": 1}'}
 
 
+def test_event_lines_round_trip(spark):
+    from recollect.schemas import schema
+    from recollect.sources.readers import as_event_lines
+
+    e = spark.createDataFrame([("token", "hi\n", None, ["a"]), ("done", None, None, [])], schema("stream_event"))
+    assert sorted(map(repr, event_lines(as_event_lines(e)).collect())) == sorted(map(repr, e.collect()))
+
+
 def test_event_lines(spark):
     lines = spark.createDataFrame([('data: {"type": "token", "delta": "hi"}',), ("",), (": ping",)], "value string")
     assert [(r["type"], r["delta"]) for r in event_lines(lines).collect()] == [("token", "hi")]
