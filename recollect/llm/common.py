@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,17 +61,20 @@ class Scratch:
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = STEP_CHARS, rows: int = 10_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Cut record batches so that each has at most ``limit`` characters of text and ``rows`` rows, or one row. Null texts become empty."""
+    """Cut record batches so that each has at most ``limit`` bytes of text and ``rows`` rows, or one row. Null texts become
+    empty. Only one step's texts are Python strings at a time."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         start, size = 0, 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > limit or i - start >= rows:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, n in enumerate(sizes):
+            if size and size + n > limit or i - start >= rows:
+                part = batch.slice(start, i - start)
+                yield part, [t or "" for t in part.column(text).to_pylist()]
                 start, size = i, 0
-            size += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            size += n
+        if start < len(sizes):
+            part = batch.slice(start)
+            yield part, [t or "" for t in part.column(text).to_pylist()]
 
 
 def words_of(text: str) -> list[bytes]:
