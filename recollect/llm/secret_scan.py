@@ -23,7 +23,6 @@ import re
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,25 +107,31 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[REDACTED]") -> D
     Null stays null. A column ``n_chars``, where there is one, is set to the new length.
     """
 
-    @F.pandas_udf("string")
-    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    docs_columns = df.columns
+    at = docs_columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keywords = automaton()
-        for texts in batches:
-            out = []
-            for t in texts:
-                if not t:
-                    out.append(t)
-                    continue
-                parts, at = [], 0
-                for s, _, e in spans_of(t, keywords):
-                    if s >= at:
-                        parts += [t[at:s], mask]
-                    at = max(at, e)
-                out.append("".join([*parts, t[at:]]) if at else t)
-            yield pd.Series(out, dtype=object)
-
-    out = df.withColumn(text_col, masked(F.col(text_col)))
-    return out.withColumn("n_chars", F.when(F.col(text_col).isNull(), F.col("n_chars")).otherwise(F.length(text_col).cast(df.schema["n_chars"].dataType))) if "n_chars" in df.columns else out
+        for part, texts in steps(batches, text=at):
+            null = part.column(at).is_null().to_pylist()
+            out = [None if n else masked(t, spans_of(t, keywords), mask) for n, t in zip(null, texts, strict=True)]
+            columns = list(part.columns)
+            columns[at] = pa.array(out, part.schema.field(at).type)
+            if "n_chars" in docs_columns:
+                k = docs_columns.index("n_chars")
+                columns[k] = pa.array([old if t is None else len(t) for t, old in zip(out, part.column(k).to_pylist(), strict=True)], part.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+
+    return df.mapInArrow(run, df.schema)
+
+
+def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
+    parts, at = [], 0
+    for s, _, e in spans:
+        if s >= at:
+            parts += [text[at:s], mask]
+        at = max(at, e)
+    return "".join([*parts, text[at:]])
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
