@@ -397,3 +397,16 @@ def deduplicated(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"), Scratch(spark, "ngram-join"))
+
+
+#: The same components by comparing every pair that shares a shingle.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(node, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT node, b FROM reach JOIN both_ways ON a = seen)
+SELECT r.node AS doc_id, coalesce(n.n, 0) AS n_shingles, min(seen) AS component_id FROM reach r LEFT JOIN n ON n.doc_id = r.node GROUP BY 1, 2
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op6_decontamination
 from .katz_lm import op4_katz_lm
 from .language_id import op5_language_id
+from .ngram_join import ORACLE as JOIN_SQL
 from .ngram_join import op8_ngram_join
 from .quality_model import op7_quality_model
 from .quality_rules import op10_quality_rules
@@ -15,4 +16,4 @@ from .url_filter import ORACLE as URL_SQL
 from .url_filter import op1_url_filter
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_toxicity, op4_katz_lm, op5_language_id, op6_decontamination, op7_quality_model, op8_ngram_join, op9_secret_scan, op10_quality_rules)}
-ORACLE_SQL = {"op1_url_filter": URL_SQL}
+ORACLE_SQL = {"op1_url_filter": URL_SQL, "op8_ngram_join": JOIN_SQL}
