@@ -18,7 +18,7 @@ def with_grants(connections: DataFrame, grants: DataFrame) -> DataFrame:
 def access_activity(connections: DataFrame, log: DataFrame, top: int = 20) -> DataFrame:
     """Live connections by last use, never used ones first, with all-time calls."""
     recent = connections.where("NOT revoked").orderBy(F.col("last_seen").desc_nulls_first(), "id").limit(top)
-    calls = log.join(F.broadcast(recent.select(F.col("id").alias("connection_id"))), "connection_id", "left_semi").groupBy("connection_id").agg(F.count("*").alias("n"))
+    calls = log.groupBy("connection_id").agg(F.count("*").alias("n"))
     return recent.join(calls, recent["id"] == calls["connection_id"], "left").select("id", "label", "last_seen", F.coalesce("n", F.lit(0)).alias("total_calls")).orderBy(F.col("last_seen").desc_nulls_first(), "id")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import small
 from ..functions.text import round_half_up
 from ..functions.times import bucket, days_before, iso
 
@@ -46,7 +47,7 @@ def growth_series(events: DataFrame, spaces: DataFrame, as_of: Column, span: str
     if user_id is not None:
         events = events.where(F.col("user_id") == F.lit(user_id))
     counts = events.where(F.col("created_at") >= start).groupBy(bucket(width, F.col("created_at")).alias("b"), "space_id").agg(F.count("*").alias("count"))
-    named = counts.join(spaces.select(F.col("id").alias("space_id"), "name"), "space_id", "left")
+    named = counts.join(small(spaces.select(F.col("id").alias("space_id"), "name")), "space_id", "left")
     name = F.when(F.col("space_id").isNull(), UNLABELLED).otherwise(F.coalesce("name", "space_id"))
     return named.select(iso(F.col("b")).alias("bucket"), F.coalesce("space_id", F.lit("")).alias("space_id"), name.alias("space_name"), "count")
 

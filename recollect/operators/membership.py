@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import drop_key, put, put_all, remove, union
+from ..functions.joins import small
 
 
 def apply_labels(memories: DataFrame, new: DataFrame, versions: DataFrame | None = None, is_backfill: bool = False) -> DataFrame:
@@ -15,7 +16,7 @@ def apply_labels(memories: DataFrame, new: DataFrame, versions: DataFrame | None
     """
     pairs = new.select("memory_id", F.posexplode("space_ids").alias("pos", "space_id"))
     if versions is not None:
-        pairs = pairs.join(versions, "space_id", "left")
+        pairs = pairs.join(small(versions), "space_id", "left")
     version = F.coalesce("version", F.lit(1)) if versions is not None else F.lit(1)
     per = pairs.select("memory_id", "pos", "space_id", version.cast("int").alias("version")).groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("pos", "space_id", "version"))).alias("x"))
     ids = F.array_distinct(F.transform("x", lambda e: e["space_id"]))
@@ -58,7 +59,7 @@ def set_manually(memories: DataFrame, edits: DataFrame) -> DataFrame:
 def stale(memories: DataFrame, versions: DataFrame) -> DataFrame:
     """(memory_id, space_id, version, current) of memberships classified under an older version of the label."""
     have = memories.select("memory_id", F.explode("space_versions").alias("space_id", "version"))
-    return have.join(versions.withColumnRenamed("version", "current"), "space_id").where("version < current").select("memory_id", "space_id", "version", "current")
+    return have.join(small(versions.withColumnRenamed("version", "current")), "space_id").where("version < current").select("memory_id", "space_id", "version", "current")
 
 
 def cascade_delete(files: DataFrame, memories: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +100,7 @@ def space_items_page(memories: DataFrame, space_id: str, user_id, cursor=None, l
 def other_spaces(memories: DataFrame, spaces: DataFrame, space_id: str) -> DataFrame:
     """(memory_id, others): names of an item's other existing labels, in the item's order."""
     rows = memories.where(F.array_contains("space_ids", space_id)).select("memory_id", F.posexplode("space_ids").alias("pos", "id")).where(F.col("id") != space_id)
-    named = rows.join(spaces, "id")
+    named = rows.join(small(spaces), "id")
     return named.groupBy("memory_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), ",").alias("others"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import clamp, overlaps
+from ..functions.joins import small
 from ..functions.vectors import cosine
 
 #: Queries whose vectors a join may broadcast; more are joined by owner through a shuffle.
@@ -36,9 +37,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 10, same_id: bool = Tru
     clamped = "effective" in queries.columns
     q = queries.where(F.size("effective") > 0) if clamped else queries
     q = q.withColumnRenamed("vector", "query_vector")
-    if q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        q = F.broadcast(q)
-    pairs = items.join(q, "user_id")
+    pairs = items.join(small(q, BROADCAST_QUERIES), "user_id")
     if clamped:
         pairs = pairs.where(overlaps(F.col("space_ids"), F.col("effective")))
     if not same_id:
