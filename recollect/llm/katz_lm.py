@@ -5,7 +5,7 @@ mass that discounting frees is the unknown word's. d are Good-Turing discounts,
 of each order; a(h) is the exact remainder, so that P(. | h) sums to one for every history. A history
 that was never seen backs off whole; every text starts from a start mark and finishes with an end token.
 
-Token-level rows are never shuffled. Texts become segments of about a million tokens with a vocabulary of
+Token-level rows are never shuffled. Texts become segments of one or two million tokens with a vocabulary of
 their own, kept as packed arrays. A segment asks for each of its distinct n-grams once, in sorted packed blocks
 by hash bucket; a bucket sums what all segments bring and answers with the total counts. The sums are the model, a table
 partitioned by order and bucket (``ngrams``). Of the segments that hold a seen bigram the first owns it; owners add
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, crc_mod, mix, steps, table, word_hashes
 from .packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 
-#: Tokens of a segment, and keys of a bucket, about.
-SEGMENT, BUCKET = 1_000_000, 1_000_000
+#: Tokens of a segment, and keys of a bucket, about. Larger segments ask for fewer keys and take more memory.
+SEGMENT, BUCKET = 1_600_000, 1_000_000
 #: Counts up to this are discounted by Good-Turing.
 GT = 5
 END, START = np.uint64(1), np.uint64(2)
