@@ -349,8 +349,11 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     # groups
     size = F.floor(F.log("n") / np.log(GROUP_RATIO)).cast("int")
     heads = tokens.groupBy("node", "n").agg(F.max_by("tok", F.struct("df", "tok")).alias("tok")).select("node", "n", F.xxhash64("tok", size).alias("head"))
-    parts = heads.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / GROUP_CLASSES), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts"))
-    groups = scratch.keep(heads.join(parts, "head").select("node", F.xxhash64("head", F.pmod(F.xxhash64("node"), "parts")).alias("g")), "groups")
+    heads = scratch.keep(heads, "heads")
+    parts = heads.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / GROUP_CLASSES), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts")).where("parts > 1")
+    parts = scratch.keep(parts, "large-heads")  # few, so that the join below does not gather a head's classes
+    place = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    groups = scratch.keep(heads.join(parts, "head", "left").select("node", F.xxhash64("head", place).alias("g")), "groups")
     matrix_rows = scratch.keep(tokens.select("tok", "node", "n").join(groups, "node"), "matrix-rows")
     scratch.drop("shared")
     matrix = scratch.keep(matrix_rows.groupBy("tok", "g").agg(F.count("*").alias("cnt"), F.min("n").alias("lo"), F.max("n").alias("hi")), "matrix")
@@ -376,7 +379,8 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     cross = rehearsed(cross.select("node", F.col("og").alias("g")), groups, prefixes, scratch, "cross")
     active = cross.select("node").distinct().join(groups, "node").join(linked, "node", "left").select("node", "g", F.coalesce("component", "node").alias("comp"))
     more = connected_components(opened(df, cross.where("NOT answers").select("node", "g"), active, scratch, "cross"), scratch, "cross-parts")
-    scratch.drop("cross-sets")
+    for name in ("cross-sets", "matrix", "matrix-rows", "prefixes", "mixed", "heads", "large-heads", "groups", "first-rehearsed", "cross-rehearsed"):
+        scratch.drop(name)  # what is left to do reads rows, linked and the last components
     # classes to components to rows
     names = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id")).join(linked, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     names = names.join(more.select(F.col("node").alias("comp"), "component"), "comp", "left").select("node", "first_id", F.coalesce("component", "comp").alias("comp"))
