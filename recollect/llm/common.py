@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -27,6 +29,15 @@ def crc_mod(col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % modulus
 
 
+def per_worker(key, make):
+    """What ``make()`` gives, kept by this Python worker for its later tasks; one thing at a time."""
+    cache = sys.modules.setdefault("_recollect_worker", types.ModuleType("_recollect_worker")).__dict__
+    if cache.get("key") != key:
+        cache["key"], cache["value"] = None, None
+        cache["value"], cache["key"] = make(), key
+    return cache["value"]
+
+
 class Scratch:
     """Tables of one run in the folder that driver and executors share.
 
