@@ -42,10 +42,10 @@ def _leads(s, d):
 
 
 def _export(s, d):
-    turns = load(s, d, "conversations").where("turn < 100").withColumn("text", F.substring("text", 1, 200))
+    turns = load(s, d, "conversations")
     message = F.struct(F.struct("role").alias("author"), F.struct(F.lit("text").alias("content_type"), F.array("text", F.lit("")).alias("parts")).alias("content"))
     nodes = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.struct(message.alias("message")).alias("n")))).alias("x"))
-    mapping = F.map_from_arrays(F.transform("x", lambda e: F.lpad(e["turn"].cast("string"), 6, "0")), F.transform("x", lambda e: e["n"]))
+    mapping = F.map_from_arrays(F.transform("x", lambda e: e["turn"].cast("string")), F.transform("x", lambda e: e["n"]))
     raw = nodes.select(F.to_json(F.array(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("title"), mapping.alias("mapping")))).alias("raw"))
     return im.from_export(raw)
 
