@@ -44,8 +44,7 @@ def _doomed(s, d):
 
 
 def _cascade(s, d, part):
-    ev = dom.growth_events(s, d).withColumn("memory_id", F.col("memory_id") % 500)
-    return m.cascade_delete(_doomed(s, d), dom.memory_index(s, d), ev)[part]
+    return m.cascade_delete(_doomed(s, d), dom.memory_index(s, d), dom.growth_events(s, d))[part]
 
 
 def _spaces(s):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import moment
@@ -20,8 +23,8 @@ HI, LO = 0.30, 0.15
 
 
 def _asked(s, d):
-    """Connections with every third customer asking; the query vector is the owner's first anchor's."""
-    own = a.with_grants(dom.connections(s, d).where("NOT revoked AND id % 3 = 0"), dom.grants(s, d))
+    """Every live connection asking; the query vector is the owner's first anchor's."""
+    own = a.with_grants(dom.connections(s, d).where("NOT revoked"), dom.grants(s, d))
     v = dom.vector_spaces(s, d).where("space_id < 10").select("user_id", F.col("description_vector").alias("vector"))
     wish = F.when(F.col("id") % 2 == 0, F.array(F.col("user_id").cast("string"), F.lit("999")))
     req = own.join(v, "user_id", "left").select(F.col("id").alias("request_id"), F.col("id").alias("connection_id"), "user_id", "vector", F.concat(F.lit("query "), F.col("label")).alias("query"), wish.alias("requested"), F.col("space_ids").alias("granted"))
@@ -49,8 +52,11 @@ def _assigned(s, d):
 
 
 def _suggest(s, d):
-    pts = dom.items(s, d).where("user_id = 3").withColumn("text", F.concat(F.lit("memory number"), F.col("id").cast("string")))
-    return k.suggest(pts).select("cluster", "suggested_name", "item_count", F.array_join("examples", ",").alias("examples"))
+    """Suggestions of every owner, one clustering run each."""
+    pts = dom.items(s, d).withColumn("text", F.concat(F.lit("memory number"), F.col("id").cast("string")))
+    owners = [r["user_id"] for r in k.suggest_k(pts).select("user_id").orderBy("user_id").collect()]
+    runs = [k.suggest(pts.where(F.col("user_id") == u)).select(F.lit(u).cast("long").alias("user_id"), "cluster", "suggested_name", "item_count", F.array_join("examples", ",").alias("examples")) for u in owners]
+    return reduce(DataFrame.unionByName, runs) if runs else s.createDataFrame([], "user_id long, cluster int, suggested_name string, item_count long, examples string")
 
 
 QUERIES = {
