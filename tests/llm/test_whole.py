@@ -1,0 +1,50 @@
+"""Whole results of the training-data operators, against brute force."""
+
+import random
+
+import numpy as np
+
+from recollect.llm import decontamination
+
+DOC = "id long, text string"
+
+
+def skewed(rng, n):
+    """Words of a skewed distribution, so that items hold common and rare ones."""
+    return [f"w{int(rng.paretovariate(0.5))}" if rng.random() < 0.9 else f"r{rng.randrange(5000)}" for _ in range(n)]
+
+
+def every_pair(items, texts):
+    """What the last check finds in every window of every text, with neither gate nor cosine."""
+    out, d = set(), decontamination
+    for t, text in enumerate(texts):
+        at = items.index(d.words([text])[0])
+        for length, own in items.scales:
+            _, start, end = d.passages(np.array([len(at)]), length, length // 4)
+            for s, e in zip(start.tolist(), end.tolist(), strict=True):
+                seq = [x for x in at[max(0, s - length // 4) : e + length // 4].tolist() if x >= 0]
+                for i in own.tolist():
+                    share = d.lcs(items.masks[i], len(items.words[i]), seq) / len(items.words[i])
+                    answer = d.lcs(items.answers[i][0], items.answers[i][1], seq) / items.answers[i][1]
+                    if share >= d.SURE_LCS or share >= d.LEAST_LCS and answer >= d.LEAST_ANSWER:
+                        out.add((t, i))
+    return out
+
+
+def test_rare_words_replaced(spark):
+    """Paraphrases of 200 items whose rarest words are replaced are found like the last check alone finds them."""
+    rng = random.Random(12)
+    bench = [skewed(rng, rng.randrange(12, 60)) for _ in range(200)]
+    items = decontamination.Items([(i, " ".join(w)) for i, w in enumerate(bench)])
+    plain = [" ".join(skewed(rng, rng.randrange(50, 400))) for _ in range(600)]
+    df = spark.createDataFrame(list(enumerate(plain)), DOC)
+    items.weigh(*decontamination.frequencies(df.select("text"), items))
+    items.place(decontamination.latent_basis(decontamination.sampled(df, items), items))
+    texts = []
+    for i, w in enumerate(bench):
+        w, heavy = list(w), np.argsort(-items.idf[items.words[i]])
+        for x in heavy[: int(len(w) * rng.choice([0.1, 0.2, 0.3]))].tolist():
+            w[x] = "zz"
+        texts.append(" ".join(skewed(rng, 30) + w + skewed(rng, 30)))
+    want, got = every_pair(items, texts), {(t, i) for t, i, *_ in decontamination.matches(items, texts)}
+    assert got == want and sum(t == i for t, i in want) >= 190
