@@ -11,10 +11,9 @@ metaspaces, and where none goes on after a letter with an ASCII sign or digit, b
 cannot cross such a cut. Short pieces of text are met again and again, so
 each distinct one of a batch goes through the library once, and a worker keeps a bounded number of results.
 
-Parity with the sentencepiece library is verified for a set of hard texts whenever a codec is built, and for the
-documents that a hash of the text picks (one in ``PARITY_EVERY``) on the way; a difference is
-told in the column ``parity`` (null: not compared). Every piece of text is decoded again; ``roundtrip`` tells whether
-that gives the normalised text, and the compared documents are decoded whole as well.
+Parity with the sentencepiece library is verified for a set of hard texts whenever a codec is built, and for every
+text on the way; a difference is told in the column ``parity``. Every distinct piece of text is decoded again, and every
+text's ids are decoded whole by the sentencepiece library; ``roundtrip`` tells whether both give the normalised text.
 
 Null texts give null ids and null flags; empty texts give no ids. Repeated rows are encoded alike; an empty
 table gives an empty result; other columns are not read. Texts are encoded whole, and marks such as ``<s>`` in a text are
@@ -43,7 +42,7 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
-THREADS, STEP, PARITY_EVERY = 2, 500_000, 64
+THREADS, STEP = 2, 500_000
 #: Pieces of text that a worker keeps encoded, and the longest that it keeps.
 KEPT, KEPT_CHARS = 200_000, 64
 HARD = ["", " ", "  two  spaces ", "a\tb\nc\r\n", "Grüße, señor – déjà vu", "日本語のテキスト", "😀 emoji \U0001f9d1‍\U0001f680", "<s> </s> <unk> <0x41>", f"x{MARK}y {MARK}", "1234567890 3.14", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "ﬁ ½ ① Ａ", "\u0000\u0001", "é   　 x", "!!??..,,;;::", "don't can't"]
@@ -180,7 +179,6 @@ class Codec:
         self.piece = cutter(self.model)
         self.bare = build(self.model)  # for pieces that are normalised and cut already
         self.bare.normalizer, self.bare.pre_tokenizer = None, None
-        self.spelling = [p if t in (NORMAL, USER) else "\0" for p, _, t in self.model.pieces]
         self.kept: dict[str, bytes] = {}  # ids as 32-bit integers
         self.broken: set[str] = set()  # pieces that do not decode to themselves
         self.slow = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -210,11 +208,8 @@ class Codec:
         new = [c for c in set(chain.from_iterable(cut)) if c not in self.kept]
         got = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
         self.kept.update((c, array("i", x).tobytes()) for c, x in zip(new, got, strict=True))
-        # a piece whose tokens spell it decodes to itself; the others, with bytes in them, are decoded
-        spelled = self.spelling.__getitem__
-        rest = [(c, x) for c, x in zip(new, got, strict=True) if "".join(map(spelled, x)) != c]
-        back = self.decode([x for _, x in rest])
-        bad = {c for (c, _), b in zip(rest, back, strict=True) if b != c.replace(MARK, " ")[int(self.model.dummy_prefix and c[0] == MARK) :]}
+        back = self.decode(got)
+        bad = {c for c, b in zip(new, back, strict=True) if b != c.replace(MARK, " ")[int(self.model.dummy_prefix and c[0] == MARK) :]}
         self.broken |= bad
         ids = [np.frombuffer(b"".join(map(self.kept.__getitem__, c)), np.int32) for c in cut]
         same = [not self.broken or self.broken.isdisjoint(c) for c in cut]
@@ -254,11 +249,9 @@ def encoded(df: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str =
             flat = np.concatenate([*ids, np.zeros(0, np.int32)])
             edges = np.concatenate([[0], np.cumsum(lens)])
             fallback = np.concatenate([[0], np.cumsum((flat >= low) & (flat < high))])
-            picked = [i for i, t in enumerate(texts) if zlib.crc32(t.encode("utf-8", "surrogatepass")) % PARITY_EVERY == 0]
-            parity: list[bool | None] = [None] * len(texts)
-            for i, want, back in zip(picked, codec.slow.encode([texts[i] for i in picked], num_threads=1), codec.decode([ids[i].tolist() for i in picked]), strict=True):
-                parity[i] = want == ids[i].tolist()
-                same[i] &= back == codec.normalised(texts[i])
+            lists = [x.tolist() for x in ids]
+            parity = [want == own for want, own in zip(codec.slow.encode(texts, num_threads=1), lists, strict=True)]
+            same = [s and b == codec.normalised(t) for s, b, t in zip(same, codec.slow.decode(lists, num_threads=1), texts, strict=True)]
             null = np.asarray(batch.column(1).is_null())
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat), mask=pa.array(null)) if len(texts) else pa.array([], pa.list_(pa.int32())),

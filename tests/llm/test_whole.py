@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from recollect.llm import decontamination
+from recollect.llm import decontamination, sentencepiece_codec
 
 DOC = "id long, text string"
 
@@ -48,3 +48,15 @@ def test_rare_words_replaced(spark):
         texts.append(" ".join(skewed(rng, 30) + w + skewed(rng, 30)))
     want, got = every_pair(items, texts), {(t, i) for t, i, *_ in decontamination.matches(items, texts)}
     assert got == want and sum(t == i for t, i in want) >= 190
+
+
+def test_every_text_compared(spark):
+    """Parity is told of every text that is not null, and each distinct piece goes through the decoder."""
+    texts = [*sentencepiece_codec.HARD, *(f"text number {i}, été {i * i}" for i in range(100)), None]
+    rows = sentencepiece_codec.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sentencepiece_codec.model_bytes()).collect()
+    assert all((r["parity"], r["roundtrip"]) == ((None, None) if texts[r["doc_id"]] is None else (True, True)) for r in rows) and len(rows) == len(texts)
+    codec, seen = sentencepiece_codec.Codec(sentencepiece_codec.model_bytes()), []
+    real = codec.decode
+    codec.decode = lambda ids: seen.extend(ids) or real(ids)
+    codec.encode(["one two one"])
+    assert len(seen) == 2
