@@ -99,15 +99,17 @@ GAP = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
-def word_hashes(texts: list[str], replace: bytes | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of some texts (A-Z lower-cased, cut at ASCII white space), and each text's number of words.
+def word_hashes(texts: list[str], replace: bytes | None = None, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some texts (cut at ASCII white space, with ``fold`` A-Z lower-cased), and each text's number of words.
 
     Eight bytes of every word are mixed in at a time, for all words at once. ``replace`` maps each byte to another before that.
     """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     if replace:
         raw = [r.translate(replace) for r in raw]
-    data = b" ".join(raw).lower()
+    data = b" ".join(raw)
+    if fold:
+        data = data.lower()
     buffer = np.frombuffer(b" " + data + b" " * 9, np.uint8)
     gap = GAP[buffer[: len(data) + 2]]
     edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1  # starts and ends in turn

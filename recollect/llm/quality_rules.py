@@ -3,9 +3,12 @@
 Each text gives, in one pass, the counts of the base rules, a histogram of byte classes and a histogram of
 common words. Summed over all documents by the ``lang`` column the histograms are the references; a
 document is compared with every language's reference by Jensen-Shannon distance (base 2, 0 to 1), and the
-nearest language counts, so that a wrong label rejects nobody. Texts below the guards are not compared.
+nearest language counts, so that a wrong label rejects nobody. Texts below the guards are not compared. A
+language is a reference if it has at least ``MIN_REFERENCE_SHARE`` of all labelled words, whatever their number; so there are
+at most ``1 / MIN_REFERENCE_SHARE`` references, and only those come to the driver.
 
-Null and empty texts have no words and fail the base rules. Rows are judged one by one: repeated rows and
+Null and empty texts have no words and fail the base rules. Texts count whole, however long: words and windows as they are
+written, common words in either case. Rows are judged one by one: repeated rows and
 ties are judged alike. Documents with a null ``lang`` are compared, but are no reference. An empty table
 gives an empty result; other columns are not read.
 """
@@ -35,8 +38,8 @@ CLASSES = 11
 MIN_WORDS, MIN_CHARS = 50, 200
 #: Rejected beyond these distances.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.45
-#: A language is a reference once it has so many words.
-MIN_REFERENCE_WORDS = 1000
+#: A language is a reference from this share of all labelled words on.
+MIN_REFERENCE_SHARE = 1e-4
 
 
 def byte_classes() -> np.ndarray:
@@ -64,9 +67,10 @@ def features(texts: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
     by_byte = np.bincount(owner * 256 + np.frombuffer(b"".join(raw), np.uint8), minlength=256 * n).reshape(n, 256)
     classes = byte_classes()
     onehot = (classes[:, None] == np.arange(CLASSES)).astype(np.int64)
-    h, lens = word_hashes(texts)
-    at = np.searchsorted(common, h).clip(max=len(common) - 1)
-    hit = common[at] == h
+    h, lens = word_hashes(texts, fold=False)
+    folded = word_hashes(texts)[0]
+    at = np.searchsorted(common, folded).clip(max=len(common) - 1)
+    hit = common[at] == folded
     doc = np.repeat(np.arange(n), lens)
     by_word = np.bincount(doc * (len(common) + 1) + np.where(hit, at, len(common)), minlength=n * (len(common) + 1)).reshape(n, -1)
     covered = np.zeros(len(h), bool)
@@ -133,9 +137,12 @@ def references(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], names=["lang", "hist"])
 
     parts = measured.where(F.col("lang").isNotNull()).select("lang", "classes", "words").mapInArrow(sums, "lang string, hist array<long>")
-    rows = parts.select("lang", F.posexplode("hist").alias("bin", "n")).groupBy("lang", "bin").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("h")).orderBy("lang").collect()
-    hist = np.array([[x["n"] for x in r["h"]] for r in rows], np.float64).reshape(len(rows), CLASSES + len(WORDS) + 1)
-    hist = hist[hist[:, CLASSES:].sum(1) >= MIN_REFERENCE_WORDS] if len(hist) else np.zeros((0, CLASSES + len(WORDS) + 1))
+    bins = parts.select("lang", F.posexplode("hist").alias("bin", "n")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    words = bins.where(F.col("bin") >= CLASSES).groupBy("lang").agg(F.sum("n").alias("words"))
+    total = parts.select(F.explode(F.slice("hist", CLASSES + 1, len(WORDS) + 1)).alias("n")).agg(F.sum("n")).first()[0] or 0
+    large = words.where((F.col("words") > 0) & (F.col("words") >= MIN_REFERENCE_SHARE * total)).select("lang")
+    rows = bins.join(large, "lang", "left_semi").groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"]).alias("h")).orderBy("lang").collect()
+    hist = np.array([r["h"] for r in rows], np.float64).reshape(len(rows), CLASSES + len(WORDS) + 1)
     return hist[:, :CLASSES], hist[:, CLASSES:]
 
 

@@ -5,10 +5,10 @@ other as canonical are one equivalence class, found as a connected component of
 one member reaches the aliases that have no rule of their own. An explicit allow goes first: a url's own
 rule always decides for it, and a class in which any url is explicitly allowed passes no block on.
 
-Nodes of the graph are urls without scheme and fragment. Null urls and urls without ``://`` have empty host
-and path, fit no rule and are allowed. Repeated rows are judged alike, ties between rules of one length
-cannot both fit one url with different text; of equal rules a block is dropped for an allow. Empty tables
-give empty results; other columns are not read.
+Every canonical link and every redirect of a page is an edge. Nodes of the graph are urls without scheme and fragment. Null
+urls and urls without ``://`` have empty host and path, fit no rule and are allowed. The longest fitting rule decides; of
+fitting rules of one length an allow goes first, then the text in order, however many rules there are. Repeated rows are judged alike.
+Html is searched whole, a tag ends at the next angle bracket. Empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from .components import connected_components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules are literals of the plan; more are joined by host.
 LITERAL_RULES = 256
-CANONICAL = (r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-REFRESH = (r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["']?[^"'>]*?\burl\s*=\s*["']?([^"'\s>]+)""", 1)
+CANONICAL = r"""(?is)<link\b(?=[^<>]*\brel\s*=\s*["']?canonical\b)[^<>]*?\bhref\s*=\s*["']?([^"'\s<>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^<>]*?\bcontent\s*=\s*["']?[^"'<>]*?\burl\s*=\s*["']?([^"'\s<>]+)"""
 
 
 @dataclass(frozen=True)
@@ -76,41 +76,41 @@ def resolved(base: Column, href: Column) -> Column:
     )
 
 
-def with_rule(df: DataFrame, rules: list[Rule], key: str) -> DataFrame:
-    """Add ``rule`` and ``rule_allow`` of the longest fitting rule to rows with host and path; ``key`` is unique."""
+def with_rule(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Add ``rule`` and ``rule_allow`` of the deciding rule to rows with host and path."""
     best: dict[str, Rule] = {}
     for r in rules:
         if r.text not in best or r.allow:
             best[r.text] = r
-    rules = sorted(best.values(), key=lambda r: (-len(r.text), r.text))
+    rules = sorted(best.values(), key=lambda r: (-len(r.text), not r.allow, r.text))
     if len(rules) <= LITERAL_RULES:
         fit = [(((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path), r) for r in rules]
         text, allow = F.lit(None).cast("string"), F.lit(None).cast("boolean")
         for cond, r in reversed(fit):
             text, allow = F.when(cond, F.lit(r.text)).otherwise(text), F.when(cond, F.lit(r.allow)).otherwise(allow)
         return df.withColumns({"rule": text, "rule_allow": allow})
-    known = df.sparkSession.createDataFrame([(r.host, r.path, r.text, r.allow) for r in rules], "rule_host string, rule_path string, rule string, rule_allow boolean")
+    known = df.sparkSession.createDataFrame([(r.host, r.path, r.text, r.allow, i) for i, r in enumerate(rules)], "rule_host string, rule_path string, rule string, rule_allow boolean, place int")
     labels = F.split("host", r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hits = df.select(key, "path", F.explode(tails).alias("rule_host")).join(known, "rule_host").where(F.expr("startswith(path, rule_path)"))
-    top = hits.groupBy(key).agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "rule_allow")).alias("top")).select(key, "top.rule", "top.rule_allow")
-    return df.join(top, key, "left")
+    hits = df.select("host", "path").distinct().select("host", "path", F.explode(tails).alias("rule_host")).join(known, "rule_host").where(F.expr("startswith(path, rule_path)"))
+    top = hits.groupBy("host", "path").agg(F.min(F.struct("place", "rule", "rule_allow")).alias("top")).select("host", "path", "top.rule", "top.rule_allow")
+    return df.join(top, ["host", "path"], "left")
 
 
 def judge(pages: DataFrame, rules: list[Rule], scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, host, path, rule, verdict, inherited) for every page; inherited tells a block taken from an alias."""
     url, html = F.col(url_col).cast("string"), F.col(html_col).cast("string")
-    links = F.array(*[F.regexp_extract(html, *x) for x in (CANONICAL, REFRESH)])
+    links = F.concat(*[F.regexp_extract_all(html, F.lit(x), 1) for x in (CANONICAL, REFRESH)])
     edges = (
         pages.where(html.rlike(r"(?i)canonical|http-equiv"))
-        .select(url.alias("url"), F.explode(F.filter(links, lambda x: x != "")).alias("href"))
+        .select(url.alias("url"), F.explode(links).alias("href"))
         .select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("url"), F.col("href"))).alias("b"))
     )
     parts = connected_components(edges, scratch, "aliases")
-    nodes = with_rule(parts.select("node", "component", F.regexp_extract("node", r"(?s)^([^/?]*)", 1).alias("host"), F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1).alias("path")), rules, "node")
+    nodes = with_rule(parts.select("node", "component", F.regexp_extract("node", r"(?s)^([^/?]*)", 1).alias("host"), F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1).alias("path")), rules)
     classes = nodes.groupBy("component").agg(F.coalesce(F.bool_or(~F.col("rule_allow")) & ~F.coalesce(F.bool_or("rule_allow"), F.lit(False)), F.lit(False)).alias("blocked"))
     tainted = parts.join(classes.where("blocked"), "component").select("node", F.lit(True).alias("tainted"))
-    rows = with_rule(pages.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node")), rules, "_row")
+    rows = with_rule(pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), node_of(url).alias("node")), rules)
     inherited = F.col("rule").isNull() & F.coalesce("tainted", F.lit(False))
     verdict = F.when(F.col("rule").isNotNull(), F.when(F.col("rule_allow"), "allow").otherwise("block")).when(inherited, "block").otherwise("allow")
     return rows.join(tainted, "node", "left").select(id_col, "host", "path", "rule", verdict.alias("verdict"), inherited.alias("inherited"))

@@ -1,6 +1,8 @@
 """URL filter, secret scan and quality rules against brute force and on odd inputs."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 import string
@@ -128,6 +130,28 @@ def test_url_many_rules(spark, monkeypatch):
     assert sorted(map(tuple, url_filter.judge(df, url_filter.RULES, Scratch(spark, "t")).collect())) == want
 
 
+def test_url_many_links(spark):
+    """Every canonical link and refresh of a page counts, in either order, in html of any length."""
+    bad, good = "http://b.com/de/1", "http://fine.net/1"
+    head = "<html>" + "<link x " * 30_000
+    rows = [(i, f"http://p{i}.net/", head + page(a) + "text" + page(b)) for i, (a, b) in enumerate([(bad, good), (good, bad), (bad, None), (good, good)])]
+    rows += [(4, "http://p4.net/", page(refresh=bad) + page(refresh="http://other.net/")), (5, "http://p5.net/", page(refresh="http://other5.net/") + page(refresh=bad)), (6, "http://p6.net/", "<p " * 50_000), (7, None, None)]
+    # the classes of good links must not meet, else all are one class
+    rows = [(i, u, h and h.replace("fine.net", f"fine{i}.net")) for i, u, h in rows]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), url_filter.RULES, Scratch(spark, "t")).collect()}
+    assert got == {0: "block", 1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "allow", 7: "allow"}
+
+
+def test_url_ties(spark, monkeypatch):
+    """Of rules of one length an allow goes first, on both ways of looking rules up."""
+    rules = [url_filter.Rule.parse(t, a) for t, a in (("a.b.com/", True), ("b.com/xy", False), ("c.d.net/", False), ("d.net/xy", True), ("e.f.org/", False), ("f.org/xy", False), ("b.com/xy", False))]
+    df = spark.createDataFrame([(1, "http://a.b.com/xyz", None), (2, "http://c.d.net/xyz", None), (3, "http://e.f.org/xyz", None), (4, "http://b.com/xyz", None), (4, "http://b.com/xyz", None), (5, None, None)], "page_id long, url string, html string")
+    want = [(1, "a.b.com/", "allow"), (2, "d.net/xy", "allow"), (3, "e.f.org/", "block"), (4, "b.com/xy", "block"), (4, "b.com/xy", "block"), (5, None, "allow")]
+    for literal in (256, 0):
+        monkeypatch.setattr(url_filter, "LITERAL_RULES", literal)
+        assert sorted((r["page_id"], r["rule"], r["verdict"]) for r in url_filter.judge(df, rules, Scratch(spark, "t")).collect()) == want
+
+
 # ---- quality rules
 
 
@@ -139,15 +163,15 @@ def brute_counts(text):
         if re.search(r"[^\x20\x09-\x0d]", x):
             dup += x in seen
             seen.add(x)
-    low = [w.encode().lower() for w in words]
-    grams = [tuple(low[i : i + 3]) for i in range(len(words) - 2)]
-    covered = {i + k for i, g in enumerate(grams) if grams.count(g) >= 2 for k in range(3)}
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    times = collections.Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if times[g] >= 2 for k in range(3)}
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
 
 
 def test_quality_counts(spark):
     rng = random.Random(4)
-    texts = [None, "", " \n\n", "a b c a b c", "x\nx\nx\n \n ", "é # $ | <b>\x1cq", "w " * 300] + [" ".join(rng.choice(["a", "b", "cé", "#x", "D"]) + rng.choice(["", "\n"]) for _ in range(60)) for _ in range(40)]
+    texts = [None, "", " \n\n", "a b c a b c", "a b c A b c x y Z x y z", "long " * 40_000 + "end", "x\nx\nx\n \n ", "é # $ | <b>\x1cq", "w " * 300] + [" ".join(rng.choice(["a", "b", "cé", "#x", "D", "A", "É"]) + rng.choice(["", "\n"]) for _ in range(60)) for _ in range(40)]
     got = {r["doc_id"]: tuple(r[c] for c in quality_rules.COUNTS) for r in quality_rules.measure(docs(spark, texts), "doc_id", "text", "lang").collect()}
     for i, t in enumerate(texts):
         want = brute_counts(t)
@@ -169,6 +193,55 @@ def test_quality_divergence(spark, tmp_path):
     assert no_reference["kept_by_divergence"] and no_reference["word_distance"] is None
 
 
+def brute_js(p, q):
+    p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+    kl = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x)
+    return math.sqrt((kl(p, q) + kl(q, p)) / 2)
+
+
+def histograms(text):
+    """Counts of byte classes, by character, and of common words, with all other words last."""
+    names = ["".join(map(chr, range(97, 123))), "".join(map(chr, range(65, 91))), "0123456789", " \t\n\x0b\x0c\r", ".,;:'\"-()?", "!", "#*$%&|<>"]
+    classes = [sum(c in x for c in text) for x in names]
+    wide = [sum(lo <= ord(c) < hi for c in text) for lo, hi in ((0x80, 0x280), (0x280, 0x10000), (0x10000, 0x110000))]
+    classes += [sum(ord(c) < 0x80 for c in text) - sum(classes), *wide]
+    words = [w.encode().lower().decode() for w in re.findall(r"[^\x20\x09-\x0d]+", text)]
+    known = [words.count(w) for w in quality_rules.WORDS]
+    return classes, [*known, len(words) - sum(known)]
+
+
+def test_quality_verdict_brute(spark, tmp_path):
+    """The verdict of every row, from references and distances computed one by one."""
+    rng = random.Random(6)
+    parts = {x: quality_rules.COMMON[x].split() + [f"{x}wort{i}" for i in range(30)] for x in ("en", "de")}
+    rows = [(i, " ".join(rng.choices(parts[x], k=rng.choice([20, 60, 150]))) + rng.choice([".", "!", " Ä日"]), x) for i, x in enumerate(["en", "de"] * 25)]
+    rows += [(50, "#%% $$$ ||| 0101 &&& " * 60, None), (51, "ZZZ!! QQQ!! XXX!! " * 40, None), (52, None, "en"), (53, "", "de"), (54, "日本 " * 100, None), (54, "the of " * 60, None), (None, "der die " * 70, "fr")]
+    spark.createDataFrame([(i, t, x, None, None, "x", None, "y") for i, t, x in rows], DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    total = {}
+    for _, t, x in rows:
+        if x and t:
+            total[x] = [[a + b for a, b in zip(p, q, strict=True)] for p, q in zip(total.get(x, [[0] * quality_rules.CLASSES, [0] * (len(quality_rules.WORDS) + 1)]), histograms(t), strict=True)]
+    want = []
+    for i, t, _ in rows:
+        n, _, _, _, repeat = brute_counts(t)
+        failed = n < 50 or 100 * repeat > 50 * n
+        classes, words = histograms(t or "")
+        far = [min(brute_js(h, ref[k]) for ref in total.values()) if enough else None for k, h, enough in ((0, classes, sum(classes) >= quality_rules.MIN_CHARS), (1, words, n >= quality_rules.MIN_WORDS))]
+        bad = (far[0] or 0) > quality_rules.MAX_CLASS_DISTANCE or (far[1] or 0) > quality_rules.MAX_WORD_DISTANCE
+        want.append((str(i), n, failed, not failed and not bad, *(None if x is None else round(x, 6) for x in far)))
+    got = [(str(r["doc_id"]), r["n_words"], r["base_failed"], r["kept"], *(None if r[c] is None else round(r[c], 6) for c in ("class_distance", "word_distance"))) for r in quality_rules.op10_quality_rules(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert {w[3] for w in want} == {True, False}
+
+
+def test_quality_many_languages(spark):
+    """Thousands of languages: only those with a share of the words are references."""
+    df = spark.range(12_000).selectExpr("id AS doc_id", "repeat('the cat of the house ', 40) AS text", "concat('x', id) AS lang").unionAll(spark.range(3000).selectExpr("id", "repeat('the dog of the house ', 40)", "'en'"))
+    measured = quality_rules.measure(df, "doc_id", "text", "lang")
+    assert len(quality_rules.references(measured)[0]) == 1
+    assert quality_rules.assess(df, Scratch(spark, "t")).where("kept_by_divergence").count() == 15_000
+
+
 def test_js_distance():
     d = quality_rules.js_distance(np.array([[1.0, 0], [0, 1], [1, 1]]), np.array([[2.0, 0]]))
     assert d[0, 0] == pytest.approx(0) and d[1, 0] == pytest.approx(1) and 0 < d[2, 0] < 1
