@@ -148,17 +148,24 @@ def segment_sums(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lens]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, dict[int, int]]:
-    """(rows (id, text, label) of at most ``per_class`` documents a class, labelled documents a class).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, reduce, kind: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[int, int]]:
+    """(rows (id, label, x) of at most ``per_class`` documents a class, labelled documents a class).
 
-    Which documents is decided by a hash of their id. Only ids of the sample are broadcast, at most
+    ``x``, of Spark type ``kind``, is what ``reduce(texts)`` gives for each of a list of texts; it is computed where the text lies, so that
+    no text is shuffled or collected. Which documents is decided by a hash of their id. Only ids of the sample are broadcast, at most
     ``2 * per_class``. An id with several labels counts with the highest, one with several texts with the
-    smallest; null ids, labels and labels other than 0 and 1 are left out.
+    smallest ``x``; null ids, labels and labels other than 0 and 1 are left out.
     """
     y = F.col(label).cast("int")
-    known = labels.where(F.col(id_col).isNotNull() & y.isin(0, 1)).groupBy(id_col).agg(F.max(y).alias("label"))
+    known = labels.where(F.col(id_col).isNotNull() & y.isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(y).alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    parts = [known.where(F.col("label") == c).orderBy(F.xxhash64(id_col), id_col).limit(per_class) for c in (0, 1)]
+    parts = [known.where(F.col("label") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
     ids = parts[0].unionByName(parts[1])
-    rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), id_col).groupBy(id_col, "label").agg(F.min("text").alias("text"))
-    return sorted((r[id_col], r["text"], r["label"]) for r in rows.collect()), counts
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").select("id", "text", "label")
+    schema = rows.select("id", "label").withColumn("x", F.lit(None).cast(kind)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in steps(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(reduce(texts), pa.binary() if kind == "binary" else pa.list_(pa.float64()))], names=["id", "label", "x"])
+
+    return rows.mapInArrow(run, schema).groupBy("id", "label").agg(F.min("x").alias("x")), counts

@@ -7,7 +7,8 @@ array arithmetic: ``node = 2 * node + 1 + (x[feature[node]] > threshold[node])``
 
 It is fitted on a bounded sample of labelled rows, weighted back to the classes' true shares. Null texts count as
 empty and get a score like any other; without labels of both classes every score is the share of class 1,
-or 0.5. Repeated rows are scored alike; empty tables give empty results; other columns are not read.
+or 0.5. Texts count whole, however long. Repeated rows are scored alike, ties between cuts go to the first statistic and least cut; empty
+tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -98,10 +99,15 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> Forest:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> Forest:
-    rows, counts = labelled_sample(docs, labels, label, per_class, id_col, text_col)
-    common = common_hashes()
-    x = np.vstack([np.zeros((0, 9 + CLASSES)), *[statistics([r[1] for r in rows[i : i + 200]], common) for i in range(0, len(rows), 200)]])
-    y = np.array([r[2] for r in rows], np.int64)
+    """Statistics are taken where the texts lie; the driver gets ``9 + CLASSES`` numbers of each sampled document."""
+
+    def reduce(texts: list[str]) -> list[list[float]]:
+        return statistics(texts, common_hashes()).tolist()
+
+    sample, counts = labelled_sample(docs, labels, label, per_class, reduce, "array<double>", id_col, text_col)
+    rows = sorted((r["id"], r["label"], r["x"]) for r in sample.collect())
+    x = np.array([r[2] for r in rows], np.float64).reshape(len(rows), 9 + CLASSES)
+    y = np.array([r[1] for r in rows], np.int64)
     got = np.bincount(y, minlength=2)
     w = np.array([counts.get(c, 0) / max(got[c], 1) for c in (0, 1)])[y] if len(y) else np.zeros(0)
     return grow(x, y, w / max(w.mean(), 1e-9) if len(w) else w)

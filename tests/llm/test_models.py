@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recollect.llm import language_id, quality_model, sentencepiece_codec, toxicity
+from recollect.llm import language_id, quality_model, quality_rules, sentencepiece_codec, toxicity
 from recollect.llm.common import words_of
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out string, predicted string"
@@ -99,6 +99,62 @@ def test_pool_by_hand():
         assert got == pytest.approx(float(net.logits(np.concatenate(pooled)[None])[0]), abs=1e-4)
 
 
+def test_coded_texts_score_alike():
+    """What the training reads gives the log odds and languages that scoring reads off the words."""
+    net = toxicity.Net(4)
+    texts = ["the cat and the (dog)", "", "der Hund, und die Katze.", "é! 'x' the", "a " * 3000, "\n"]
+    z, lang = toxicity.raw_scores(net, [words_of(t) for t in texts], toxicity.Table(net))
+    codes = toxicity.coded(texts)
+    head = 4 * len(toxicity.LANGS)
+    assert toxicity.raw_coded(net, [np.frombuffer(c[head:], np.uint16).reshape(-1, 4) for c in codes]) == pytest.approx(z, abs=1e-4)
+    for c, x in zip(codes, lang, strict=True):
+        marks = np.frombuffer(c[:head], np.float32)
+        assert (marks.argmax() if marks.max() > 0 else -1) == x
+
+
+def test_best_cut_brute():
+    """The cut is the one of greatest weighted F1 of all cuts between different scores."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        z, y, w = rng.integers(0, 8, 20) / 2, rng.integers(0, 2, 20), rng.random(20)
+        if y.sum() in (0, 20):
+            continue
+        f1 = lambda c: 2 * (w * y)[z >= c].sum() / (w[z >= c].sum() + (w * y).sum())
+        assert f1(toxicity.best_cut(z, y, w)) == pytest.approx(max(f1(c) for c in np.unique(z)))
+
+
+def test_calibration_by_language():
+    """Each language with enough labelled rows gets its own threshold; its score there is the cut."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(900):
+        words = ["the", "and", "that"] if i % 2 else ["der", "und", "nicht"]
+        bad = i % 3 == 0
+        text = " ".join(words + [f"w{rng.randrange(100)}" for _ in range(20)] + (["vile"] if bad else []))
+        rows.append((i, int(bad), toxicity.coded([text])[0]))
+    net = toxicity.calibrated(rows, {0: 600, 1: 300})
+    aside = [r for r in rows if zlib.crc32(f"calibrate {r[0]}".encode()) % 5 == 0]
+    head = 4 * len(toxicity.LANGS)
+    for x, name in enumerate(toxicity.LANGS):
+        own = [r for r in aside if np.frombuffer(r[2][:head], np.float32).argmax() == x]
+        want = toxicity.best_cut(toxicity.raw_coded(net, [np.frombuffer(r[2][head:], np.uint16).reshape(-1, 4) for r in own]), np.array([r[1] for r in own]), np.ones(len(own))) if own else net.shift[-1]
+        assert net.shift[x] == pytest.approx(want, abs=1e-3), name
+    text = "the and that w1 w2"
+    z, lang = toxicity.raw_scores(net, [words_of(text)], toxicity.Table(net))
+    assert toxicity.scores(net, [text], toxicity.Table(net))[0][0] == pytest.approx(1 / (1 + np.exp(-(z[0] - net.shift[lang[0]] + np.log(toxicity.CUT / (1 - toxicity.CUT))))))
+
+
+def test_statistics_by_hand():
+    text = "The cat sat.\nThe cat sat.\n#1 $2 ÉÉ"
+    common = quality_model.common_hashes()
+    got = quality_model.statistics([text, ""], common)
+    words = text.split()
+    hits = [sum(w.encode().lower().decode() == c for w in words) for c in quality_rules.WORDS]
+    want = [np.log1p(len(words)), sum(map(len, words)) / len(words), 2 / len(words), 1 / 3, 6 / len(words), len(words) / 3, sum(hits) / len(words), sum(h > 0 for h in hits) / np.sqrt(len(words)), max(hits) / len(words)]
+    assert got[0, :9] == pytest.approx(want) and got[1, :9] == pytest.approx([0, 0, 0, 0, 0, 1, 0, 0, 0])
+    assert got[0, 9:].sum() == pytest.approx(1)
+
+
 def test_table_starts_anew(monkeypatch):
     monkeypatch.setattr(toxicity, "KEPT_WORDS", 5)
     net = toxicity.Net(3)
