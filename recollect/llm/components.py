@@ -7,7 +7,7 @@ written to the shared folder and read back: the plan stays short and lost execut
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -23,21 +23,20 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
     no edges give an empty result.
     """
     good = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    e = scratch.keep(good.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
-    seen = None
-    for i in range(1, MAX_ROUNDS + 1):
-        state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    at, seen = good.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None
+    for i in range(MAX_ROUNDS + 1):
+        told = Observation()  # counted while the round is written
+        e = scratch.keep(at.observe(told, F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")), f"{name}-{i}")
+        scratch.drop(f"{name}-{i - 1}")
+        state = (told.get["n"], told.get["x"])
         if state == seen or not state[0]:
             break
         seen = state
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("v").alias("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.u", "x.v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        e = scratch.keep(small, f"{name}-{i}")
-        if i > 1:
-            scratch.drop(f"{name}-{i - 2}")
+        at = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

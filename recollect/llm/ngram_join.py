@@ -21,8 +21,8 @@ Nothing is capped, sampled or dropped: groups too large are split and opened one
 queries is dealt to several tasks, hot shingles are joined in the JVM where AQE splits them.
 
 Null and empty texts give n_shingles 0 and their own id as component. Repeated rows and ties fall in one
-class. With a null id a row still links; the smallest non-null id names the component. Empty tables give
-empty results; other columns are not read.
+class. With a null id a row still links; the smallest non-null id names the component. Texts count whole, however long. Empty
+tables give empty results; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,8 +47,8 @@ CHUNK = 1_000_000
 #: A group's sets differ in size by this factor at most, and it is split beyond so many classes or shingles.
 GROUP_RATIO = 1.12
 GROUP_CLASSES, GROUP_TOKENS = 256, 500_000
-#: Queries of one group that one task handles.
-QUERIES = 2048
+#: Queries of one group that one task handles, as many as a group has members.
+QUERIES = 256
 #: Bits of the filter that spares unneeded texts the shuffle; when it fills up, more texts pass, none less.
 FILTER_BITS = 1 << 23
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -129,11 +129,12 @@ def hot_filter(texts: DataFrame) -> np.ndarray:
         if rows:
             yield flush(rows)
 
-    out = np.zeros(1 << HOT_BITS, bool)
+    out = np.zeros(1 << HOT_BITS - 3, np.uint8)
     asked = texts.mapInArrow(count, "bucket long, keys binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
     for r in asked.mapInArrow(hot, "bits binary").collect():
-        out[unpack_sorted(bytes(r["bits"])).astype(np.int64)] = True
-    return np.packbits(out)
+        at = unpack_sorted(bytes(r["bits"])).astype(np.int64)
+        np.bitwise_or.at(out, at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8))
+    return out
 
 
 def is_hot(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -142,15 +143,15 @@ def is_hot(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def bitmap(words: DataFrame, bits: int) -> np.ndarray:
-    """Words (w, b) joined to one bitmap; as many rows as it has words come back at most."""
+    """Words (w, b) joined to one bitmap; as many rows as it has words come back at most, as Arrow columns."""
     out = np.zeros(bits // 32, np.uint32)
-    for r in words.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
-        out[r["w"]] = r["b"]
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out[got["w"].to_numpy()] = got["b"].to_numpy().astype(np.uint32)
     return out
 
 
 def measured(df: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(id, n, node, prefix array<long> in the global order)."""
+    """(id, key, n, node, prefix array<long> in the global order). df: (id, text, key)."""
     shared = df.sparkSession.sparkContext.broadcast(hot)
     kind = df.schema["id"].dataType.simpleString()
 
@@ -164,9 +165,9 @@ def measured(df: DataFrame, hot: np.ndarray) -> DataFrame:
             sizes = np.fromiter(map(len, prefixes), np.int32, len(prefixes))
             flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), lists], names=["id", "n", "node", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64()), lists], names=["id", "key", "n", "node", "prefix"])
 
-    return df.select("id", "text").mapInArrow(run, f"id {kind}, n long, node long, prefix array<long>")
+    return df.select("id", "text", "key").mapInArrow(run, f"id {kind}, key long, n long, node long, prefix array<long>")
 
 
 def qualifies(c="c", n="n", lo="lo", hi="hi"):
@@ -241,48 +242,101 @@ class Group:
         return out
 
 
-def rehearsed(opens: DataFrame, members: DataFrame, prefixes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def dealt(members: DataFrame, opens: DataFrame, own: bool, size: str, tokens: str) -> DataFrame:
+    """The rows of opened groups, (g, salt, kind, node, size, tokens), each group's together and dealt by salt.
+
+    members: (node, g, size, tokens); opens: (node, g) queries of other groups. Kind 0 answers and kind 1 asks, where a group's members
+    are repeated for each salt; with ``own`` every member also asks its own group, as kind 2 under a salt of its own.
+    """
+    columns = ["node", size, tokens]
+    salts = opens.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
+    inside = members.join(salts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), *columns)
+    asking = opens.join(salts, "g").join(members.drop("g"), "node").select("g", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), *columns)
+    rows = inside.unionByName(asking)
+    if own:
+        rows = rows.unionByName(members.select("g", F.lit(-1).alias("salt"), F.lit(2).alias("kind"), *columns))
+    return rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "kind", "node")
+
+
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, "Group", list[tuple]]]:
+    """(g, salt, opened group, queries (node, size, tokens)) of rows that ``dealt`` gives; a group's queries come a batch at a time."""
+    key, group, ready, asked = None, None, False, []
+
+    def ask():
+        nonlocal ready, asked
+        if not ready:
+            group.build()
+            ready = True
+        out, asked = asked, []
+        return key[0], key[1], group, out
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        last = b.column(5)
+        edges = np.frombuffer(last.buffers()[1], np.int32)[last.offset : last.offset + len(last) + 1]
+        if pa.types.is_list(last.type):
+            flat, edges = last.values.to_numpy().view(np.uint8), edges.astype(np.int64) * 8
+        else:
+            flat = np.frombuffer(last.buffers()[2] or b"", np.uint8)
+        for i, (g, salt, kind, node, size) in enumerate(zip(*[c.to_pylist() for c in b.columns[:5]], strict=True)):
+            if (g, salt) != key:
+                if asked:
+                    yield ask()
+                key, group, ready = (g, salt), Group(), False
+            row = (node, size, flat[edges[i] : edges[i + 1]].view(np.uint64))
+            if kind != 1:
+                group.add(*row)
+            if kind != 0:
+                asked.append(row)
+        if asked and key[1] >= 0:  # under its own salt a group is whole only at its end
+            yield ask()
+    if asked:
+        yield ask()
+
+
+def gathered(parts: Iterator[np.ndarray], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Small integer matrices, one column per name, as record batches of some thousand rows."""
+    held, size = [], 0
+    for p in parts:
+        if len(p):
+            held.append(p)
+            size += len(p)
+        if size >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(np.concatenate(held).T, types, strict=True)], names=names)
+            held, size = [], 0
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(np.concatenate(held).T, types, strict=True)], names=names)
+
+
+def rehearsed(opens: DataFrame, units: DataFrame, own: bool, scratch: Scratch, name: str) -> DataFrame:
     """Of the (class, group) pairs that a group's union lets through, those that some member's own bound lets through.
 
-    opens: (node, g); members: (node, g); prefixes: (node, n, toks), the shared prefix shingles. Gives
-    (node, g, answers): queries, and with ``answers`` members that a query may link with. Full sets are loaded for these
+    opens: (node, g); units: (node, g, n, toks), the shared prefix shingles. Gives
+    (node, g, kind): 1 queries of other groups and 2 of the own group, and with 0 members that a query may link with. Full sets are loaded for these
     only.
     """
-    salts = opens.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
-    inside = members.join(salts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "node")
-    asking = opens.join(salts, "g").select("g", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), "node")
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, ready, hit = None, Group(), False, set()
-        for b in batches:
-            out = []
-            for g, salt, kind, node, n, toks in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if (g, salt) != key:
-                    out += [(x, key[0], True) for x in hit]
-                    key, group, ready, hit = (g, salt), Group(), False, set()
-                toks = np.array(toks, np.int64).view(np.uint64)
-                if kind == 0:
-                    group.add(node, n, toks)
-                    continue
-                if not ready:
-                    group.build()
-                    ready = True
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for g, salt, group, asked in groups_of(batches):
+            hit, out = set(), []
+            for node, n, toks in asked if len(group.nodes) > (salt < 0) else []:
                 if len(may := group.rehearse(node, n, toks)):
-                    out.append((node, g, False))
+                    out.append((node, g, 2 if salt < 0 else 1))
                     hit.update(may)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], names=["node", "g", "answers"])
-        if hit:
-            yield pa.RecordBatch.from_arrays([pa.array(list(hit), pa.int64()), pa.array([key[0]] * len(hit), pa.int64()), pa.array([True] * len(hit))], names=["node", "g", "answers"])
+            yield np.array(out + [(node, g, 0) for node in sorted(hit)], np.int64).reshape(-1, 3)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(found(batches), ["node", "g", "kind"], [pa.int64(), pa.int64(), pa.int32()])
 
-    rows = inside.unionByName(asking).join(prefixes, "node").select("g", "salt", "kind", "node", "n", "toks")
-    rows = rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "kind", "node")
-    return scratch.keep(rows.mapInArrow(match, "node long, g long, answers boolean").distinct(), f"{name}-rehearsed")
+    return scratch.keep(dealt(units, opens, own, "n", "toks").mapInArrow(match, "node long, g long, kind int"), f"{name}-rehearsed")
 
 
-def opened(df: DataFrame, opens: DataFrame, active: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def opened(df: DataFrame, opens: DataFrame, active: DataFrame, own: bool, scratch: Scratch, name: str) -> DataFrame:
     """Links (a, b) between components that opening finds.
 
-    df: (id, text); opens: (node, g) queries; active: (node, g, comp), all nodes that query or can answer.
+    df: (id, text); opens: (node, g) queries of other groups; active: (node, g, comp), all nodes that query or can answer; with ``own``
+    they also query their own groups.
     """
     spark = df.sparkSession
     bit = F.pmod("node", F.lit(FILTER_BITS))
@@ -305,98 +359,96 @@ def opened(df: DataFrame, opens: DataFrame, active: DataFrame, scratch: Scratch,
 
     sets = df.select("text").mapInArrow(load, "node long, tokens binary").join(active, "node").dropDuplicates(["node"])
     sets = scratch.keep(sets.select("node", "g", "comp", "tokens"), f"{name}-sets")
-    salts = opens.groupBy("g").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("salts"))
-    members = sets.join(salts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "node", "comp", "tokens")
-    queries = opens.join(salts, "g").select("node", "g", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt")).join(sets.drop("g"), "node").select("g", "salt", F.lit(1).alias("kind"), "node", "comp", "tokens")
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, ready = None, Group(), False
-        for b in batches:
-            out = []
-            for g, salt, kind, node, comp, tokens in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if (g, salt) != key:
-                    key, group, ready = (g, salt), Group(), False
-                tokens = np.frombuffer(tokens, np.uint64)
-                if kind == 0:
-                    group.add(node, comp, tokens)
-                    continue
-                if not ready:
-                    group.build()
-                    ready = True
-                out += group.links(node, comp, tokens)
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    rows = members.unionByName(queries).repartition("g", "salt").sortWithinPartitions("g", "salt", "kind", "node")
-    return scratch.keep(rows.mapInArrow(match, "a long, b long"), f"{name}-links")
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, salt, group, asked in groups_of(batches):
+            if len(group.nodes) > (salt < 0):
+                yield np.array([link for node, comp, toks in asked for link in group.links(node, comp, toks)], np.int64).reshape(-1, 2)
 
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(found(batches), ["a", "b"], [pa.int64(), pa.int64()])
 
-def tokens_of(matrix_rows: DataFrame) -> DataFrame:
-    """(node, n, toks): each class's shared prefix shingles, at most a fifth of its set."""
-    return matrix_rows.groupBy("node", "n").agg(F.collect_list("tok").alias("toks"))
+    return scratch.keep(dealt(sets, opens, own, "comp", "tokens").mapInArrow(match, "a long, b long"), f"{name}-links")
 
 
-def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id), one row per row."""
-    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def named(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, key, n, node) and components (node, component) of the classes that link with others."""
+    df = docs.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    df = df.withColumn("key", row_key("id", "text"))
     rows = scratch.keep(measured(df, hot_filter(df.select("text"))), "rows")
-    classes = rows.where("n > 0").groupBy("node").agg(F.min_by(F.struct("n", "prefix"), F.size("prefix")).alias("x"))
-    tokens = classes.select("node", "x.n", F.explode("x.prefix").alias("tok"))
-    tokens = scratch.keep(tokens, "tokens")
-    shared = tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    tokens = tokens.join(shared, "tok")
-    tokens = scratch.keep(tokens, "shared")
-    scratch.drop("tokens")
-    # groups
+    tokens = rows.where("n > 0").groupBy("node").agg(F.first(F.struct("n", "prefix")).alias("x")).select("node", "x.n", F.explode("x.prefix").alias("tok"))
+    shared = tokens.join(tokens.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1"), "tok")
+    # classes with their shared prefix shingles, at most a fifth of a set, and groups
+    classes = shared.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("x"))
     size = F.floor(F.log("n") / np.log(GROUP_RATIO)).cast("int")
-    heads = tokens.groupBy("node", "n").agg(F.max_by("tok", F.struct("df", "tok")).alias("tok")).select("node", "n", F.xxhash64("tok", size).alias("head"))
-    heads = scratch.keep(heads, "heads")
-    parts = heads.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / GROUP_CLASSES), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts")).where("parts > 1")
-    parts = scratch.keep(parts, "large-heads")  # few, so that the join below does not gather a head's classes
+    classes = classes.select("node", "n", F.col("x.tok").alias("toks"), F.xxhash64(F.element_at("x", -1)["tok"], size).alias("head"))
+    classes = scratch.keep(classes, "classes")
+    parts = classes.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / GROUP_CLASSES), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts")).where("parts > 1")
+    # large heads are few, so that the join does not gather a head's classes
     place = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
-    groups = scratch.keep(heads.join(parts, "head", "left").select("node", F.xxhash64("head", place).alias("g")), "groups")
-    matrix_rows = scratch.keep(tokens.select("tok", "node", "n").join(groups, "node"), "matrix-rows")
-    scratch.drop("shared")
-    matrix = scratch.keep(matrix_rows.groupBy("tok", "g").agg(F.count("*").alias("cnt"), F.min("n").alias("lo"), F.max("n").alias("hi")), "matrix")
+    units = scratch.keep(classes.join(parts, "head", "left").select("node", "n", "toks", F.xxhash64("head", place).alias("g")), "units")
+    scratch.drop("classes")
+    spread = units.select("node", "n", "g", F.explode("toks").alias("tok"))
+    matrix = spread.groupBy("tok", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     # own groups, and of each class the pivot group that most of its shingles name
     bounds = [F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    own = matrix_rows.join(matrix.where("cnt > 1").drop("cnt"), ["tok", "g"]).groupBy("node", "n", "g").agg(*bounds).where(qualifies()).select("node", "g")
     pivots = matrix.groupBy("tok").agg(F.min(F.struct("g", "lo", "hi")).alias("p")).select("tok", F.col("p.g").alias("pg"), "p.lo", "p.hi")
-    pivot = matrix_rows.join(pivots, "tok").where("g <> pg").groupBy("node", "n", "g", "pg").agg(*bounds).where(qualifies())
-    pivot = pivot.groupBy("node", "g").agg(F.max_by("pg", F.struct("c", "pg")).alias("pg")).select("node", F.col("pg").alias("g"))
-    prefixes = scratch.keep(tokens_of(matrix_rows), "prefixes")
-    first = rehearsed(own.unionByName(pivot).select("node", "g"), groups, prefixes, scratch, "first")
-    active = first.select("node").distinct().join(groups, "node").withColumn("comp", F.col("node"))
-    linked = connected_components(opened(df, first.where("NOT answers").select("node", "g"), active, scratch, "first"), scratch, "first-parts")
+    pivot = spread.join(pivots, "tok").where("g <> pg").select("node", "n", "pg", "lo", "hi").repartition("node").groupBy("node", "n", "pg").agg(*bounds).where(qualifies())
+    pivot = scratch.keep(pivot.groupBy("node").agg(F.max_by("pg", F.struct("c", "pg")).alias("g")), "pivot")
+    first = rehearsed(pivot, units, True, scratch, "first")
+    home = units.select("node", "g")
+    active = first.select("node").distinct().join(home, "node").withColumn("comp", F.col("node"))
+    linked = connected_components(opened(df, first.where("kind = 1").select("node", "g"), active, True, scratch, "first"), scratch, "first-parts")
     linked = scratch.keep(linked, "linked")
-    scratch.drop("first-sets")
+    for name in ("pivot", "first-rehearsed", "first-sets", "first-links"):
+        scratch.drop(name)
     # all other qualifying groups, outside what is linked already
-    at = matrix_rows.join(linked, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    mixed = at.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
-    at = scratch.keep(at.join(mixed, "tok"), "mixed")
-    others = at.groupBy("tok", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).withColumnRenamed("g", "og")
-    pairs = at.join(others, "tok").where("g > og AND (comp <> c1 OR comp <> c2) AND hi >= 0.8 * n AND lo <= 1.25 * n + 1e-6")
-    cross = pairs.groupBy("node", "n", "og").agg(*bounds).where(qualifies())
-    cross = rehearsed(cross.select("node", F.col("og").alias("g")), groups, prefixes, scratch, "cross")
-    active = cross.select("node").distinct().join(groups, "node").join(linked, "node", "left").select("node", "g", F.coalesce("component", "node").alias("comp"))
-    more = connected_components(opened(df, cross.where("NOT answers").select("node", "g"), active, scratch, "cross"), scratch, "cross-parts")
-    for name in ("cross-sets", "matrix", "matrix-rows", "prefixes", "mixed", "heads", "large-heads", "groups", "first-rehearsed", "cross-rehearsed"):
+    at = units.join(linked, "node", "left").select("node", "n", "g", F.coalesce("component", "node").alias("comp"), F.explode("toks").alias("tok"))
+    others = at.groupBy("tok", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    others = scratch.keep(others.withColumnRenamed("g", "og"), "matrix")
+    mixed = others.groupBy("tok").agg(F.min("c1").alias("x"), F.max("c2").alias("y")).where("x <> y").select("tok")
+    pairs = at.join(others.join(mixed, "tok"), "tok").where("g > og AND (comp <> c1 OR comp <> c2) AND hi >= 0.8 * n AND lo <= 1.25 * n + 1e-6")
+    cross = scratch.keep(pairs.groupBy("node", "n", "og").agg(*bounds).where(qualifies()).select("node", F.col("og").alias("g")), "cross")
+    cross = rehearsed(cross, units, False, scratch, "cross")
+    active = cross.select("node").distinct().join(home, "node").join(linked, "node", "left").select("node", "g", F.coalesce("component", "node").alias("comp"))
+    more = connected_components(opened(df, cross.where("kind = 1").select("node", "g"), active, False, scratch, "cross"), scratch, "cross-parts")
+    for name in ("cross", "cross-rehearsed", "cross-sets", "cross-links", "matrix", "units"):
         scratch.drop(name)  # what is left to do reads rows, linked and the last components
-    # classes to components to rows
-    names = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id")).join(linked, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    names = names.join(more.select(F.col("node").alias("comp"), "component"), "comp", "left").select("node", "first_id", F.coalesce("component", "comp").alias("comp"))
+    more = more.withColumnsRenamed({"node": "comp", "component": "further"})
+    every = linked.withColumnRenamed("component", "comp").unionByName(more.select(F.col("comp").alias("node"), "comp")).distinct()
+    parts = every.join(more, "comp", "left").select("node", F.coalesce("further", "comp").alias("component"))
+    return rows.select("id", "key", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")), parts
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_key(id_col: str, text_col: str):
+    """64 bits of a row's id and text, nulls told apart from other values."""
+    return F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col))
+
+
+def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id), one row per row."""
+    rows, parts = named(docs, scratch, id_col, text_col)
+    names = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id")).join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("comp"), "first_id")
     lowest = names.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     names = names.join(lowest, "comp").select("node", "component_id")
-    return rows.select("id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(names, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return rows.join(names, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id, with all columns.
+    """One row of each group, the one with the smallest id, with all columns; rows with a null id stay only where no other can.
 
-    Rows repeated with id and text leave one. A row with a null id has no name to choose it by and is kept.
+    Of rows repeated with id and text one stays, whichever their other columns name. Rows without words link with nothing and all stay.
     """
-    keep = components(docs, scratch, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    named = docs.join(keep, id_col, "left_semi").select(*docs.columns, F.xxhash64(text_col).alias("_text_hash")).dropDuplicates([id_col, "_text_hash"]).drop("_text_hash")
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    rows, parts = named(docs, scratch, id_col, text_col)
+    best = rows.where("n > 0").join(parts, "node", "left").groupBy(F.coalesce("component", "node").alias("comp")).agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("x"))
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    blank = ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    kept = whole.where(~blank).select("row", row_key("id", "text").alias("key")).join(best.select("x.key"), "key", "left_semi").dropDuplicates(["key"])
+    return kept.select("row.*").unionByName(whole.where(blank).select("row.*"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

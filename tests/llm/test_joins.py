@@ -97,6 +97,31 @@ def test_join_empty_and_dedup(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 5, 6, 7, 8] and kept.columns == docs(spark, []).columns
 
 
+def test_dedup_odd_rows(spark):
+    """Null ids, clashing and dotted column names, repeated rows, rows without words."""
+    text = "one two three four five six"
+    rows = [(None, text, 1), (None, text, 1), (7, "z", 1), (7, "z", 2), (9, "z", 3), (None, "only here without a name at all", 4), (None, "only here without a name at all", 5), (4, None, 6), (4, None, 6), (None, " ", 7), (3, text.upper(), 8)]
+    df = spark.createDataFrame([(i, t, n, "x", "y", "w", "v") for i, t, n in rows], "`doc.id` long, text string, n int, key string, _text_hash string, `a.b` string, row string")
+    kept = ngram_join.deduplicated(df, Scratch(spark, "t"), "doc.id")
+    got = sorted(((r["doc.id"], r["text"]) for r in kept.collect()), key=repr)
+    assert kept.columns == df.columns
+    assert got == sorted([(3, text.upper()), (7, "z"), (None, "only here without a name at all"), (4, None), (4, None), (None, " ")], key=repr)
+
+
+def test_join_below_threshold(spark):
+    """A family of texts that share most shingles and yet do not link, beside some that do."""
+    rng = random.Random(4)
+    base = [f"q{i}" for i in range(80)]
+    texts = []
+    for k in range(150):
+        w = list(base)
+        for x in rng.sample(range(80), 3):
+            w[x] = f"new{k}x{x}"
+        texts.append(" ".join(w))
+    texts += [t + " tail" for t in texts[:20]]
+    assert sorted(map(tuple, ngram_join.components(docs(spark, texts), Scratch(spark, "t")).collect()), key=repr) == brute_components(list(range(len(texts))), texts)
+
+
 # ---- decontamination
 
 
