@@ -42,9 +42,13 @@ class Scratch:
     """Tables of one run in the folder that driver and executors share.
 
     The folder is the session's ``spark.checkpoint.dir``. Only a local session, whose executors are
-    threads of the driver, may leave it unset; then a folder of the machine is used.
+    threads of the driver, may leave it unset; then a folder of the machine is used. Results of operators read
+    tables there, so they stay until ``close``; ``Scratch.close_all`` closes what a name's operators have opened.
+    While a table is written a setting of the session is changed, so queries that write at the same time need sessions of their own.
     """
 
+    opened: list["Scratch"] = []
+
     def __init__(self, spark: SparkSession, name: str):
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
@@ -52,7 +56,8 @@ class Scratch:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = os.path.join(tempfile.gettempdir(), "recollect-scratch")
         self.spark = spark
-        self.root = f"{base}/{name}-{uuid.uuid4().hex}"
+        self.root, self.name = f"{base}/{name}-{uuid.uuid4().hex}", name
+        Scratch.opened.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and read it back; that cuts the lineage at a place that survives executors."""
@@ -65,11 +70,22 @@ class Scratch:
             self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def drop(self, name: str = "") -> None:
         """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        """Delete all tables, once the results that read them have been written or collected."""
+        self.drop()
+        if self in Scratch.opened:
+            Scratch.opened.remove(self)
+
+    @classmethod
+    def close_all(cls, prefix: str) -> None:
+        for s in [s for s in cls.opened if s.name.startswith(prefix)]:
+            s.close()
+
 
 def steps(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = STEP_CHARS, rows: int = 10_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut record batches so that each has at most ``limit`` bytes of text and ``rows`` rows, or one row. Null texts become
@@ -88,6 +104,12 @@ def steps(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = STEP_CH
             yield part, [t or "" for t in part.column(text).to_pylist()]
 
 
+def map_rows(df: DataFrame, run) -> DataFrame:
+    """``mapInArrow`` from whole rows to rows of the same columns, whatever these are called; batches have their columns in order."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def words_of(text: str) -> list[bytes]:
     """A-Z lower-cased, cut at the six ASCII white-space characters (what bytes.split() cuts at)."""
     return text.encode("utf-8", "surrogatepass").lower().split()

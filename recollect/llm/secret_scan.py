@@ -12,8 +12,9 @@ Kinds, in the order in which spans at one start are listed:
 * ``github``  ``ghp_ gho_ ghu_ ghs_ ghr_`` + 30 characters + CRC-32 of them in 6 base-62 digits;
 * ``npm``     ``npm_`` + 30 characters + CRC-32 of them in 6 base-62 digits.
 
-Null and empty texts have no spans. Rows are judged one by one, so repeated rows and ties need no rule;
-other columns are not read. Texts are scanned whole; offsets count code points, ends are exclusive.
+Null and empty texts have no spans. Rows are judged one by one, so repeated rows and ties need no rule; an empty table gives an
+empty result. ``scan`` reads no other columns; ``redact`` passes them on, and sets an integer column ``n_chars`` to the new length.
+Texts are scanned whole; offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import steps, table
+from .common import map_rows, steps, table
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = KINDS[:3]
@@ -104,10 +106,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 def redact(df: DataFrame, text_col: str = "text", mask: str = "[REDACTED]") -> DataFrame:
     """The same rows and columns with every finding in ``text_col`` replaced; overlapping findings count as one.
 
-    Null stays null. A column ``n_chars``, where there is one, is set to the new length.
+    Null stays null. A column ``n_chars`` of integers, where there is one, is set to the new length.
     """
 
     docs_columns = df.columns
+    counted = "n_chars" in docs_columns and isinstance(df.schema["n_chars"].dataType, IntegralType)
     at = docs_columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,12 +120,12 @@ def redact(df: DataFrame, text_col: str = "text", mask: str = "[REDACTED]") -> D
             out = [None if n else masked(t, spans_of(t, keywords), mask) for n, t in zip(null, texts, strict=True)]
             columns = list(part.columns)
             columns[at] = pa.array(out, part.schema.field(at).type)
-            if "n_chars" in docs_columns:
+            if counted:
                 k = docs_columns.index("n_chars")
                 columns[k] = pa.array([old if t is None else len(t) for t, old in zip(out, part.column(k).to_pylist(), strict=True)], part.schema.field(k).type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return map_rows(df, run)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:

@@ -76,7 +76,9 @@ def test_secret_query_and_redaction(spark, tmp_path):
         assert rows[i]["spans"] == want and rows[i]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
     out = {r["doc_id"]: r for r in secret_scan.redact(docs(spark, ODD)).collect()}
     assert out[0]["text"] is None and out[6]["text"] == "[REDACTED]" and out[6]["n_chars"] == 10 and out[7]["text"] == ODD[7] and set(out[0].asDict()) == set(docs(spark, []).columns)
-    assert secret_scan.scan(docs(spark, [])).count() == 0
+    assert secret_scan.scan(docs(spark, [])).count() == 0 and secret_scan.redact(docs(spark, [])).count() == 0
+    odd = spark.createDataFrame([("token=abcdefgh", "many", 1.5)], "text string, n_chars string, `x.y` double")
+    assert secret_scan.redact(odd).collect() == [("[REDACTED]", "many", 1.5)]
 
 
 # ---- url filter

@@ -318,3 +318,28 @@ def test_pipeline(spark, tmp_path):
                 assert not secret_scan.spans_of(r["text"], keys) and ("[REDACTED]" in r["text"]) == bool(secret_scan.spans_of(before[r["doc_id"]]["text"], keys))
     whole = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in whole.select("doc_id").collect()} == kept[-1]
+
+
+def test_pipeline_odd(spark, tmp_path):
+    """Null ids, null, empty and very long texts, repeats, clashing and dotted columns, empty tables."""
+    import corpus_pipeline
+
+    rows = [(None, "null id here with some words", "a"), (None, "null id here with some words", "b"), (1, None, "a"), (2, "", "a"), (2, "", "a"), (3, "long word " * 50_000, "a"), (4, "same text as the next one", "a"), (4, "same text as the next one", "b"),
+            (5, "Same text as the next one", "a"), (6, "so the capital of this country is a fine place to be in all year", "a"), (None, "the capital of this country is a fine place to be in all year", "a"), (7, "my password = hunter22 is here", "a")]
+    df = spark.createDataFrame([(i, t, "en", None, 3, n, 0.5, "k") for i, t, n in rows], "doc_id long, text string, lang string, source string, n_chars int, `a.b` string, label double, key string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "the capital of this country is a fine place to be in all year")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels(spark, []).write.parquet(f"{tmp_path}/labels.parquet")
+    at = df
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        at = spark.read.parquet(f"{tmp_path}/{i}")
+        assert at.columns == df.columns, name
+    got = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in at.collect()), key=repr)
+    want = [(None, rows[0][1], len(rows[0][1])), (1, None, 3), (2, "", 0), (2, "", 0), (3, rows[5][1], 500_000), (4, rows[6][1], len(rows[6][1])), (7, "my [REDACTED] is here", 21)]
+    assert got == sorted(want, key=repr)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == len(want) and sum(r["ids"] is None for r in out) == 1
+    for name, schema in (("documents", df.schema), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -39,7 +39,7 @@ def test_rare_words_replaced(spark):
     plain = [" ".join(skewed(rng, rng.randrange(50, 400))) for _ in range(600)]
     df = spark.createDataFrame(list(enumerate(plain)), DOC)
     items.weigh(*decontamination.frequencies(df.select("text"), items))
-    items.place(decontamination.latent_basis(decontamination.sampled(df, items), items))
+    items.place(decontamination.latent_basis(decontamination.sampled(df.select("text"), 600, items), items))
     texts = []
     for i, w in enumerate(bench):
         w, heavy = list(w), np.argsort(-items.idf[items.words[i]])
@@ -60,3 +60,33 @@ def test_every_text_compared(spark):
     codec.decode = lambda ids: seen.extend(ids) or real(ids)
     codec.encode(["one two one"])
     assert len(seen) == 2
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Null, repeated and missing ids and repeated texts do not swell the sample."""
+    monkeypatch.setattr(decontamination, "SAMPLE_DOCS", 100)
+    items = decontamination.Items([(0, "a b c d e f g h")])
+    items.weigh(np.ones(8), 10)
+    df = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS id", "IF(id % 3 = 0, 'a b c d', concat('a b ', id, ' ', repeat('x ', 2000))) AS text")
+    assert 40 <= decontamination.sampled(df.select("text"), 20_000, items).count() <= 16 * 160
+
+
+def test_short_items_exact(spark, tmp_path):
+    """Items of one to four words count where their words stand in a row in one text, over null and repeated ids."""
+    bench = [(1, "Zebra!"), (2, "blue moon"), (3, "one two three"), (4, "w x y z"), (5, "..."), (None, "one two three"), (2, "blue moon"), (6, "long item with more than five words in it"), (7, "日本の首都は東京")]
+    texts = ["a zebra.", "BLUE, moon", "blue sky moon", "blue", "moon one two", "three", "one  two\nthree", "w x y", "z", "", None, "so long item with more than five words in it is", "w x y z " * 30_000, "x日本の首都は東京です。", "日本"]
+    from recollect.llm.common import Scratch
+
+    for name in ("one block", "many"):
+        if name == "many":
+            real, decontamination.BLOCK = decontamination.BLOCK, 1
+        try:
+            b = spark.createDataFrame(bench, "item_id long, text string")
+            df = spark.createDataFrame([(None if i == 1 else i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, item string, cosine string")
+            got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(df, b, Scratch(spark, "t")).collect()}
+            assert got == {(0, 1), (None, 2), (6, 3), (6, None), (11, 6), (12, 4), (13, 7)}, name
+            kept = decontamination.cleaned(df, b, Scratch(spark, "t"))
+            assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5, 7, 8, 9, 10, 14]
+        finally:
+            if name == "many":
+                decontamination.BLOCK = real
