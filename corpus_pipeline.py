@@ -3,6 +3,11 @@
 Toxic documents go, one document of each group of near duplicates stays, documents with benchmark items go,
 secrets are masked in what is left, and the texts are encoded. Every stage's result is written as Parquet
 and read back as the next stage's documents.
+
+Only ``text`` decides, and for the label join ``doc_id``; other columns are passed on, whatever they are called. Null, empty and
+wordless texts are kept by every stage (null stays null, its ids are null). Rows with a null id are judged like others; as copies
+they go where a row with an id can stay. Of rows that repeat an id and a text one stays, of a group of near copies the one with the smallest
+id, so ties need no rule. Texts are read whole, however long. Empty tables give an empty result; without labels no text is toxic.
 """
 
 from __future__ import annotations
@@ -46,10 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
+    """What the last stage gives for all documents; it is read from the shared folder, where nothing else of the run is left."""
+    scratch = Scratch(spark, "whole-pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        Scratch.close_all("pipeline-")  # the stage's result is written
         if i:
             scratch.drop(STAGES[i - 1][0])
     return docs
