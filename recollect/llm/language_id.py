@@ -7,6 +7,9 @@ training documents is clustered by spherical k-means into several centroids. A t
 with the greatest cosine; if that cosine lies below what the centroid's own documents reach, the
 prediction is marked as rejected, while ``lang_pred`` still tells the nearest language.
 
+At most ``LANGUAGES`` languages are learned, those of most training documents; that and the bounded sample are parameters of the fit, and no
+more centroids than ``CENTROIDS * LANGUAGES`` come to the driver. A column with ever more different values adds nothing there.
+
 Null texts and texts without a letter are ``und`` with score 0. Without any training document every text is
 ``und``. Ties go to the centroid first in order (language, then cluster). Repeated rows are judged alike; an empty
 table gives an empty result; other columns are not read. Texts count whole.
@@ -25,8 +28,8 @@ from .common import crc_mod, steps, table
 
 #: Hashed n-gram dimensions.
 DIMS = 4096
-#: Training documents that are clustered: so many a language and so many in all, at most.
-SAMPLE_PER_LANGUAGE, SAMPLE = 400, 6000
+#: Training documents that are clustered: so many a language and so many in all, at most; and languages, at most.
+SAMPLE_PER_LANGUAGE, SAMPLE, LANGUAGES = 400, 6000, 500
 CENTROIDS, ROUNDS = 4, 12
 #: ASCII letters and all bytes of other characters stay; every other byte is a gap between words.
 LETTERS = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
@@ -109,13 +112,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from the rows of ``docs`` with a language and a non-empty text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where((F.length("text") > 0) & F.col("lang").isNotNull())
     idf = inverse_frequencies(rows.select("text"))
-    sizes = rows.groupBy("lang").count()
-    per = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, sizes.count())))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    per = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, len(sizes))))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     # a share of each language by hash leaves some four times the sample, so that no language is ranked whole
-    share = sizes.select("lang", F.least(F.lit(1.0), 4.0 * per / F.col("count")).alias("share"))
+    share = docs.sparkSession.createDataFrame([(x, min(1.0, 4.0 * per / n)) for x, n in sizes.items()], "lang string, share double")
     some = rows.select("id", "lang").where("id IS NOT NULL").join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    picked = some.select("id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per).drop("r")
+    picked = some.select("id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per).drop("r")  # SAMPLE rows at most
     sample = rows.join(F.broadcast(picked), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -215,6 +215,38 @@ def test_language_odd(spark, tmp_path):
     assert language_id.op5_language_id(spark, tables(spark, tmp_path / "none", [], [])).count() == 0
 
 
+def test_language_many(spark, monkeypatch):
+    """Ten thousand values of lang: the most frequent are learned, and the driver gets no more centroids than that."""
+    monkeypatch.setattr(language_id, "LANGUAGES", 50)
+    df = spark.range(10_000).selectExpr("id AS doc_id", "concat('w', id, ' text ', id * 7) AS text", "concat('x', id) AS lang")
+    df = df.unionAll(spark.range(200).selectExpr("id + 20000", "concat('the house of the dog number ', id)", "'en'")).unionAll(spark.range(200).selectExpr("id + 30000", "concat('der hund und die katze nummer ', id)", "'de'"))
+    model = language_id.fit(df)
+    assert len(set(model.langs)) == 50 and {"en", "de"} <= set(model.langs) and len(model.centroids) <= 50 * language_id.CENTROIDS
+    assert model.predict(["the house of the dog", "der hund und die katze"])[0] == ["en", "de"]
+
+
+def test_language_nearest_brute(spark):
+    """Predictions of every text are those of the greatest cosine, computed text by text from n-gram dictionaries."""
+    import math
+
+    rows = [(i, f"the house of the dog and cat {i}", "en") for i in range(30)] + [(100 + i, f"der hund und die katze {i}", "de") for i in range(30)] + [(200, "", None), (201, "X", None), (202, "el perro y el gato", None)]
+    df = docs(spark, rows)
+    model = language_id.fit(df)
+    got = {r["doc_id"]: r for r in language_id.predict(df, model).collect()}
+    train = [language_id.ngram_counts([t])[0] for _, t, x in rows if x and t]
+    idf = [math.log((1 + len(train)) / (1 + sum(bool(t[j]) for t in train))) + 0.1 for j in range(language_id.DIMS)]
+    assert model.idf == pytest.approx(np.array(idf), abs=1e-5)
+    for i, t, _ in rows:
+        v = {j: math.log1p(n) * idf[j] for j, n in enumerate(language_id.ngram_counts([t])[0].tolist()) if n}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        cos = [sum(x / norm * float(c[j]) for j, x in v.items()) for c in model.centroids]
+        if any(map(str.isalpha, t)):
+            assert got[i]["score"] == pytest.approx(max(0, max(cos)), abs=1e-4) and cos[model.langs.index(got[i]["lang_pred"])] <= max(cos)
+            assert max(c for c, x in zip(cos, model.langs, strict=True) if x == got[i]["lang_pred"]) == pytest.approx(max(cos), abs=1e-4)
+        else:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+
+
 def test_ngrams_do_not_cross_texts():
     both = language_id.ngram_counts(["abc", "", "de"])
     assert (both[0] == language_id.ngram_counts(["abc"])[0]).all() and both[1].sum() == 0 and both[0].sum() == 3 and both[2].sum() == 1
