@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,3 +53,8 @@ def confirmed(candidates: Column, answer: Column) -> Column:
 def joined(ids: Column) -> Column:
     """Sorted and joined by commas, for comparison and export."""
     return F.array_join(F.array_sort(ids), ",")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body and its lambdas name it."""
+    return F.transform(F.array(value), body)[0]

@@ -6,17 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The white space that trimming removes.
-SPACE = r"[\x09-\x0d \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+SPACE = "".join(map(chr, [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def normalize_text(c: Column) -> Column:
     """CRLF to LF, three or more newlines to two, trimmed."""
-    return strip(F.regexp_replace(F.regexp_replace(c, "\r\n", "\n"), "\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), "\n{3,}", "\n\n"))
 
 
 def normalize_email(c: Column) -> Column:

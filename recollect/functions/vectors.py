@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -21,14 +23,17 @@ def norm(v: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """0 where a norm is 0, null where the lengths differ."""
-    na, nb = norm(a), norm(b)
+    return scaled(a, b, norm(a), norm(b))
+
+
+def scaled(a: Column, b: Column, na: Column, nb: Column) -> Column:
+    """The cosine of vectors whose norms are known."""
     return F.when(F.size(a) != F.size(b), F.lit(None).cast("double")).when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
 
 
 def normalize(v: Column) -> Column:
     """Unit length; a zero vector stays."""
-    n = norm(v)
-    return F.when(n == 0, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / n))
+    return let(norm(v), lambda n: F.when(n == 0, doubles(v)).otherwise(F.transform(doubles(v), lambda x: x / n)))
 
 
 def add(a: Column, b: Column) -> Column:

@@ -73,7 +73,3 @@ def suggest(points: DataFrame, seed: int = 1, name: str = "first_long_word") ->
     sizes = found.groupBy("cluster").agg(F.count("*").alias("item_count")).where("item_count >= 2")
     texts = representatives(near, 1).join(few, "id").select("cluster", get("name", name)(F.col("text")).alias("suggested_name"))
     return sizes.join(top, "cluster").join(texts, "cluster").select("cluster", F.coalesce("suggested_name", F.lit("Espacio")).alias("suggested_name"), "item_count", "examples")
-
-
-def share_of(n: Column, total: Column) -> Column:
-    return F.floor(100.0 * n / F.greatest(total, F.lit(1)) + 0.5).cast("int")

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.text import non_empty, normalize_text
+from ..functions.text import SPACE, non_empty, normalize_text
 from ..plugins import extractor
 
 MAX_CHARS, OVERLAP, MAX_CHUNKS = 4000, 400, 200
-TRIM = "".join(map(chr, [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+TRIM = SPACE
 
 
 def soft_break(piece: str) -> int:
@@ -53,13 +53,12 @@ def _chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def chunk(df: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per piece with its place; texts that are empty after normalising give none.
 
-    Short texts never leave the JVM; only those beyond one piece go through Python.
+    One pass: each text is normalised once, and only texts beyond one piece go through Python.
     """
-    norm = normalize_text(F.col(text_col))
-    rows = df.withColumn("_norm", norm).where(non_empty(F.col("_norm")))
-    short = rows.where(F.length("_norm") <= MAX_CHARS).select(*df.columns, F.lit(0).alias("chunk_no"), F.col("_norm").alias("chunk"))
-    long = rows.where(F.length("_norm") > MAX_CHARS).select(*df.columns, F.posexplode(_chunks("_norm")).alias("chunk_no", "chunk"))
-    return short.unionByName(long)
+    norm = F.col("_norm")
+    rows = df.select("*", F.explode(F.array(normalize_text(F.col(text_col)))).alias("_norm")).where(non_empty(norm))  # a generated column is not computed anew where it is named
+    pieces = F.when(F.length(norm) <= MAX_CHARS, F.array(norm)).otherwise(_chunks(F.when(F.length(norm) > MAX_CHARS, norm)))
+    return rows.select(*df.columns, F.posexplode(pieces).alias("chunk_no", "chunk"))
 
 
 def progress(done: Column, total: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,35 +23,36 @@ def sliding_window(hits: DataFrame, key: str, ts: str, limit: int, seconds: int)
     return counted.drop("_us", "_at").withColumn("allowed", F.col("hits") <= limit)
 
 
-def fixed_window(hits: DataFrame, key: str, ts: str, id_col: str, limit: int, seconds: int) -> DataFrame:
-    """(id, key, hit_no, allowed): windows start at a key's first hit and anew at the first hit after their end.
+def fixed_window(hits: DataFrame, key: str, ts: str, id_col: str, limit: int, seconds: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, key, hit_no, allowed, *carry): windows start at a key's first hit and anew at the first hit after their end.
 
     Where a window starts depends on the one before, so a key's hits are folded in order, by state that is passed from batch
-    to batch: sorted partitions stream through, whatever the size of a key.
+    to batch: sorted partitions stream through, whatever the size of a key. Null is a key like others; columns named in ``carry`` are passed on.
     """
-    rows = hits.select(F.col(id_col), F.col(key), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in (id_col, key)}
+    rows = hits.select(F.col(id_col).alias("c0"), F.col(key).alias("c1"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry, 2)])
+    names = [c for c in rows.columns if c != "us"]
+    schema = rows.select(*names).withColumns({"hit_no": F.lit(0).cast("long"), "allowed": F.lit(True)}).schema
     span = seconds * 1_000_000
 
-    def fold(batches):
-        last, start, n = None, 0, 0
-        for pdf in batches:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, n = (), 0, 0
+        for b in batches:
             nos = []
-            for k, us in zip(pdf[key].tolist(), pdf["_us"].tolist(), strict=True):
-                if k != last or us >= start + span:
-                    last, start, n = k, us, 0
+            for k, us in zip(b.column("c1").to_pylist(), b.column("us").to_pylist(), strict=True):
+                if (k,) != last or us >= start + span:
+                    last, start, n = (k,), us, 0
                 n += 1
                 nos.append(n)
-            yield pd.DataFrame({id_col: pdf[id_col], key: pdf[key], "hit_no": pd.Series(nos, dtype="int64"), "allowed": pd.Series([x <= limit for x in nos], dtype="bool")})
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(nos, pa.int64()), pa.array([x <= limit for x in nos], pa.bool_())], names=[*names, "hit_no", "allowed"])
 
-    ordered = rows.repartition(key).sortWithinPartitions(key, "_us", id_col)
-    return ordered.mapInPandas(fold, f"{id_col} {kinds[id_col]}, {key} {kinds[key]}, hit_no long, allowed boolean")
+    folded = rows.repartition("c1").sortWithinPartitions("c1", "us", "c0").mapInArrow(fold, schema)
+    return folded.select(F.col("c0").alias(id_col), F.col("c1").alias(key), "hit_no", "allowed", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry, 2)])
 
 
 def both_limits(hits: DataFrame, keys: tuple[str, str], ts: str, id_col: str, limit: int = 5, seconds: int = 3600) -> DataFrame:
-    """(id, allowed): each hit counts against both keys' fixed windows and passes only if both allow it."""
-    one, two = (fixed_window(hits, k, ts, id_col, limit, seconds).select(id_col, F.col("allowed").alias(f"allowed_{i}")) for i, k in enumerate(keys))
-    return one.join(two, id_col).select(id_col, (F.col("allowed_0") & F.col("allowed_1")).alias("allowed"))
+    """(id, allowed), one row a hit: each hit counts against both keys' fixed windows and passes only if both allow it."""
+    one = fixed_window(hits.select(id_col, *keys, F.col(ts).cast("timestamp").alias("_ts")), keys[0], "_ts", id_col, limit, seconds, (keys[1], "_ts")).withColumnRenamed("allowed", "_first")
+    return fixed_window(one, keys[1], "_ts", id_col, limit, seconds, ("_first",)).select(id_col, (F.col("_first") & F.col("allowed")).alias("allowed"))
 
 
 def latest_code(codes: DataFrame, as_of: Column) -> DataFrame:

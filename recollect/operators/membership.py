@@ -102,9 +102,3 @@ def other_spaces(memories: DataFrame, spaces: DataFrame, space_id: str) -> DataF
     rows = memories.where(F.array_contains("space_ids", space_id)).select("memory_id", F.posexplode("space_ids").alias("pos", "id")).where(F.col("id") != space_id)
     named = rows.join(small(spaces), "id")
     return named.groupBy("memory_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), ",").alias("others"))
-
-
-def toggled(ids: Column, x: Column) -> Column:
-    from ..functions.arrays import toggle
-
-    return toggle(ids, x)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import clamp, overlaps
 from ..functions.joins import small
-from ..functions.vectors import cosine
+from ..functions.vectors import doubles, norm, scaled
 
 #: Queries whose vectors a join may broadcast; more are joined by owner through a shuffle.
 BROADCAST_QUERIES = 10_000
@@ -36,15 +36,18 @@ def top_k(queries: DataFrame, items: DataFrame, k: int = 10, same_id: bool = Tru
         raise ValueError("k is between 1 and 100")
     clamped = "effective" in queries.columns
     q = queries.where(F.size("effective") > 0) if clamped else queries
-    q = q.withColumnRenamed("vector", "query_vector")
-    pairs = items.join(small(q, BROADCAST_QUERIES), "user_id")
+    q = q.select("*", F.xxhash64("user_id", "vector").alias("_v"))
+    # each vector is measured once and each (item, query vector) pair scored once, however many requests ask with that vector
+    asked = q.groupBy("user_id", "_v").agg(F.first("vector").alias("vector")).select("user_id", "_v", doubles(F.col("vector")).alias("_q"), norm(F.col("vector")).alias("_nq"))
+    kept = items.select("user_id", "id", *(["space_ids"] if clamped else []), doubles(F.col("vector")).alias("_i"), norm(F.col("vector")).alias("_ni"))
+    scores = kept.join(small(asked, BROADCAST_QUERIES), "user_id").select("id", "_v", *(["space_ids"] if clamped else []), F.round(scaled(F.col("_i"), F.col("_q"), F.col("_ni"), F.col("_nq")), 6).alias("score"))
+    pairs = scores.join(small(q.drop("vector", "user_id"), BROADCAST_QUERIES), "_v")
     if clamped:
         pairs = pairs.where(overlaps(F.col("space_ids"), F.col("effective")))
     if not same_id:
         pairs = pairs.where("id <> request_id")
-    scored = pairs.select("request_id", "id", F.round(cosine(F.col("vector"), F.col("query_vector")), 6).alias("score"))
     order = Window.partitionBy("request_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return pairs.select("request_id", "id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def response(hits: DataFrame, items: DataFrame) -> DataFrame:

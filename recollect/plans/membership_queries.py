@@ -117,7 +117,7 @@ ORACLE_SQL = {
  manual_override OR memory_id % 5 = 0 AS manual_override FROM memory_index""",
     "stale_memberships": _MI + f", {_VER}, h AS (SELECT memory_id, unnest(space_ids) AS space_id, v AS version FROM memory_index) SELECT memory_id, h.space_id, h.version, ver.version AS current FROM h JOIN ver USING (space_id) WHERE h.version < ver.version",
     "cascade_delete": dom.prelude("memory_index", "files") + ", x AS (SELECT id AS file_id, id % 50 AS user_id FROM files WHERE id % 4 = 0) SELECT memory_id, file_id FROM memory_index WHERE (file_id, user_id) NOT IN (SELECT file_id, user_id FROM x)",
-    "cascade_delete_growth": dom.prelude("memory_index", "files", "growth_event") + ", x AS (SELECT id AS file_id, id % 50 AS user_id FROM files WHERE id % 4 = 0), g AS (SELECT memory_id FROM memory_index WHERE (file_id, user_id) IN (SELECT file_id, user_id FROM x)) SELECT id, memory_id % 500 AS memory_id FROM growth_event WHERE memory_id % 500 NOT IN (SELECT memory_id FROM g)",
+    "cascade_delete_growth": dom.prelude("memory_index", "files", "growth_event") + ", x AS (SELECT id AS file_id, id % 50 AS user_id FROM files WHERE id % 4 = 0), g AS (SELECT memory_id FROM memory_index WHERE (file_id, user_id) IN (SELECT file_id, user_id FROM x)) SELECT id, memory_id AS memory_id FROM growth_event WHERE memory_id NOT IN (SELECT memory_id FROM g)",
     "insert_ignore": "SELECT DISTINCT doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT -doc_id FROM documents WHERE doc_id % 3 = 0) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id >= 0)",
     "upsert": "WITH b AS (SELECT n_nationkey, n_name FROM nation), d AS (SELECT n_nationkey + 3 AS k, lower(n_name) AS m FROM nation WHERE n_nationkey >= 20) SELECT CAST(coalesce(k, n_nationkey) AS INTEGER) AS n_nationkey, coalesce(m, n_name) AS n_name FROM b FULL JOIN d ON n_nationkey = k",
     "bump_versions": "SELECT * FROM (VALUES ('en', 'English', 'English prose', 2, true), ('de', 'Deutsch', 'texts in German', 4, false), ('fr', 'French', 'texts in French', 2, true)) t(space_id, name, description, version, reclassifying)",

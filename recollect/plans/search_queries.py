@@ -64,7 +64,7 @@ QUERIES = {
     "search_filtered": lambda s, d: se.filter_items(dom.points(s, d), 3, ["3"]).select("id", "user_id"),
     "search_granted": _granted,
     "search_denied": _denied,
-    "search_response": lambda s, d: se.response(_granted(s, d), dom.items(s, d)).select("request_id", F.size(F.from_json("body", "array<struct<id:long,score:double,spaces:array<string>>>")).alias("n"), F.sha2("body", 256).isNotNull().alias("has_body")),
+    "search_response": lambda s, d: se.response(_granted(s, d), dom.items(s, d)).select("request_id", F.posexplode(F.from_json("body", "array<struct<id:long,score:double,spaces:array<string>>>")).alias("place", "x")).select("request_id", "place", "x.id", "x.score", F.array_join("x.spaces", ",").alias("spaces")),
     "clamped_labels": lambda s, d: _asked(s, d).select("request_id", F.array_join("effective", ",").alias("effective")),
     "audit_rows": lambda s, d: a.audit_rows(_asked(s, d), _granted(s, d), now()),
     "classify_bands": lambda s, d: c.scores(dom.items(s, d), dom.vector_spaces(s, d), HI, LO).where("band <> 'none'").select("id", "space_id", "score", "band"),
@@ -85,7 +85,7 @@ _ASKED = dom.prelude("connection", "grants", "items") + """,
 g AS (SELECT connection_id, list(space_id ORDER BY space_id) AS granted FROM grants GROUP BY 1),
 asked AS (SELECT c.id AS request_id, c.id AS connection_id, c.user_id, v.description_vector AS qv, 'query ' || c.label AS query,
   CASE WHEN c.id % 2 = 0 THEN list_filter([CAST(c.user_id AS VARCHAR), '999'], lambda x: list_contains(coalesce(granted, []), x)) ELSE coalesce(granted, []) END AS effective
-  FROM connection c LEFT JOIN g ON g.connection_id = c.id LEFT JOIN vector_space v ON v.space_id = c.user_id AND v.space_id < 10 WHERE NOT revoked AND c.id % 3 = 0),
+  FROM connection c LEFT JOIN g ON g.connection_id = c.id LEFT JOIN vector_space v ON v.space_id = c.user_id AND v.space_id < 10 WHERE NOT revoked),
 hits AS (SELECT request_id, i.id, """ + _COS.format("i.vector", "qv") + """ AS score FROM asked JOIN items i USING (user_id) WHERE list_has_any(i.space_ids, effective)),
 top AS (SELECT * FROM (SELECT request_id, id, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM hits) WHERE rank <= 10)
 """
@@ -99,7 +99,7 @@ ORACLE_SQL = {
     "search_filtered": dom.prelude("points") + " SELECT id, user_id FROM points WHERE user_id = 3 AND list_contains(space_ids, '3')",
     "search_granted": _ASKED + " SELECT * FROM top",
     "search_denied": _ASKED + " SELECT * FROM top WHERE request_id IN (SELECT request_id FROM asked WHERE len(effective) = 0)",
-    "search_response": _ASKED + " SELECT request_id, CAST(count(*) AS INTEGER) AS n, true AS has_body FROM top GROUP BY 1",
+    "search_response": _ASKED + " SELECT request_id, CAST(rank - 1 AS INTEGER) AS place, t.id, score, array_to_string(space_ids, ',') AS spaces FROM top t JOIN items i ON i.id = t.id",
     "clamped_labels": _ASKED + " SELECT request_id, array_to_string(effective, ',') AS effective FROM asked",
     "audit_rows": _ASKED + f""" SELECT request_id, connection_id, 'search' AS action, array_to_string(list_sort(effective), ',') AS space_ids, substr(to_base64(encode(query)), 1, 64) AS query_mark, sha256(query) AS query_hash,
   CAST(coalesce(n, 0) AS INTEGER) AS result_count, TIMESTAMP '{dom.AS_OF}' AS created_at FROM asked LEFT JOIN (SELECT request_id, count(*) AS n FROM top GROUP BY 1) USING (request_id)""",

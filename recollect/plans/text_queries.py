@@ -135,5 +135,5 @@ ORACLE_SQL = {
     "last_break": "SELECT doc_id, CAST(CASE WHEN contains(text, chr(10)) THEN length(text) - strpos(reverse(text), chr(10)) ELSE -1 END AS BIGINT) AS at FROM documents",
     "progress": "SELECT l_orderkey, l_linenumber, CAST(floor(l_linenumber / 7.0::DOUBLE * 90 + 0.5) AS INTEGER) AS percent FROM lineitem",
 }
-ORACLE_SQL["import_export_json"] = f"""WITH lines AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Usuario' ELSE 'IA' END || ': ' || trim(substr(text, 1, 200), {WS}) AS line FROM conversations WHERE turn < 100 AND role IN ('user', 'assistant') AND trim(substr(text, 1, 200), {WS}) <> ''),
+ORACLE_SQL["import_export_json"] = f"""WITH lines AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'Usuario' ELSE 'IA' END || ': ' || trim(text, {WS}) AS line FROM conversations WHERE role IN ('user', 'assistant') AND trim(text, {WS}) <> ''),
  w AS (SELECT 'c' || conv_id AS title, '[c' || conv_id || ']' || chr(10) || string_agg(line, chr(10) ORDER BY turn) AS text FROM lines GROUP BY conv_id) SELECT title, substr(text, 1, 8000) AS text FROM w WHERE length(text) > 20"""

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .functions.arrays import let
+
 _REGISTRY: dict[tuple[str, str], Callable] = {}
 
 
@@ -41,8 +43,8 @@ def identity(text: Column) -> Column:
 def hashing_embedding(text: Column, dims: int = 64) -> Column:
     """Counts of hashed words, to unit length by ``vectors.normalize``."""
     words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    counts = lambda slots: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    return let(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims))), counts)
 
 
 @register("name", "first_long_word")
@@ -58,6 +60,6 @@ def neighbours(text: Column) -> Column:
     """struct<nodes, links>: long words are topics, each linked with the next."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: F.length(w) >= 8)
     nodes = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("id"), w.alias("name"), F.lit("Topic").alias("type")))
-    after = F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
-    links = F.filter(F.zip_with(words, after, lambda a, b: F.struct(a.alias("source"), b.alias("target"), F.lit("junto_a").alias("label"))), lambda x: x["target"].isNotNull())
+    link = lambda a, b: F.struct(a.alias("source"), b.alias("target"), F.lit("junto_a").alias("label"))
+    links = let(words, lambda w: F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), link))
     return F.struct(nodes.alias("nodes"), links.alias("links"))

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from recollect.functions.times import moment
-from recollect.operators import access, classify, cluster, growth, imports, ingest, leads, limits, membership, search
+from recollect.operators import access, classify, cluster, graph, growth, imports, ingest, leads, limits, membership, search
 from recollect.sources.personas import personas
 
 NOW = "2024-01-30 23:59:59"
@@ -113,6 +113,25 @@ def test_labels(spark):
     assert {r["memory_id"]: r["space_ids"] for r in membership.remove_label(m, "absent").collect()} == {1: ["a"], 2: []}
 
 
+def test_fixed_window_keys(spark):
+    """Null is a key of its own, and keys above 2**53 stay apart."""
+    big = 2**53
+    rows = [(i, k, None if i % 2 else "x", dt.datetime(2024, 1, 1, 0, 0, i)) for i, k in enumerate([None, big, big + 1, None, big, big + 1, None, big + 1])]
+    df = spark.createDataFrame(rows, "id long, key long, other string, ts timestamp_ntz")
+    got = {r["id"]: (r["key"], r["hit_no"], r["allowed"]) for r in limits.fixed_window(df, "key", "ts", "id", 2, 60).collect()}
+    assert got == {0: (None, 1, True), 1: (big, 1, True), 2: (big + 1, 1, True), 3: (None, 2, True), 4: (big, 2, True), 5: (big + 1, 2, True), 6: (None, 3, False), 7: (big + 1, 3, False)}
+    both = limits.both_limits(df.unionAll(df), ("key", "other"), "ts", "id", 100, 60)
+    assert both.count() == 16 and both.where("allowed").count() == 16
+
+
+def test_graph_items(spark):
+    df = spark.createDataFrame([(i, i % 2, "several interesting things together", [1.0]) for i in range(300)], "memory_id long, user_id int, text string, vector array<double>")
+    few = graph.first_items(df, 1)
+    assert [r["memory_id"] for r in few.collect()] == list(range(1, 201, 2)) and "vector" not in few.columns
+    links = {(r["source"], r["target"]): r["weight"] for r in graph.edges(graph.extracted(few)).collect()}
+    assert links == {("interesting", "together"): 100}
+
+
 def test_fixed_window(spark):
     base = ts("2024-01-01")
     rows = [(i, "k", base + dt.timedelta(seconds=i)) for i in range(31)] + [(100, "k", base + dt.timedelta(seconds=60)), (200, "j", base)]

@@ -1,14 +1,9 @@
-"""Registered queries over all rows: brute force on fixtures, and their SQL without its cuts."""
+"""Registered queries over all rows: brute force on fixtures. Their SQL, in test_oracle, has no cuts."""
 
-import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
-import pytest
 
 from recollect.plans import registry
-from recollect.sources.readers import TABLES
-
-from test_oracle import plain
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,30 +22,6 @@ def test_import_whole_conversations(spark, tmp_path):
     assert "turn 149" in got["c1"] and "tail" in got["c2"] and len(got["c2"]) == 8000
 
 
-#: What the SQL of some queries leaves out, and what stands there without it.
-CUTS = {
-    "import_export_json": [("substr(text, 1, 200)", "text"), ("turn < 100 AND ", "")],
-    **{name: [(" AND c.id % 3 = 0", "")] for name in ("search_granted", "search_denied", "search_response", "clamped_labels", "audit_rows")},
-    "token_resolution": [(" WHERE c.c_custkey % 10 = 0", "")],
-    "cascade_delete_growth": [("memory_id % 500", "memory_id")],
-}
-
-
-@pytest.mark.parametrize("name", sorted(CUTS))
-def test_whole_sql(spark, name):
-    d = duckdb.connect()
-    for t in TABLES:
-        d.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    sql = registry.ORACLE_SQL[name]
-    for cut, whole in CUTS[name]:
-        sql = sql.replace(cut, whole)
-    q, df = d.sql(sql), registry.QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    assert sorted(q.columns) == columns
-    want = sorted((tuple(plain(r[q.columns.index(c)]) for c in columns) for r in q.fetchall()), key=repr)
-    assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr) == want
-
-
 def test_every_live_connection_asks(spark):
     live = spark.read.parquet(f"{SF}/customer.parquet").where("c_acctbal >= 0").count()
     assert registry.QUERIES["clamped_labels"](spark, SF).count() == registry.QUERIES["audit_rows"](spark, SF).count() == registry.QUERIES["token_resolution"](spark, SF).count() == live
