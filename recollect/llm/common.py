@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import sys
 import tempfile
@@ -17,10 +19,21 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one numpy step handles at once; a longer text is a step of its own.
 STEP_CHARS = 2_000_000
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``: rows hold whole texts, and both sides of a Python worker
+    hold a batch outside the heap. Limits that are lower already stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +51,18 @@ def per_worker(key, make):
     return cache["value"]
 
 
+def forget() -> None:
+    """What ``per_worker`` keeps for other operators goes."""
+    per_worker(None, dict)
+
+
+def give_back() -> None:
+    """Freed memory of this worker goes back to the system, so that an idle worker is a small one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries give back by themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Scratch:
     """Tables of one run in the folder that driver and executors share.
 
@@ -55,6 +80,7 @@ class Scratch:
             if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = os.path.join(tempfile.gettempdir(), "recollect-scratch")
+        small_batches(spark)
         self.spark = spark
         self.root, self.name = f"{base}/{name}-{uuid.uuid4().hex}", name
         Scratch.opened.append(self)
@@ -102,10 +128,13 @@ def steps(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = STEP_CH
         if start < len(sizes):
             part = batch.slice(start)
             yield part, [t or "" for t in part.column(text).to_pylist()]
+    part = batch = None
+    give_back()
 
 
 def map_rows(df: DataFrame, run) -> DataFrame:
     """``mapInArrow`` from whole rows to rows of the same columns, whatever these are called; batches have their columns in order."""
+    small_batches(df.sparkSession)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 

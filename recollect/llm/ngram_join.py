@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, steps, table, word_hashes
+from .common import Scratch, forget, give_back, mix, steps, table, word_hashes
 from .components import connected_components
 from .packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 
@@ -92,6 +92,7 @@ def hot_filter(texts: DataFrame) -> np.ndarray:
     buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held, size = [], 0
 
         def flush():
@@ -128,6 +129,8 @@ def hot_filter(texts: DataFrame) -> np.ndarray:
                 rows.append(r)
         if rows:
             yield flush(rows)
+        rows = []
+        give_back()
 
     out = np.zeros(1 << HOT_BITS - 3, np.uint8)
     asked = texts.mapInArrow(count, "bucket long, keys binary, n binary").repartition("bucket").sortWithinPartitions("bucket")
@@ -293,6 +296,8 @@ def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, "Gr
             yield ask()
     if asked:
         yield ask()
+    key = group = asked = None
+    give_back()
 
 
 def gathered(parts: Iterator[np.ndarray], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:

@@ -44,7 +44,7 @@ UNIGRAM, BPE = 1, 2
 MARK = "▁"
 THREADS, STEP = 2, 500_000
 #: Pieces of text that a worker keeps encoded, and the longest that it keeps.
-KEPT, KEPT_CHARS = 200_000, 64
+KEPT, KEPT_CHARS = 100_000, 64
 HARD = ["", " ", "  two  spaces ", "a\tb\nc\r\n", "Grüße, señor – déjà vu", "日本語のテキスト", "😀 emoji \U0001f9d1‍\U0001f680", "<s> </s> <unk> <0x41>", f"x{MARK}y {MARK}", "1234567890 3.14", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "ﬁ ½ ① Ａ", "\u0000\u0001", "é   　 x", "!!??..,,;;::", "don't can't"]
 
 
