@@ -53,7 +53,7 @@ def per_worker(key, make):
 
 def forget() -> None:
     """What ``per_worker`` keeps for other operators goes."""
-    per_worker(None, dict)
+    per_worker("nothing", dict)
 
 
 def give_back() -> None:
