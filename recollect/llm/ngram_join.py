@@ -389,10 +389,11 @@ def named(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tupl
     classes = classes.select("node", "n", F.col("x.tok").alias("toks"), F.xxhash64(F.element_at("x", -1)["tok"], size).alias("head"))
     classes = scratch.keep(classes, "classes")
     parts = classes.groupBy("head").agg(F.greatest(F.ceil(F.count("*") / GROUP_CLASSES), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("parts")).where("parts > 1")
-    # large heads are few, so that the join does not gather a head's classes
+    parts = scratch.keep(parts, "large-heads")  # few, so that the join below does not gather a head's classes
     place = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
     units = scratch.keep(classes.join(parts, "head", "left").select("node", "n", "toks", F.xxhash64("head", place).alias("g")), "units")
     scratch.drop("classes")
+    scratch.drop("large-heads")
     spread = units.select("node", "n", "g", F.explode("toks").alias("tok"))
     matrix = spread.groupBy("tok", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     # own groups, and of each class the pivot group that most of its shingles name
