@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 STEP_CHARS = 2_000_000
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: One task writes so many folders of a partitioned table side by side, without sorting its rows first.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -85,15 +87,18 @@ class Scratch:
         self.root, self.name = f"{base}/{name}-{uuid.uuid4().hex}", name
         Scratch.opened.append(self)
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and read it back; that cuts the lineage at a place that survives executors."""
+    def keep(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+        """Write a table, in folders by the columns ``by``, and read it back; that cuts the lineage at a place that survives executors."""
         path = f"{self.root}/{name}"
-        before = self.spark.conf.get(CLEAN, None)
-        try:  # what was shuffled for the table is of no use once it is written
-            self.spark.conf.set(CLEAN, "true")
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        mine = {CLEAN: "true"} | ({WRITERS: "16"} if by else {})  # what was shuffled for the table is of no use once it is written
+        before = {k: self.spark.conf.get(k, None) for k in mine}
+        try:
+            for k, v in mine.items():
+                self.spark.conf.set(k, v)
+            df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(path)
         finally:
-            self.spark.conf.unset(CLEAN) if before is None else self.spark.conf.set(CLEAN, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

@@ -1,17 +1,17 @@
-"""Language-model scoring by Katz backoff over word bigrams.
+"""Language-model scoring by Katz backoff over word n-grams, of any order from two on.
 
-P(w | h) = d(c(hw)) c(hw) / c(h) where the bigram was seen, else a(h) P(w); P(w) = d(c(w)) c(w) / N, and the
-mass that discounting frees is the unknown word's. d are Good-Turing discounts, from the counts of counts
-of each order; a(h) is the exact remainder, so that P(. | h) sums to one for every history. A history
-that was never seen backs off whole; every text starts from a start mark and finishes with an end token.
+P(w | h) = d(c(hw)) c(hw) / c(h) where the n-gram was seen, else a(h) P(w | h'), h' being h without its first word;
+P(w) = d(c(w)) c(w) / N, and the mass that discounting frees is the unknown word's. d are Good-Turing discounts, from
+the counts of counts of each order; a(h) is the exact remainder, so that P(. | h) sums to one for every history. A
+history that was never seen backs off whole; every text starts from start marks and finishes with an end token.
 
 Token-level rows are never shuffled. Texts become segments of one or two million tokens with a vocabulary of
 their own, kept as packed arrays. A segment asks for each of its distinct n-grams once, in sorted packed blocks
 by hash bucket; a bucket sums what all segments bring and answers with the total counts. The sums are the model, a table
-partitioned by order and bucket (``ngrams``). Of the segments that hold a seen bigram the first owns it; owners add
-up each history's seen mass, which a second exchange turns into backoff weights (``backoff``). Then each segment
-evaluates its tokens by array look-ups. Keys are spread by hash and each segment brings a key
-once, so that frequent words and frequent histories load no task more than others.
+partitioned by part and order, in files by bucket (``ngrams``). Of the segments that hold a seen n-gram the first owns it;
+order by order, owners add up each history's seen mass under both orders, which one more exchange turns into backoff weights
+(``backoff``). Then each segment evaluates its n-grams by recursion over the orders, in array look-ups. Keys are spread by
+hash and each segment brings a key once, so that frequent words and frequent histories load no task more than others.
 
 Null and empty texts have the end token only. Repeated rows count each time. Null ids count as the empty
 text for the split. Without training texts every token is unknown with probability one. An empty table gives an empty
@@ -20,6 +20,7 @@ result; other columns are not read. Words are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ from .packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 SEGMENT, BUCKET = 1_600_000, 1_000_000
 #: Counts up to this are discounted by Good-Turing.
 GT = 5
+#: Words of an n-gram. Each order more is another set of keys and answers in the shared folder.
+ORDER = 2
 END, START = np.uint64(1), np.uint64(2)
 
 
@@ -88,33 +91,44 @@ def segments(df: DataFrame) -> DataFrame:
 
 
 class Segment:
-    def __init__(self, lens: bytes, train: bytes, vocab: bytes, tokens: bytes):
-        self.lens, self.vocab = unpack(lens, np.int32).astype(np.int64), unpack_sorted(vocab)
-        self.train = np.repeat(unpack(train, np.uint8).astype(bool), self.lens)
-        self.tokens = unpack(tokens, np.uint32).astype(np.int64)
-        # histories: the token before, or the start mark, numbered after the vocabulary
-        self.before = np.concatenate([[0], self.tokens[:-1]])
-        self.before[np.cumsum(self.lens) - self.lens] = len(self.vocab)
-
-    def counts(self) -> np.ndarray:
-        return np.bincount(self.tokens[self.train], minlength=len(self.vocab))
-
-    def pairs(self) -> None:
-        """Distinct bigrams in the order of their keys: history, word, key, training count; and each token's."""
-        wide = len(self.vocab)
-        codes, back = np.unique(self.before * wide + self.tokens, return_inverse=True)
-        self.history, self.word = codes // wide, codes % wide
+    """A segment's n-grams up to an order. Per order k: distinct keys in their order (``keys``), each token's n-gram (``back``), and of
+    each n-gram its training count (``times``), its history (``history``: a place in ``names``) and what is left of it
+    without its first word (``shorter``: an n-gram of order k - 1). Histories of order k are the n-grams of order k - 1, and a start mark."""
+
+    def __init__(self, row: dict, order: int):
+        self.lens = unpack(row["lens"], np.int32).astype(np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.train = np.repeat(unpack(row["train"], np.uint8).astype(bool), self.lens)
+        self.keys, self.back = {1: unpack_sorted(row["vocab"])}, {1: unpack(row["tokens"], np.uint32).astype(np.int64)}
+        self.times, self.history, self.shorter, self.names = {1: self.counted(1)}, {}, {}, {}
+        for k in range(2, order + 1):
+            self.extend(k)
+
+    def counted(self, k: int) -> np.ndarray:
+        return np.bincount(self.back[k][self.train], minlength=len(self.keys[k]))
+
+    def extend(self, k: int) -> None:
+        vocab, tokens, last = self.keys[1], self.back[1], self.back[k - 1]
+        names = np.append(self.keys[k - 1], START)
+        before = np.concatenate([[0], last[:-1]])
+        before[self.starts] = len(names) - 1
+        codes, first, back = np.unique(before * len(vocab) + tokens, return_index=True, return_inverse=True)
+        history, word = codes // len(vocab), codes % len(vocab)
         with np.errstate(over="ignore"):
-            names = np.append(self.vocab, START)
-            keys = mix(mix(names[self.history]) * np.uint64(0x9E3779B97F4A7C15) + names[self.word])
+            keys = mix(mix(names[history]) * np.uint64(0x9E3779B97F4A7C15) + vocab[word])
         order = np.argsort(keys, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.history, self.word, self.keys, self.pair = self.history[order], self.word[order], keys[order], place[back]
-        self.times = np.bincount(self.pair[self.train], minlength=len(order))
+        self.keys[k], self.back[k], self.names[k] = keys[order], place[back], names
+        self.history[k], self.shorter[k] = history[order], last[first[order]]
+        self.times[k] = self.counted(k)
 
+    def by_name(self, k: int) -> np.ndarray:
+        """The order in which histories are asked for and answered."""
+        return np.argsort(self.names[k], kind="stable")
 
-PARTS = ["lens", "train", "vocab", "tokens"]
+
+PARTS = ["seg", "lens", "train", "vocab", "tokens"]
 ASK = "kind int, bucket long, seg long, keys binary, a binary, b binary, c binary"
 
 
@@ -148,18 +162,18 @@ def merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return distinct, back, np.concatenate([[0], np.cumsum([len(k) for k in keys])])
 
 
-ANSWER = "kind int, bucket long, seg long, keys binary, a binary, b binary, stats array<long>"
+ANSWER = "kind int, bucket long, seg long, keys binary, a binary, b binary, stats array<long>, part string"
 
 
 def answers(kind: int, bucket: int, rows: list[dict], cut: np.ndarray, a: np.ndarray, b: np.ndarray, model: tuple, stats) -> pa.RecordBatch:
-    """A row for each segment that asked, and one with seg null that belongs to the model."""
+    """A row for each segment that asked, and one of the model's part, with seg null."""
     parts = list(zip(cut[:-1], cut[1:], strict=True))
     n = len(rows) + 1
     return pa.RecordBatch.from_arrays([
         pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket)), pa.array([*[r["seg"] for r in rows], None], pa.int64()),
         pa.array([*[None] * len(rows), pack_sorted(model[0])], pa.binary()), pa.array([*[pack(a[s:e]) for s, e in parts], pack(model[1])], pa.binary()),
-        pa.array([*[pack(b[s:e]) for s, e in parts], pack(model[2])], pa.binary()), pa.array([*[None] * len(rows), stats], pa.list_(pa.int64())),
-    ], names=["kind", "bucket", "seg", "keys", "a", "b", "stats"])
+        pa.array([*[pack(b[s:e]) for s, e in parts], pack(model[2])], pa.binary()), pa.array([*[None] * len(rows), stats], pa.list_(pa.int64())), pa.array([*["answer"] * len(rows), "model"]),
+    ], names=["kind", "bucket", "seg", "keys", "a", "b", "stats", "part"])
 
 
 def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,37 +210,48 @@ def exchanged(asks: DataFrame, answer) -> DataFrame:
     return asks.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(answer, ANSWER)
 
 
-def stats_of(table: DataFrame, kind: int) -> np.ndarray:
-    rows = table.where((F.col("kind") == kind) & F.col("stats").isNotNull()).select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(2 + GT + 1)
+def stats_of(table: DataFrame, order: int) -> dict[int, np.ndarray]:
+    rows = table.where("part = 'model'").select("kind", F.posexplode("stats").alias("i", "x")).groupBy("kind", "i").agg(F.sum("x").alias("x")).collect()
+    out = {k: np.zeros(2 + GT + 1) for k in range(1, order + 1)}
     for r in rows:
-        out[r["i"]] = r["x"]
+        out[r["kind"]][r["i"]] = r["x"]
     return out
 
 
 class Params:
-    """What all tokens need: totals, discounts, and the unknown word's share."""
+    """What all tokens need: totals, discounts by order, and the unknown word's share."""
 
-    def __init__(self, one: np.ndarray, two: np.ndarray):
+    def __init__(self, stats: dict[int, np.ndarray]):
+        one = stats[1]
         self.n, self.v = float(one[0]), float(one[1])
-        self.d1, self.d2 = discounts(one[2:]), discounts(two[2:])
-        freed = sum(one[1 + r] * r * (1 - self.d1[r]) for r in range(1, GT + 1))
+        self.d = {k: discounts(x[2:]) for k, x in stats.items()}
+        freed = sum(one[1 + r] * r * (1 - self.d[1][r]) for r in range(1, GT + 1))
         self.below = self.n + (freed <= 0)  # nothing freed: one count more in the denominator
         self.unknown = (freed + (freed <= 0)) / max(self.below, 1.0) if self.n else 1.0
 
-    def discounted(self, c: np.ndarray, d: np.ndarray) -> np.ndarray:
-        return c * np.where(c <= GT, d[np.minimum(c, GT)], 1.0)
+    def discounted(self, c: np.ndarray, k: int) -> np.ndarray:
+        return c * np.where(c <= GT, self.d[k][np.minimum(c, GT)], 1.0)
 
-    def unigram(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self.discounted(c, self.d1) / max(self.below, 1.0), self.unknown)
+    def probability(self, s: Segment, row: dict, k: int) -> np.ndarray:
+        """P of the last word of each of the segment's n-grams of order k, from the answers in row."""
+        c = joined(row[f"c{k}"], "a", np.int64)
+        if k == 1:
+            return np.where(c > 0, self.discounted(c, 1) / max(self.below, 1.0), self.unknown)
+        order = s.by_name(k)
+        weight, below = np.empty(len(order)), np.empty(len(order))
+        weight[order], below[order] = 10 ** joined(row[f"h{k}"], "a", np.float64), joined(row[f"h{k}"], "b", np.float64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            seen = self.discounted(c, k) / below[s.history[k]]
+        return np.where(c > 0, seen, weight[s.history[k]] * self.probability(s, row, k - 1)[s.shorter[k]])
 
 
-def answered(segs: DataFrame, *tables: DataFrame) -> DataFrame:
-    """Segments with the answers to them, in bucket order, as arrays x1_a, x1_b, .. by kind."""
+def answered(segs: DataFrame, ngrams: DataFrame, order: int, backoffs: dict[int, DataFrame]) -> DataFrame:
+    """Segments with the answers to them, in bucket order, as arrays c1, c2, .. (counts) and h2, h3, .. (histories) by order."""
     out = segs
-    for t in tables:
-        got = t.where("seg IS NOT NULL").groupBy("seg").pivot("kind", [1, 2] if t is tables[0] else [3]).agg(F.array_sort(F.collect_list(F.struct("bucket", "a", "b"))))
-        out = out.join(got, "seg")
+    for t, name, kinds in [(ngrams, "c", range(1, order + 1)), *((t, "h", [k]) for k, t in backoffs.items())]:
+        rows = t.where((F.col("part") == "answer") & F.col("kind").isin(*kinds))
+        got = rows.groupBy("seg").pivot("kind", list(kinds)).agg(F.array_sort(F.collect_list(F.struct("bucket", "a", "b"))))
+        out = out.join(got.withColumnsRenamed({str(k): f"{name}{k}" for k in kinds}), "seg")
     return out
 
 
@@ -234,65 +259,64 @@ def joined(rows: list[dict], field: str, dtype) -> np.ndarray:
     return np.concatenate([unpack(r[field], dtype) for r in rows] or [np.zeros(0, dtype)])
 
 
-def fit_and_score(docs: DataFrame, held, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict[str, DataFrame]]:
+def fit_and_score(docs: DataFrame, held, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Scores of all rows under a model of those where ``held`` is false, and the model's tables.
 
-    Scores: (id, held_out, n_tokens, n_known, train_tokens, base_score, score). Model: ``ngrams`` (kind 1
-    words, 2 bigrams; bucket, packed sorted key hashes, counts) and ``backoff`` (packed histories, log10
+    Scores: (id, held_out, n_tokens, n_known, train_tokens, base_score, score). Model: ``ngrams`` (kind: the
+    order; bucket, packed sorted key hashes, counts) and ``backoff`` (kind: the order that the histories are for; packed histories, log10
     weights, denominators).
     """
+    if order < 2:
+        raise ValueError("a backoff model has an order of two or more")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held.alias("held"))
     kind = rows.schema["id"].dataType.simpleString()
     segs = scratch.keep(segments(rows), "segments")
     total = segs.agg(F.sum("v"), F.sum("n")).first()
-    b1, b2 = (max(1, -(-(x or 0) // BUCKET)) for x in total)
+    buckets = {k: max(1, -(-(total[k > 1] or 0) // BUCKET)) for k in range(1, order + 1)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                s = Segment(*(r[c] for c in PARTS))
-                yield ask(1, r["seg"], b1, s.vocab, s.counts())
-                s.pairs()
-                yield ask(2, r["seg"], b2, s.keys, s.times)
-
-    ngrams = scratch.keep(exchanged(segs.select("seg", *PARTS).mapInArrow(count, ASK), totals), "ngrams")
-    p = Params(stats_of(ngrams, 1), stats_of(ngrams, 2))
-
-    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                s = Segment(*(r[c] for c in PARTS))
-                s.pairs()
-                c2, own = joined(r["2"], "a", np.int64), joined(r["2"], "b", np.uint8) > 0
-                lower = p.unigram(joined(r["1"], "a", np.int64))
-                at, size = s.history[own], len(s.vocab) + 1
-                sums = [np.bincount(at, weights=x, minlength=size) for x in (c2[own], p.discounted(c2[own], p.d2), lower[s.word[own]])]
-                names = np.append(s.vocab, START)
-                order = np.argsort(names, kind="stable")
-                yield ask(3, r["seg"], b1, names[order], *(x[order] for x in sums))
-
-    backoff = scratch.keep(exchanged(answered(segs.select("seg", *PARTS), ngrams).mapInArrow(masses, ASK), weights), "backoff")
+                s = Segment(r, 1)
+                for k in buckets:
+                    if k > 1:
+                        s.extend(k)
+                    yield ask(k, r["seg"], buckets[k], s.keys[k], s.times[k])
+
+    ngrams = scratch.keep(exchanged(segs.select(*PARTS).mapInArrow(count, ASK), totals), "ngrams", by=("part", "kind"))
+    p = Params(stats_of(ngrams, order))
+
+    def masses(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    s = Segment(r, k)
+                    c, own = joined(r[f"c{k}"], "a", np.int64), joined(r[f"c{k}"], "b", np.uint8) > 0
+                    lower = p.probability(s, r, k - 1)[s.shorter[k][own]]
+                    sums = [np.bincount(s.history[k][own], weights=x, minlength=len(s.names[k])) for x in (c[own], p.discounted(c[own], k), lower)]
+                    at = s.by_name(k)
+                    yield ask(k, r["seg"], buckets[k - 1], s.names[k][at], *(x[at] for x in sums))
+
+        return run
+
+    backoffs: dict[int, DataFrame] = {}
+    for k in range(2, order + 1):
+        asks = answered(segs.select(*PARTS), ngrams, k, backoffs).mapInArrow(masses(k), ASK)
+        backoffs[k] = scratch.keep(exchanged(asks, weights), f"backoff{k}", by=("part", "kind"))
 
     def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                s = Segment(*(r[c] for c in PARTS))
-                s.pairs()
-                c1, c2 = joined(r["1"], "a", np.int64), joined(r["2"], "a", np.int64)
-                order = np.argsort(np.append(s.vocab, START), kind="stable")
-                log_a, below = (np.empty(len(order)) for _ in range(2))
-                log_a[order], below[order] = joined(r["3"], "a", np.float64), joined(r["3"], "b", np.float64)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    seen = np.log10(p.discounted(c2, p.d2) / below[s.history])
-                    pair = np.where(c2 > 0, seen, log_a[s.history] + np.log10(p.unigram(c1))[s.word])
-                base = np.log10((c1 + 0.5) / (p.n + 0.5 * (p.v + 1)))
-                starts = np.cumsum(s.lens) - s.lens
-                sums = [np.add.reduceat(x, starts) for x in ((c1 > 0)[s.tokens].astype(np.int64), base[s.tokens], pair[s.pair])]
-                yield pa.RecordBatch.from_arrays([pa.array(r["ids"], b.schema.field("ids").type.value_type), pa.array(~s.train[starts]), pa.array(s.lens), pa.array(sums[0]), pa.array(np.full(len(s.lens), int(p.n))), pa.array(sums[1]), pa.array(sums[2])], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    out = answered(segs.select("seg", "ids", *PARTS), ngrams, backoff).mapInArrow(evaluate, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    model = {"ngrams": ngrams.where("seg IS NULL").drop("seg", "b", "stats"), "backoff": backoff.where("seg IS NULL").drop("seg", "stats")}
-    return out.withColumnRenamed("id", id_col), model
+                s = Segment(r, order)
+                score = np.log10(p.probability(s, r, order))
+                c = joined(r["c1"], "a", np.int64)
+                base = np.log10((c + 0.5) / (p.n + 0.5 * (p.v + 1)))
+                sums = [np.add.reduceat(x, s.starts) for x in ((c > 0)[s.back[1]].astype(np.int64), base[s.back[1]], score[s.back[order]])]
+                yield pa.RecordBatch.from_arrays([pa.array(r["ids"], b.schema.field("ids").type.value_type), pa.array(~s.train[s.starts]), pa.array(s.lens), pa.array(sums[0]), pa.array(np.full(len(s.lens), int(p.n))), pa.array(sums[1]), pa.array(sums[2])], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    out = answered(segs.select("ids", *PARTS), ngrams, order, backoffs).mapInArrow(evaluate, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    known = [t.where("part = 'model'").select("kind", "bucket", "keys", "a", "b") for t in backoffs.values()]
+    return out.withColumnRenamed("id", id_col), {"ngrams": ngrams.where("part = 'model'").select("kind", "bucket", "keys", "a"), "backoff": functools.reduce(DataFrame.unionAll, known)}
 
 
 def op4_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

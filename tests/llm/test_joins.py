@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from recollect.llm import decontamination, katz_lm, ngram_join
-from recollect.llm.common import Scratch
+from recollect.llm.common import Scratch, crc_mod
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, n string, component_id string, score double"
 
@@ -209,59 +209,72 @@ def test_no_benchmark(spark):
 # ---- language model
 
 
-def brute_katz(texts, held):
+def brute_katz(texts, held, order):
     toks = [re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower()) + [b"\n"] for t in texts]
-    c1, c2, ch = collections.Counter(), collections.Counter(), collections.Counter()
-    for t, h in zip(toks, held, strict=True):
-        if not h:
-            c1.update(t)
-            for a, b in zip([b"\0", *t[:-1]], t, strict=True):
-                c2[a, b] += 1
-                ch[a] += 1
-    n, v = sum(c1.values()), len(c1)
-    times = lambda c: np.array([sum(1 for x in c.values() if x == r) for r in range(1, katz_lm.GT + 2)])
-    d1, d2 = katz_lm.discounts(times(c1)), katz_lm.discounts(times(c2))
-    disc = lambda c, d: c * (d[c] if c <= katz_lm.GT else 1)
-    seen = sum(disc(x, d1) for x in c1.values())
+    grams = lambda t, k: [tuple(([b"\0"] * (k - 1) + t)[i : i + k]) for i in range(len(t))]
+    c = {k: collections.Counter(g for t, h in zip(toks, held, strict=True) if not h for g in grams(t, k)) for k in range(1, order + 1)}
+    n, v = sum(c[1].values()), len(c[1])
+    d = {k: katz_lm.discounts(np.array([sum(1 for x in c[k].values() if x == r) for r in range(1, katz_lm.GT + 2)])) for k in c}
+    disc = lambda x, k: x * (d[k][x] if x <= katz_lm.GT else 1)
+    seen = sum(disc(x, 1) for x in c[1].values())
     below = n + (n - seen <= 0)
     unknown = 1 - seen / below if n else 1.0
-    p1 = lambda w: disc(c1[w], d1) / below if c1[w] else unknown
-    mass, low = collections.defaultdict(float), collections.defaultdict(float)
-    for (a, b), c in c2.items():
-        mass[a] += disc(c, d2)
-        low[a] += p1(b)
-    den = {h: c + (mass[h] >= c * (1 - 1e-12)) for h, c in ch.items()}
-    alpha = {h: (1 - mass[h] / den[h]) / (1 - low[h]) for h in ch}
-    p = lambda a, b: disc(c2[a, b], d2) / den[a] if c2[a, b] else alpha.get(a, 1) * p1(b)
-    for h in ch:  # exactly normalised
-        total = sum(p(h, w) for w in c1) + alpha[h] * unknown
-        assert total == pytest.approx(1, abs=1e-9)
+    den, alpha = {}, {}
+
+    def p(g):
+        if len(g) == 1:
+            return disc(c[1][g], 1) / below if c[1][g] else unknown
+        return disc(c[len(g)][g], len(g)) / den[g[:-1]] if c[len(g)][g] else alpha.get(g[:-1], 1) * p(g[1:])
+
+    for k in range(2, order + 1):
+        after = collections.defaultdict(list)
+        for g in c[k]:
+            after[g[:-1]].append(g)
+        for h, gs in after.items():
+            count, mass = sum(c[k][g] for g in gs), sum(disc(c[k][g], k) for g in gs)
+            den[h] = count + (mass >= count * (1 - 1e-12))
+            alpha[h] = (1 - mass / den[h]) / (1 - sum(p(g[1:]) for g in gs))
+        for h in after:  # exactly normalised over all words and the unknown one
+            assert sum(p((*h, *w)) for w in c[1]) + p((*h, b"never seen")) == pytest.approx(1, abs=1e-9)
     rows = []
     for t, h in zip(toks, held, strict=True):
-        base = sum(math.log10((c1[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        rows.append((h, len(t), sum(c1[w] > 0 for w in t), n, base, sum(math.log10(p(a, b)) for a, b in zip([b"\0", *t[:-1]], t, strict=True))))
+        base = sum(math.log10((c[1][w,] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
+        rows.append((h, len(t), sum(c[1][w,] > 0 for w in t), n, base, sum(math.log10(p(g)) for g in grams(t, order))))
     return rows
 
 
-@pytest.mark.parametrize("segment", [1_000_000, 50])
-def test_katz_brute(spark, tmp_path, monkeypatch, segment):
+@pytest.mark.parametrize("segment, order", [(1_000_000, 2), (50, 2), (50, 3), (1_000_000, 4)])
+def test_katz_brute(spark, monkeypatch, segment, order):
     monkeypatch.setattr(katz_lm, "SEGMENT", segment)
     monkeypatch.setattr(katz_lm, "BUCKET", 40)
     rng = random.Random(7)
     texts = [None, "", "the the the the the the the the", "É é"] + [" ".join(rng.choices([f"w{i}" for i in range(40)], weights=[1 / (i + 1) for i in range(40)], k=rng.randrange(30))) for _ in range(80)]
-    docs(spark, texts).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
-    want = brute_katz(texts, held)
-    got = {r["doc_id"]: tuple(r)[1:] for r in katz_lm.op4_katz_lm(spark, str(tmp_path)).collect()}
+    want = brute_katz(texts, held, order)
+    out, model = katz_lm.fit_and_score(docs(spark, texts).repartition(3), crc_mod("doc_id", 5) == 1, Scratch(spark, "t"), order=order)
+    got = {r["doc_id"]: tuple(r)[1:] for r in out.collect()}
     assert len(got) == len(texts)
     for i, w in enumerate(want):
         assert got[i][:4] == w[:4] and got[i][4] == pytest.approx(w[4], abs=1e-8) and got[i][5] == pytest.approx(w[5], abs=1e-8)
+    assert {r["kind"] for r in model["ngrams"].select("kind").collect()} == set(range(1, order + 1))
+    assert {r["kind"] for r in model["backoff"].select("kind").collect()} == set(range(2, order + 1))
+
+
+def test_katz_query(spark, tmp_path):
+    """The registered query is the model at its default order, split by ids."""
+    docs(spark, ["a b c", None, "b c a b"]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in katz_lm.op4_katz_lm(spark, str(tmp_path)).collect()}
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(3)]
+    for i, w in enumerate(brute_katz(["a b c", None, "b c a b"], held, katz_lm.ORDER)):
+        assert tuple(got[i])[1:5] == w[:4] and got[i]["score"] == pytest.approx(w[5], abs=1e-8)
 
 
 def test_katz_odd(spark):
     from pyspark.sql import functions as F
 
     assert katz_lm.fit_and_score(docs(spark, []), F.lit(False), Scratch(spark, "t"))[0].count() == 0
+    with pytest.raises(ValueError):
+        katz_lm.fit_and_score(docs(spark, ["a"]), F.lit(False), Scratch(spark, "t"), order=1)
     rows = katz_lm.fit_and_score(docs(spark, ["a b", None]), F.lit(True), Scratch(spark, "t"))[0].collect()  # nothing to learn from
     assert [(r["n_tokens"], r["n_known"], r["score"]) for r in rows] == [(3, 0, 0.0), (1, 0, 0.0)]
     out, model = katz_lm.fit_and_score(docs(spark, ["a b a b", "a " * 5000]), F.lit(False), Scratch(spark, "t"))
