@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,18 @@ from ..functions.vectors import band, cosine
 HI, LO, BACKFILL = 0.75, 0.45, 200
 
 
+def thresholds(env: Mapping[str, str] = os.environ) -> tuple[float, float]:
+    """(hi, lo) from the environment, the defaults where it tells none or no number."""
+
+    def number(name: str, default: float) -> float:
+        try:
+            return float(env.get(name) or default)
+        except ValueError:
+            return default
+
+    return number("CLASSIFY_THRESHOLD_AUTO", HI), number("CLASSIFY_THRESHOLD_CANDIDATE", LO)
+
+
 def scores(items: DataFrame, spaces: DataFrame, hi: float = HI, lo: float = LO) -> DataFrame:
     """(id, user_id, space_id, score, band) of each item with each of its owner's labels; an equi-join on the owner."""
     pairs = items.select("id", "user_id", "vector").join(spaces, "user_id")

@@ -25,7 +25,7 @@ def _versions(s):
     return s.createDataFrame([("en", 3), ("de", 2), ("long", 2), ("extra", 5)], "space_id string, version int")
 
 
-def _flat(df):
+def flat(df):
     entries = F.transform(F.array_sort(F.map_entries("space_versions")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
     return df.select("memory_id", F.array_join("space_ids", ",").alias("space_ids"), F.array_join(entries, ",").alias("versions"), "manual_override")
 
@@ -70,12 +70,12 @@ def _upsert(s, d):
 
 
 QUERIES = {
-    "apply_labels": lambda s, d: _flat(_applied(s, d)),
-    "manual_override_guard": lambda s, d: _flat(_applied(s, d, True)),
+    "apply_labels": lambda s, d: flat(_applied(s, d)),
+    "manual_override_guard": lambda s, d: flat(_applied(s, d, True)),
     "stamp_growth": lambda s, d: m.stamp_growth(dom.growth_events(s, d), _new_labels(s, d)).select("id", "space_id"),
-    "remove_label": lambda s, d: _flat(m.remove_label(dom.memory_index(s, d), "en")),
+    "remove_label": lambda s, d: flat(m.remove_label(dom.memory_index(s, d), "en")),
     "delete_space_grants": lambda s, d: m.delete_space(dom.vector_spaces(s, d).withColumn("space_id", F.col("space_id").cast("string")), dom.grants(s, d), dom.memory_index(s, d), "3")[1],
-    "manual_edits": lambda s, d: _flat(m.set_manually(dom.memory_index(s, d), _edits(s, d))),
+    "manual_edits": lambda s, d: flat(m.set_manually(dom.memory_index(s, d), _edits(s, d))),
     "stale_memberships": lambda s, d: m.stale(dom.memory_index(s, d), _versions(s)),
     "cascade_delete": lambda s, d: _cascade(s, d, 0).select("memory_id", "file_id"),
     "cascade_delete_growth": lambda s, d: _cascade(s, d, 1).select("id", "memory_id"),

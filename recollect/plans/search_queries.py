@@ -89,7 +89,7 @@ asked AS (SELECT c.id AS request_id, c.id AS connection_id, c.user_id, v.descrip
 hits AS (SELECT request_id, i.id, """ + _COS.format("i.vector", "qv") + """ AS score FROM asked JOIN items i USING (user_id) WHERE list_has_any(i.space_ids, effective)),
 top AS (SELECT * FROM (SELECT request_id, id, score, CAST(row_number() OVER (PARTITION BY request_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM hits) WHERE rank <= 10)
 """
-_SCORES = _SEARCH + f""", scores AS (SELECT i.id, v.space_id, {_COS.format('i.vector', 'v.description_vector')} AS score FROM items i JOIN vector_space v USING (user_id)),
+SCORES = _SEARCH + f""", scores AS (SELECT i.id, v.space_id, {_COS.format('i.vector', 'v.description_vector')} AS score FROM items i JOIN vector_space v USING (user_id)),
 bands AS (SELECT *, CASE WHEN score >= {HI} THEN 'auto' WHEN score >= {LO} THEN 'candidate' ELSE 'none' END AS band FROM scores),
 kept AS (SELECT * FROM bands WHERE band = 'auto' OR band = 'candidate' AND score >= {(HI + LO) / 2})"""
 _NEAR = _SEARCH + """, cen AS (SELECT CAST(space_id AS INTEGER) AS cluster, list_transform(description_vector, lambda x: x / sqrt(list_dot_product(description_vector, description_vector))) AS c FROM vector_space WHERE space_id < 8),
@@ -103,10 +103,10 @@ ORACLE_SQL = {
     "clamped_labels": _ASKED + " SELECT request_id, array_to_string(effective, ',') AS effective FROM asked",
     "audit_rows": _ASKED + f""" SELECT request_id, connection_id, 'search' AS action, array_to_string(list_sort(effective), ',') AS space_ids, substr(to_base64(encode(query)), 1, 64) AS query_mark, sha256(query) AS query_hash,
   CAST(coalesce(n, 0) AS INTEGER) AS result_count, TIMESTAMP '{dom.AS_OF}' AS created_at FROM asked LEFT JOIN (SELECT request_id, count(*) AS n FROM top GROUP BY 1) USING (request_id)""",
-    "classify_bands": _SCORES + " SELECT id, space_id, score, band FROM bands WHERE band <> 'none'",
-    "classify_assign": _SCORES + " SELECT id, string_agg(CAST(space_id AS VARCHAR), ',' ORDER BY band <> 'auto', space_id) AS space_ids FROM kept GROUP BY 1",
-    "backfill_topk": _SCORES + " SELECT space_id, id, score, band, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY space_id ORDER BY score DESC, id) AS rank FROM bands) WHERE rank <= 200 AND band <> 'none'",
-    "primary_space": _SCORES + " SELECT id, CAST(space_id AS VARCHAR) AS primary_space FROM kept QUALIFY row_number() OVER (PARTITION BY id ORDER BY band <> 'auto', space_id) = 1",
+    "classify_bands": SCORES + " SELECT id, space_id, score, band FROM bands WHERE band <> 'none'",
+    "classify_assign": SCORES + " SELECT id, string_agg(CAST(space_id AS VARCHAR), ',' ORDER BY band <> 'auto', space_id) AS space_ids FROM kept GROUP BY 1",
+    "backfill_topk": SCORES + " SELECT space_id, id, score, band, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY space_id ORDER BY score DESC, id) AS rank FROM bands) WHERE rank <= 200 AND band <> 'none'",
+    "primary_space": SCORES + " SELECT id, CAST(space_id AS VARCHAR) AS primary_space FROM kept QUALIFY row_number() OVER (PARTITION BY id ORDER BY band <> 'auto', space_id) = 1",
     "cluster_assign": _NEAR + " SELECT * FROM near",
     "cluster_centroid_sim": _NEAR + """, el AS (SELECT cluster, p, sum(x) AS x FROM (SELECT n.cluster, unnest(i.vector) AS x, unnest(range(len(i.vector))) AS p FROM near n JOIN items i USING (id)) GROUP BY 1, 2),
  arr AS (SELECT cluster, list(x ORDER BY p) AS s FROM el GROUP BY 1), cc AS (SELECT cluster, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS c FROM arr),

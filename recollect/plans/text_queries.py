@@ -19,7 +19,7 @@ def now():
     return moment(dom.AS_OF)
 
 
-def _hits(s, d):
+def hits(s, d):
     return load(s, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), F.col("ts"))
 
 
@@ -57,10 +57,10 @@ QUERIES = {
     "import_conversations": lambda s, d: im.from_turns(dom.conversations(s, d)),
     "import_export_json": _export,
     "last_user_message": lambda s, d: im.last_user_message(dom.conversations(s, d)),
-    "merged_events": lambda s, d: im.merged_events(_hits(s, d).where("id % 2 = 0"), _hits(s, d).where("id % 2 = 1")).select("id", "stream"),
-    "rate_limit_sliding": lambda s, d: li.sliding_window(_hits(s, d), "key", "ts", 3, 86400).select("id", "hits", "allowed"),
-    "rate_limit_fixed": lambda s, d: li.fixed_window(_hits(s, d), "key", "ts", "id", 3, 86400),
-    "otp_request_limits": lambda s, d: li.both_limits(_hits(s, d).withColumn("ip", F.col("id") % 97), ("key", "ip"), "ts", "id", 3, 86400),
+    "merged_events": lambda s, d: im.merged_events(hits(s, d).where("id % 2 = 0"), hits(s, d).where("id % 2 = 1")).select("id", "stream"),
+    "rate_limit_sliding": lambda s, d: li.sliding_window(hits(s, d), "key", "ts", 3, 86400).select("id", "hits", "allowed"),
+    "rate_limit_fixed": lambda s, d: li.fixed_window(hits(s, d), "key", "ts", "id", 3, 86400),
+    "otp_request_limits": lambda s, d: li.both_limits(hits(s, d).withColumn("ip", F.col("id") % 97), ("key", "ip"), "ts", "id", 3, 86400),
     "stream_counts": lambda s, d: load(s, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("calls"), F.count("*").alias("all_events")),
     "event_lines": lambda s, d: as_event_lines(load(s, d, "nation").select("n_nationkey", "n_name")),
     "otp_attempts": lambda s, d: li.code_attempts(_tries(s, d)),
@@ -102,13 +102,13 @@ _UTM = ", ".join(f"url_decode(replace(coalesce(regexp_extract(url, '[?&]{f}=([^&
 _LEADS = dom.prelude("leads") + f""", normal AS (SELECT id, '2024-01-30T23:59:59.000Z' AS created_at, lower(trim(email, {WS})) AS email, role, experience, ai_tools, monthly_spend, 'landing-v3' AS source, coalesce(referer, '') AS referer, '' AS user_agent,
   coalesce(trim(split_part(accept_language, ',', 1)), '') AS language, {_UTM} FROM (SELECT *, coalesce(referer, '') AS url FROM leads) WHERE trim(website) = '' AND experience <> 'other')"""
 _S = "date_diff('second', ts, TIMESTAMP '2024-01-30 23:59:59')"
-def _fixed_sql(name: str, key: str) -> str:
+def fixed_sql(name: str, key: str) -> str:
     return f"""{name}e AS (SELECT event_id AS id, {key} AS key, epoch_us(ts) AS us, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS r FROM events),
  {name}(id, key, r, s, no) AS (SELECT id, key, r, us, 1::BIGINT FROM {name}e WHERE r = 1 UNION ALL SELECT e.id, e.key, e.r, CASE WHEN e.us >= s + 86400000000 THEN e.us ELSE s END, CASE WHEN e.us >= s + 86400000000 THEN 1 ELSE no + 1 END FROM {name} f JOIN {name}e e ON e.key = f.key AND e.r = f.r + 1)"""
 
 
 ORACLE_SQL = {
-    "otp_request_limits": f"WITH RECURSIVE {_fixed_sql('a', 'user_id')}, {_fixed_sql('b', 'event_id % 97')} SELECT a.id, a.no <= 3 AND b.no <= 3 AS allowed FROM a JOIN b ON a.id = b.id",
+    "otp_request_limits": f"WITH RECURSIVE {fixed_sql('a', 'user_id')}, {fixed_sql('b', 'event_id % 97')} SELECT a.id, a.no <= 3 AND b.no <= 3 AS allowed FROM a JOIN b ON a.id = b.id",
     "stream_counts": "SELECT user_id, count(*) FILTER (event_type = 'click') AS calls, count(*) AS all_events FROM events GROUP BY 1",
     "event_lines": """SELECT 'data: {"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' || chr(10) || chr(10) AS value FROM nation""",
     "normalize_text": f"WITH {_NORM} SELECT doc_id, t AS text FROM norm",
@@ -118,7 +118,7 @@ ORACLE_SQL = {
     "last_user_message": "SELECT conv_id, arg_max(text, turn) AS last_message FROM conversations WHERE role = 'user' GROUP BY 1",
     "merged_events": "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS stream FROM events",
     "rate_limit_sliding": "SELECT event_id AS id, count(*) OVER w AS hits, count(*) OVER w <= 3 AS allowed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECOND PRECEDING AND CURRENT ROW)",
-    "rate_limit_fixed": f"WITH RECURSIVE {_fixed_sql('a', 'user_id')} SELECT id, key, no AS hit_no, no <= 3 AS allowed FROM a",
+    "rate_limit_fixed": f"WITH RECURSIVE {fixed_sql('a', 'user_id')} SELECT id, key, no AS hit_no, no <= 3 AS allowed FROM a",
     "otp_attempts": """WITH t AS (SELECT l_orderkey AS code_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INTEGER) AS try_no, l_quantity > 40 AS ok FROM lineitem)
  SELECT code_id, try_no, CASE WHEN coalesce(max(CASE WHEN ok AND try_no <= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY code_id ORDER BY try_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'consumed' WHEN try_no > 5 THEN 'too_many' WHEN ok THEN 'ok' ELSE 'wrong' END AS outcome FROM t""",
     "leads_normalized": _LEADS + " SELECT * FROM normal",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ingest import ingest
+from ..operators.jobs import attempt
 from ..schemas import schema
 
 
@@ -33,6 +34,40 @@ def ingest_stream(queue: DataFrame, files: DataFrame, index_path: str, checkpoin
     return queue.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+STATE = "file_id string, status string, attempts int, error string, batch int, step int"
+
+
+def attempt_stream(queue: DataFrame, files: DataFrame, index_path: str, state_path: str, checkpoint: str):
+    """Like ``ingest_stream``, with the states of files (``current_states``): processing while their batch is at work, then indexed, failed,
+    or pending where a job may be queued again. files: (file_id, text, error of parsing or null). A replayed batch replaces what it
+    wrote and reads the states before it; an error of one file leaves the others alone."""
+    spark = queue.sparkSession
+    spark.createDataFrame([], STATE).write.mode("ignore").partitionBy("batch", "step").parquet(state_path)
+
+    def put(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        earlier = latest(session.read.schema(STATE).parquet(state_path).where(F.col("batch") < number))
+        empty = session.createDataFrame([], "memory_id string, file_id string, user_id string, source string, text string")
+        index, states = attempt(batch, files, empty, earlier)
+        started = batch.select("file_id").distinct().join(files, "file_id", "left_semi")
+        started = started.select("file_id", F.lit("processing").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"))
+        started.write.mode("overwrite").parquet(f"{state_path}/batch={number}/step=0")
+        index.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
+        states.write.mode("overwrite").parquet(f"{state_path}/batch={number}/step=1")
+
+    return queue.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(states: DataFrame) -> DataFrame:
+    """Each file's newest state."""
+    newest = F.max_by(F.struct("status", "attempts", "error"), F.struct("batch", "step"))
+    return states.groupBy("file_id").agg(newest.alias("s")).select("file_id", "s.*")
+
+
+def current_states(spark: SparkSession, state_path: str) -> DataFrame:
+    return latest(spark.read.schema(STATE).parquet(state_path))
+
+
 def current_index(spark: SparkSession, index_path: str) -> DataFrame:
     """The items of each file's latest batch."""
     rows = spark.read.parquet(index_path)

@@ -109,3 +109,21 @@ def test_event_lines_round_trip(spark):
 def test_event_lines(spark):
     lines = spark.createDataFrame([('data: {"type": "token", "delta": "hi"}',), ("",), (": ping",)], "value string")
     assert [(r["type"], r["delta"]) for r in event_lines(lines).collect()] == [("token", "hi")]
+
+
+def test_thresholds():
+    from recollect.operators.classify import HI, LO, thresholds
+
+    assert thresholds({}) == (HI, LO) and thresholds({"CLASSIFY_THRESHOLD_AUTO": "0.9", "CLASSIFY_THRESHOLD_CANDIDATE": "x"}) == (0.9, LO)
+
+
+def test_parsed_errors(spark):
+    """A broken file and an unknown type are errors of their rows only; bytes that are no UTF-8 are replaced."""
+    from recollect.schemas import MIME_PDF
+    from recollect.sources.readers import parsed
+
+    rows = [(1, bytearray(b"a\xff"), "text/plain"), (2, bytearray(b"no pdf"), MIME_PDF), (3, bytearray(b"x"), "image/png"), (4, None, "text/plain"), (5, bytearray(b"x"), None)]
+    df = spark.createDataFrame(rows, "id int, content binary, mime string")
+    got = {r["id"]: r["p"] for r in df.select("id", parsed(F.col("content"), F.col("mime")).alias("p")).collect()}
+    assert got[1]["text"] == "a\ufffd" and got[1]["error"] is None and got[4]["text"] is None
+    assert got[2]["text"] is None and got[2]["error"] and got[3]["error"] == "unsupported type: image/png" and got[5]["error"] == "unsupported type: null"

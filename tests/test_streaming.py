@@ -25,6 +25,20 @@ def test_ingest_stream(spark, tmp_path):
     assert now.count() == 3 and now.select("memory_id").distinct().count() == 3
 
 
+def test_attempt_stream(spark, tmp_path):
+    """A broken file is tried three times and fails; the others are indexed in the same batches."""
+    files = spark.createDataFrame([("f1", "hello", None), ("f2", None, "broken")], "file_id string, text string, error string")
+    queue, index, states = f"{tmp_path}/queue", f"{tmp_path}/index", f"{tmp_path}/states"
+    seen = []
+    for ids in (("f1", "f2", "gone"), ("f2",), ("f2", "f1"), ("f2",)):
+        jobs.enqueue(spark.createDataFrame([(i, "u", "manual") for i in ids], schema("ingest_job")), queue)
+        jobs.attempt_stream(jobs.job_queue(spark, queue, "ingest_job"), files, index, states, f"{tmp_path}/check").awaitTermination()
+        seen.append({r["file_id"]: (r["status"], r["attempts"], r["error"]) for r in jobs.current_states(spark, states).collect()})
+    assert [x["f2"][:2] for x in seen] == [("pending", 1), ("pending", 2), ("failed", 3), ("pending", 1)]
+    assert all(x["f1"] == ("indexed", 1, None) and x["f2"][2] == "broken" and "gone" not in x for x in seen)
+    assert [r["text"] for r in jobs.current_index(spark, index).collect()] == ["hello"]
+
+
 def test_growth_view_equals_batch(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
     rows = [(i, "a" if i % 3 else None, base + dt.timedelta(minutes=13 * i)) for i in range(50)]
