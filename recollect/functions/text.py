@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import secrets
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 #: The white space that trimming removes.
 SPACE = "".join(map(chr, [*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
 
+#: Where a JSON text goes that cannot be parsed.
+BROKEN = "_broken"
+
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space at both ends."""
@@ -118,5 +125,34 @@ def labelled(c: Column, names: dict[str, str], default: str) -> Column:
 
 
 def parsed_json(c: Column, ddl: str, default: Column | None = None) -> Column:
-    out = F.from_json(c, ddl)
+    """A JSON text by its type; a text that is broken or does not fit gives null, or the default."""
+    kind = DataType.fromDDL(ddl)
+    if isinstance(kind, StructType):  # whose fields would all be null for a broken text
+        out = F.from_json(c, StructType([*kind.fields, StructField(BROKEN, StringType())]), {"columnNameOfCorruptRecord": BROKEN})
+        out = F.when(out.isNotNull() & out[BROKEN].isNull(), F.struct(*[out[n].alias(n) for n in kind.names]))
+    else:
+        out = F.from_json(c, kind)
     return out if default is None else F.coalesce(out, default)
+
+
+def secret_token(row: Column, prefix: str = "") -> Column:
+    """For each row a prefix and 32 random bytes as url-safe base64; a new one at each evaluation, so store it before using it twice.
+
+    Spark's own ``uuid`` and ``randstr`` are not made for secrets, so the bytes come from the system's source.
+    """
+
+    @F.pandas_udf("string")
+    def make(rows: pd.Series) -> pd.Series:
+        return pd.Series([prefix + secrets.token_urlsafe(32) for _ in range(len(rows))])
+
+    return make.asNondeterministic()(row)
+
+
+def one_time_code(row: Column) -> Column:
+    """For each row six random digits, the first not zero; a new one at each evaluation."""
+
+    @F.pandas_udf("string")
+    def make(rows: pd.Series) -> pd.Series:
+        return pd.Series([str(100000 + secrets.randbelow(899999)) for _ in range(len(rows))])
+
+    return make.asNondeterministic()(row)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Short names of the weekdays from Monday on.
+WEEKDAYS = ("lun", "mar", "mié", "jue", "vie", "sáb", "dom")
+
 
 def moment(as_of: str) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
@@ -38,6 +41,11 @@ def hour_label(ts: Column) -> Column:
     return F.concat(F.lpad(F.hour(ts).cast("string"), 2, "0"), F.lit("h"))
 
 
+def day_label(ts: Column) -> Column:
+    """Weekday and day of the month, in the fixed words of the domain."""
+    return F.concat(F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.weekday(ts) + 1), F.lit(", "), F.dayofmonth(ts).cast("string"))
+
+
 def countdown(until: Column, as_of: Column) -> Column:
     """struct<days, hours, minutes, seconds>, zero once over."""
     s = F.greatest(F.lit(0), F.floor((F.unix_micros(until.cast("timestamp")) - F.unix_micros(as_of.cast("timestamp"))) / 1_000_000))

@@ -76,3 +76,8 @@ def ungrant(grants: DataFrame, gone: DataFrame) -> DataFrame:
 def health(checks: DataFrame) -> DataFrame:
     """Overall state of (name, ok) rows."""
     return checks.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("ok")).select("ok", F.when(F.col("ok"), "ok").otherwise("degraded").alias("status"))
+
+
+def by_time(rows: DataFrame, newest: bool = True, time: str = "created_at", id_col: str = "id") -> DataFrame:
+    """A listing by time, newest or oldest first; ties go to the lower id, rows without a time come last."""
+    return rows.orderBy(F.desc_nulls_last(time) if newest else F.asc_nulls_last(time), id_col)

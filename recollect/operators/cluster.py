@@ -73,3 +73,8 @@ def suggest(points: DataFrame, seed: int = 1, name: str = "first_long_word") ->
     sizes = found.groupBy("cluster").agg(F.count("*").alias("item_count")).where("item_count >= 2")
     texts = representatives(near, 1).join(few, "id").select("cluster", get("name", name)(F.col("text")).alias("suggested_name"))
     return sizes.join(top, "cluster").join(texts, "cluster").select("cluster", F.coalesce("suggested_name", F.lit("Espacio")).alias("suggested_name"), "item_count", "examples")
+
+
+def spread_weights(points: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, weight): squared cosine distance to the nearest of the chosen centroids, by which k-means++ draws the next one."""
+    return assign(points, chosen).select("id", ((1 - F.col("sim")) * (1 - F.col("sim"))).alias("weight"))

@@ -73,3 +73,8 @@ def stack_offsets(series: DataFrame) -> DataFrame:
     h = round_half_up(F.col("count") / F.col("top") * CHART_HEIGHT).cast("int")
     below = Window.partitionBy("bucket").orderBy("space_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return series.crossJoin(F.broadcast(top)).select("bucket", "space_id", h.alias("h")).select("bucket", "space_id", "h", (F.lit(CHART_HEIGHT) - F.sum("h").over(below)).alias("y"))
+
+
+def in_order(series: DataFrame) -> DataFrame:
+    """A series or roll-up by bucket, then by label where it has labels. Buckets are ISO strings, so this is by time."""
+    return series.orderBy("bucket", *[c for c in ("space_id",) if c in series.columns])

@@ -40,6 +40,11 @@ def deduplicated(rows: DataFrame, existing: DataFrame | None = None) -> DataFram
     return fresh.groupBy("email").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "email"]), "id").alias("x")).select("x.*", "email").select(*rows.columns)
 
 
+def append_sheet(rows: DataFrame, path: str) -> None:
+    """Add the sheet's rows to those below a path, as CSV; what is there stays."""
+    sheet_rows(rows).write.mode("append").option("header", True).csv(path)
+
+
 def sheet_rows(rows: DataFrame) -> DataFrame:
     """The thirteen columns of the sheet, in order."""
     return rows.select(*schema("lead").fieldNames())

@@ -81,6 +81,13 @@ def upsert(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     return b.join(d, F.col(f"b.{key}") == F.col(f"d.{key}"), "full").select(*cols)
 
 
+def update(base: DataFrame, delta: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Rows of base where those that the delta names (one row a key) take its values of the named columns, nulls too; other keys add nothing."""
+    new = delta.select(F.col(key), F.struct(*columns).alias("_new"))
+    rows = base.join(new, key, "left")
+    return rows.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns])
+
+
 def bump_versions(spaces: DataFrame, edits: DataFrame) -> DataFrame:
     """Edits (space_id, description, name; null: no change): a changed description raises the version and starts a reclassification."""
     rows = spaces.join(edits.select("space_id", F.col("description").alias("_d"), F.col("name").alias("_n")), "space_id", "left")

@@ -22,10 +22,10 @@ def _areas(s, d):
 
 
 QUERIES = {
-    "growth_series": lambda s, d: _series(s, d),
-    "growth_series_hourly": lambda s, d: _series(s, d, "day"),
+    "growth_series": lambda s, d: g.in_order(_series(s, d)),
+    "growth_series_hourly": lambda s, d: g.in_order(_series(s, d, "day")),
     "growth_totals": lambda s, d: g.growth_totals(dom.growth_events(s, d), now()),
-    "growth_chart_rollup": lambda s, d: g.chart_rollup(_series(s, d)),
+    "growth_chart_rollup": lambda s, d: g.in_order(g.chart_rollup(_series(s, d))),
     "growth_stack_offsets": lambda s, d: g.stack_offsets(_series(s, d)),
     "areas": _areas,
     "space_counts": lambda s, d: g.space_counts(dom.memory_index(s, d), dom.memory_spaces(s)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -109,3 +109,29 @@ def limiter_stream(hits: DataFrame, limit: int = 30, seconds: int = 60, expire:
         yield pd.DataFrame(out, columns=["key", "id", "hit_no", "allowed"])
 
     return hits.groupBy("key").applyInPandasWithState(fold, "key string, id long, hit_no int, allowed boolean", "start long, n int", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
+
+
+def post_rows(rows: DataFrame, send: Callable[[str], bool], refused_path: str, checkpoint: str):
+    """Post every row as JSON from the tasks; bodies that ``send`` refuses (false) or fails on are kept with the error.
+
+    ``send`` gets one body and is shipped with the job. A replayed batch posts again, so the other side sees each row at least once; its refused
+    rows replace those that it wrote before.
+    """
+
+    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for body in b["body"]:
+                try:
+                    error = None if send(body) else "refused"
+                except Exception as e:  # an unreachable other side is that row's error
+                    error = f"{type(e).__name__}: {e}"
+                if error:
+                    out.append((body, error))
+            yield pd.DataFrame(out, columns=["body", "error"])
+
+    def put(batch: DataFrame, number: int) -> None:
+        bodies = batch.select(F.to_json(F.struct(*batch.columns)).alias("body"))
+        bodies.mapInPandas(post, "body string, error string").write.mode("overwrite").parquet(f"{refused_path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -127,3 +127,15 @@ def test_parsed_errors(spark):
     got = {r["id"]: r["p"] for r in df.select("id", parsed(F.col("content"), F.col("mime")).alias("p")).collect()}
     assert got[1]["text"] == "a\ufffd" and got[1]["error"] is None and got[4]["text"] is None
     assert got[2]["text"] is None and got[2]["error"] and got[3]["error"] == "unsupported type: image/png" and got[5]["error"] == "unsupported type: null"
+
+
+def test_secrets(spark):
+    rows = spark.range(500).select(text.secret_token(F.col("id"), "x-").alias("token"), text.one_time_code(F.col("id")).alias("code")).collect()
+    assert len({r["token"] for r in rows}) == 500 and all(r["token"].startswith("x-") and len(r["token"]) == 45 for r in rows)
+    assert all(100000 <= int(r["code"]) <= 999999 for r in rows)
+
+
+def test_json_defaults(spark):
+    raw = ['{"n":1}', "{broken", "", None, '{"m":2}', '{"n":"x"}']
+    got = spark.createDataFrame([(r,) for r in raw], "r string").select(text.parsed_json(F.col("r"), "n long", F.struct(F.lit(-1).cast("long").alias("n")))["n"], text.parsed_json(F.col("r"), "n long").isNull()).collect()
+    assert list(map(tuple, got)) == [(1, False), (-1, True), (-1, True), (-1, True), (None, False), (-1, True)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions.times import moment
 from recollect.operators import access, classify, cluster, graph, growth, imports, ingest, leads, limits, membership, search
+from recollect.schemas import schema
 from recollect.sources.personas import personas
 
 NOW = "2024-01-30 23:59:59"
@@ -197,3 +198,24 @@ def test_revoke_and_grant(spark):
 
 def test_personas(spark):
     assert personas(spark).select(F.size("memories")).distinct().collect()[0][0] == 6
+
+
+def test_update_sets_nulls(spark):
+    base = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, None, "z")], "k int, v string, w string")
+    delta = spark.createDataFrame([(1, None), (3, "c"), (9, "d")], "k int, v string")
+    assert sorted(map(tuple, membership.update(base, delta, "k", "v").collect())) == [(1, None, "x"), (2, "b", "y"), (3, "c", "z")]
+
+
+def test_listings_in_order(spark):
+    rows = spark.createDataFrame([(1, 5), (2, None), (3, 7), (4, 5)], "id int, created_at int")
+    assert [r["id"] for r in access.by_time(rows).collect()] == [3, 1, 4, 2]
+    assert [r["id"] for r in access.by_time(rows, newest=False).collect()] == [1, 4, 3, 2]
+
+
+def test_sheet_appends(spark, tmp_path):
+    columns = schema("lead").fieldNames()
+    for i in range(2):
+        rows = spark.createDataFrame([tuple(f"{c}{i}" for c in columns)], schema("lead"))
+        leads.append_sheet(rows, f"{tmp_path}/sheet")
+    got = spark.read.option("header", True).csv(f"{tmp_path}/sheet")
+    assert got.columns == columns and {r[0] for r in got.collect()} == {columns[0] + "0", columns[0] + "1"}

@@ -68,3 +68,26 @@ def test_limiter_equals_batch(spark, tmp_path):
     hits = df.withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz"))
     want = {r["id"]: r["hit_no"] for r in limits.fixed_window(hits, "key", "ts", "id", 10, 30).collect()}
     assert {r["id"]: r["hit_no"] for r in spark.table("limited").collect()} == want
+
+
+def test_posted_rows(spark, tmp_path):
+    """Bodies that are refused or fail are kept, the others were sent."""
+    spark.createDataFrame([(i, f"n{i}") for i in range(6)], "id long, name string").coalesce(2).write.parquet(f"{tmp_path}/in")
+    out = tmp_path / "sent"
+    out.mkdir()
+
+    def send(body: str) -> bool:
+        import json
+
+        row = json.loads(body)
+        if row["id"] == 4:
+            raise OSError("gone")
+        if row["id"] == 5:
+            return False
+        (out / str(row["id"])).write_text(row["name"])
+        return True
+
+    stream = spark.readStream.schema("id long, name string").parquet(f"{tmp_path}/in")
+    jobs.post_rows(stream, send, f"{tmp_path}/refused", f"{tmp_path}/check").awaitTermination()
+    assert {p.name: p.read_text() for p in out.iterdir()} == {str(i): f"n{i}" for i in range(4)}
+    assert sorted(r["error"] for r in spark.read.parquet(f"{tmp_path}/refused").collect()) == ["OSError: gone", "refused"]
