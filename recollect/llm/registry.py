@@ -14,6 +14,7 @@ from .sentencepiece_codec import op2_sentencepiece
 from .toxicity import op3_toxicity
 from .url_filter import ORACLE as URL_SQL
 from .url_filter import op1_url_filter
+from .word_runs import op12_word_runs
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_toxicity, op4_katz_lm, op5_language_id, op6_decontamination, op7_quality_model, op8_ngram_join, op9_secret_scan, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_toxicity, op4_katz_lm, op5_language_id, op6_decontamination, op7_quality_model, op8_ngram_join, op9_secret_scan, op10_quality_rules, op12_word_runs)}
 ORACLE_SQL = {"op1_url_filter": URL_SQL, "op8_ngram_join": JOIN_SQL}
