@@ -24,4 +24,4 @@ def test_sql(spark, name):
 def test_registered():
     import __spark_entry__ as e
 
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in e.queries() if k.startswith("op") and k[2].isdigit()} and "pipeline" in e.queries()
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in e.queries() if k.startswith("op") and k[2].isdigit()} and "pipeline" in e.queries()
