@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import moment
@@ -52,11 +49,9 @@ def _assigned(s, d):
 
 
 def _suggest(s, d):
-    """Suggestions of every owner, one clustering run each."""
+    """Suggestions for every owner, in one job."""
     pts = dom.items(s, d).withColumn("text", F.concat(F.lit("memory number"), F.col("id").cast("string")))
-    owners = [r["user_id"] for r in k.suggest_k(pts).select("user_id").orderBy("user_id").collect()]
-    runs = [k.suggest(pts.where(F.col("user_id") == u)).select(F.lit(u).cast("long").alias("user_id"), "cluster", "suggested_name", "item_count", F.array_join("examples", ",").alias("examples")) for u in owners]
-    return reduce(DataFrame.unionByName, runs) if runs else s.createDataFrame([], "user_id long, cluster int, suggested_name string, item_count long, examples string")
+    return k.suggest(pts).withColumn("examples", F.array_join("examples", "|"))
 
 
 QUERIES = {
@@ -94,6 +89,20 @@ bands AS (SELECT *, CASE WHEN score >= {HI} THEN 'auto' WHEN score >= {LO} THEN
 kept AS (SELECT * FROM bands WHERE band = 'auto' OR band = 'candidate' AND score >= {(HI + LO) / 2})"""
 _NEAR = _SEARCH + """, cen AS (SELECT CAST(space_id AS INTEGER) AS cluster, list_transform(description_vector, lambda x: x / sqrt(list_dot_product(description_vector, description_vector))) AS c FROM vector_space WHERE space_id < 8),
 near AS (SELECT id, cluster, sim FROM (SELECT i.id, cluster, round(list_dot_product(i.vector, c), 6) AS sim FROM items i, cen) QUALIFY row_number() OVER (PARTITION BY id ORDER BY sim DESC, cluster) = 1)"""
+#: The whole clustering: drawn centres, then rounds until nothing changes; a state is one row an owner.
+_DRAW = "CAST('0x' || substr(sha256('1|' || {0} || '|' || {1}), 1, 13) AS BIGINT) / 4503599627370496.0"
+_NEAREST = "list_transform(v, lambda p: list_position(list_transform(centres, lambda c: list_dot_product(p, c)), list_max(list_transform(centres, lambda c: list_dot_product(p, c)))))"
+_SUM = "list_transform([list_transform(range(len(v[1])), lambda i: list_sum(list_transform(list_filter(v, lambda p, j: nearest[j] = c), lambda p: p[i + 1])))], lambda s: list_transform(s, lambda x: x / CASE WHEN list_dot_product(s, s) = 0 THEN 1 ELSE sqrt(list_dot_product(s, s)) END))[1]"
+_CLUSTERS = "WITH RECURSIVE " + dom.prelude("items").removeprefix("WITH ") + f""",
+pts AS (SELECT user_id, list(id ORDER BY id) AS ids, list(vector ORDER BY id) AS v, count(*) AS n, CAST(least(floor(sqrt(count(*)) + 0.5), 8) AS INTEGER) AS k
+  FROM (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY id) <= 500) GROUP BY 1 HAVING count(*) >= 3),
+seeded AS (SELECT user_id, 1 AS t, [CAST(floor({_DRAW.format('user_id', 0)} * n) AS BIGINT) + 1] AS chosen FROM pts
+  UNION ALL SELECT user_id, t + 1, list_append(chosen, coalesce(list_position(list_transform(cum, lambda x: x >= {_DRAW.format('user_id', 't')} * cum[-1]), true), 1))
+  FROM (SELECT user_id, t, chosen, list_transform(range(n), lambda i: list_sum(w[1:i + 1])) AS cum FROM (SELECT s.user_id, t, chosen, n, list_transform(v, lambda p: pow(1 - list_max(list_transform(chosen, lambda c: list_dot_product(p, v[c]))), 2)) AS w
+    FROM seeded s JOIN pts USING (user_id) WHERE t < k))),
+turns AS (SELECT user_id, 0 AS turn, list_transform(chosen, lambda c: v[c]) AS centres, list_transform(v, lambda p: 1) AS found, true AS changed FROM seeded JOIN pts USING (user_id) WHERE t = k
+  UNION ALL SELECT user_id, turn + 1, CASE WHEN nearest = found THEN centres ELSE list_transform(centres, lambda old, c: CASE WHEN list_contains(nearest, c) THEN {_SUM} ELSE old END) END, nearest, nearest <> found
+  FROM (SELECT t.user_id, turn, found, v, centres, {_NEAREST} AS nearest FROM turns t JOIN pts USING (user_id) WHERE changed AND turn < 25))"""
 ORACLE_SQL = {
     "search_topk": _SEARCH + f" SELECT request_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT v.space_id AS request_id, i.id, {_COS.format('i.vector', 'v.description_vector')} AS score, row_number() OVER (PARTITION BY v.space_id ORDER BY {_COS.format('i.vector', 'v.description_vector')} DESC, i.id) AS rank FROM items i JOIN vector_space v USING (user_id)) WHERE rank <= 10",
     "search_filtered": dom.prelude("points") + " SELECT id, user_id FROM points WHERE user_id = 3 AND list_contains(space_ids, '3')",
@@ -114,5 +123,11 @@ ORACLE_SQL = {
  SELECT cluster, count(*) AS n, round(sum(sim), 3) AS total_sim FROM again GROUP BY 1""",
     "cluster_representatives": _NEAR + " SELECT cluster, CAST(rank AS INTEGER) AS rank, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY sim DESC, id) AS rank FROM near) WHERE rank <= 3",
     "cluster_sizes": _NEAR + " SELECT cluster, count(*) AS item_count FROM near GROUP BY 1 HAVING count(*) >= 2",
+    "suggest_spaces": _CLUSTERS + """, ended AS (SELECT user_id, found FROM turns QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY turn DESC) = 1),
+ each AS (SELECT user_id, unnest(found) AS c, unnest(ids) AS id, unnest(v) AS p FROM ended JOIN pts USING (user_id)),
+ sums AS (SELECT user_id, c, list(x ORDER BY i) AS s FROM (SELECT user_id, c, i, sum(x) AS x FROM (SELECT user_id, c, unnest(p) AS x, unnest(range(len(p))) AS i FROM each) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ near AS (SELECT user_id, c, id, row_number() OVER (PARTITION BY user_id, c ORDER BY round(list_dot_product(p, s) / sqrt(list_dot_product(s, s)), 9) DESC, id) AS r FROM each JOIN sums USING (user_id, c))
+ SELECT user_id, CAST(c - 1 AS INTEGER) AS cluster, arg_max('number' || id, length(CAST(id AS VARCHAR)) * 10 - r) FILTER (r <= 5) AS suggested_name, 'Memorias relacionadas' AS description, count(*) AS item_count,
+  string_agg('memory number' || id, '|' ORDER BY r) FILTER (r <= 3) AS examples FROM near GROUP BY 1, 2 HAVING count(*) >= 2""",
     "suggest_k": dom.prelude("items") + " SELECT user_id, count(*) AS n, CAST(least(floor(sqrt(count(*)) + 0.5), 8) AS INTEGER) AS k FROM items GROUP BY 1 HAVING count(*) >= 3",
 }

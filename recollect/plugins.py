@@ -55,6 +55,14 @@ def first_long_word(text: Column) -> Column:
     return F.coalesce(F.substring(F.filter(words, lambda w: F.length(w) == longest)[0], 1, 50), F.lit("Sin nombre"))
 
 
+@register("reply", "reply_of_longest_word")
+def reply_of_longest_word(sample: Column) -> Column:
+    """A reply as a naming model would give: a JSON object with the longest word of the sample, first on ties; where it has none, no JSON."""
+    words = F.filter(F.split(sample, r"\W+"), lambda w: F.length(w) >= 4)
+    longest = F.array_max(F.transform(words, lambda w: F.length(w)))
+    return F.coalesce(F.to_json(F.struct(F.substring(F.get(F.filter(words, lambda w: F.length(w) == longest), 0), 1, 50).alias("name"))), F.lit("no name"))
+
+
 @register("graph", "neighbours")
 def neighbours(text: Column) -> Column:
     """struct<nodes, links>: long words are topics, each linked with the next."""

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from recollect.functions.times import moment
-from recollect.operators import access, classify, cluster, graph, growth, imports, ingest, leads, limits, membership, search
+from recollect.operators import access, classify, graph, growth, imports, ingest, leads, limits, membership, search
 from recollect.schemas import schema
 from recollect.sources.personas import personas
 
@@ -174,17 +174,6 @@ def test_leads(spark):
     assert len(leads.sheet_rows(leads.normalized(spark.createDataFrame(rows, cols), moment(NOW))).columns) == 13
 
 
-def test_clusters(spark):
-    pts = spark.createDataFrame([(i, [1.0, i / 100] if i % 2 else [i / 100, 1.0], f"word{i} alphabet") for i in range(10)], "id long, vector array<double>, text string")
-    got = cluster.k_means(pts, 2).collect()
-    by = {r["id"]: r["cluster"] for r in got}
-    assert len(by) == 10 and len({by[i] for i in (1, 3, 5)}) == 1 and by[1] != by[2]
-    assert cluster.suggest(pts.where("id < 2")).count() == 0
-    out = cluster.suggest(pts).collect()
-    assert all(r["item_count"] >= 2 and len(r["examples"]) <= 3 and r["suggested_name"] for r in out)
-    assert cluster.k_means(pts.where("id < 2"), 5).count() == 2
-
-
 def test_revoke_and_grant(spark):
     c = spark.createDataFrame([(1, 7, False), (2, 8, False)], "id long, user_id long, revoked boolean")
     s = spark.createDataFrame([(5, 7), (6, 8)], "space_id long, user_id long")
