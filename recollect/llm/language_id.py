@@ -7,8 +7,9 @@ training documents is clustered by spherical k-means into several centroids. A t
 with the greatest cosine; if that cosine lies below what the centroid's own documents reach, the
 prediction is marked as rejected, while ``lang_pred`` still tells the nearest language.
 
-At most ``LANGUAGES`` languages are learned, those of most training documents; that and the bounded sample are parameters of the fit, and no
-more centroids than ``CENTROIDS * LANGUAGES`` come to the driver. A column with ever more different values adds nothing there.
+Every language is learned, from at least one text. The sample, at most ``SAMPLE_PER_LANGUAGE`` texts a language and about ``SAMPLE`` in all, is picked by a hash of
+the text, so ids may be null or repeated; equal texts count once there. Languages are clustered on the executors, one group each; only centroids,
+no more of them than the sample has texts, come to the driver.
 
 Null texts and texts without a letter are ``und`` with score 0. Without any training document every text is
 ``und``. Ties go to the centroid first in order (language, then cluster). Repeated rows are judged alike; an empty
@@ -28,8 +29,8 @@ from .common import crc_mod, steps, table
 
 #: Hashed n-gram dimensions.
 DIMS = 4096
-#: Training documents that are clustered: so many a language and so many in all, at most; and languages, at most.
-SAMPLE_PER_LANGUAGE, SAMPLE, LANGUAGES = 400, 6000, 500
+#: Training texts that are clustered: so many a language and so many in all, at most, but one of every language.
+SAMPLE_PER_LANGUAGE, SAMPLE = 400, 6000
 CENTROIDS, ROUNDS = 4, 12
 #: ASCII letters and all bytes of other characters stay; every other byte is a gap between words.
 LETTERS = bytes(b if chr(b).isalpha() or b >= 0x80 else 0x20 for b in range(256))
@@ -108,6 +109,47 @@ class Model:
         return langs, np.where(blank, 0.0, top), blank | (top < self.floors[best])
 
 
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Learn from the rows of ``docs`` with a language and a non-empty text; ids are not looked at."""
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where((F.length("text") > 0) & F.col("lang").isNotNull())
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    idf = inverse_frequencies(rows.select("text"))
+    languages = rows.agg(F.countDistinct("lang")).first()[0]
+    per = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, languages)))
+    # every task keeps its first ``per`` hashes a language before they are shuffled, so that no language is ranked whole
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = rows.select("lang", "h").distinct().withColumn("r", first).where(F.col("r") <= per).drop("r")
+    sample = rows.join(F.broadcast(picked) if languages <= SAMPLE else picked, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in steps(batches, rows=256):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in vectors(texts, idf)], pa.binary())], names=["lang", "v"])
+
+    def centres(part: pa.Table) -> pa.Table:
+        v = np.frombuffer(b"".join(sorted(part["v"].to_pylist())), np.float32).reshape(-1, DIMS)
+        c, cos = cluster(v, CENTROIDS)
+        own = [cos[cos.argmax(1) == j, j] for j in range(len(c))]
+        floors = [REJECT_SHARE * float(np.quantile(x, REJECT_QUANTILE)) if len(x) else 0.0 for x in own]
+        return pa.table({"lang": pa.array([part["lang"][0].as_py()] * len(c), pa.string()), "c": pa.array([x.astype(np.float32).tobytes() for x in c], pa.binary()), "floor": pa.array(floors, pa.float64()), "j": pa.array(range(len(c)), pa.int32())})
+
+    found = sample.mapInArrow(embed, "lang string, v binary").groupBy("lang").applyInArrow(centres, "lang string, c binary, floor double, j int").collect()
+    found.sort(key=lambda r: (r["lang"], r["j"]))
+    centroids = np.frombuffer(b"".join(bytes(r["c"]) for r in found), np.float32).reshape(-1, DIMS)
+    return Model([r["lang"] for r in found], centroids, np.array([r["floor"] for r in found]), idf)
+
+
+def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, cosine, rejected) of each text."""
+        if not self.langs:
+            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+        cos = vectors(texts, self.idf) @ self.centroids.T
+        best = cos.argmax(1)
+        top = np.clip(cos[np.arange(len(texts)), best], 0, 1).astype(np.float64)
+        blank = np.array([not any(map(str.isalpha, t)) for t in texts], bool)
+        langs = ["und" if e else self.langs[b] for b, e in zip(best, blank, strict=True)]
+        return langs, np.where(blank, 0.0, top), blank | (top < self.floors[best])
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the rows of ``docs`` with a language and a non-empty text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where((F.length("text") > 0) & F.col("lang").isNotNull())
@@ -143,10 +185,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected), one row per row."""
     kind = docs.schema[id_col].dataType.simpleString()
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most CENTROIDS a language, and no more than the sample has texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in steps(batches, rows=256):
-            langs, cos, rejected = model.predict(texts)
+            langs, cos, rejected = sent.value.predict(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(cos), pa.array(rejected)], names=[id_col, "lang_pred", "score", "rejected"])
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")

@@ -3,9 +3,9 @@
 Each text gives, in one pass, the counts of the base rules, a histogram of byte classes and a histogram of
 common words. Summed over all documents by the ``lang`` column the histograms are the references; a
 document is compared with every language's reference by Jensen-Shannon distance (base 2, 0 to 1), and the
-nearest language counts, so that a wrong label rejects nobody. Texts below the guards are not compared. A
-language is a reference if it has at least ``MIN_REFERENCE_SHARE`` of all labelled words, whatever their number; so there are
-at most ``1 / MIN_REFERENCE_SHARE`` references, and only those come to the driver.
+nearest language counts, so that a wrong label rejects nobody. Texts below the guards are not compared. Every
+language with a word is a reference, however rare: some 150 numbers each come to the driver, and texts are compared with them in blocks. A
+language all of whose texts are odd is its own reference and keeps them.
 
 Null and empty texts have no words and fail the base rules. Texts count whole, however long: words and windows as they are
 written, common words in either case. Rows are judged one by one: repeated rows and
@@ -38,8 +38,8 @@ CLASSES = 11
 MIN_WORDS, MIN_CHARS = 50, 200
 #: Rejected beyond these distances.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.45
-#: A language is a reference from this share of all labelled words on.
-MIN_REFERENCE_SHARE = 1e-4
+#: Pairs of a text and a reference that are compared at once.
+PAIRS = 16_000
 
 
 def byte_classes() -> np.ndarray:
@@ -138,10 +138,8 @@ def references(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     parts = measured.where(F.col("lang").isNotNull()).select("lang", "classes", "words").mapInArrow(sums, "lang string, hist array<long>")
     bins = parts.select("lang", F.posexplode("hist").alias("bin", "n")).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    words = bins.where(F.col("bin") >= CLASSES).groupBy("lang").agg(F.sum("n").alias("words"))
-    total = parts.select(F.explode(F.slice("hist", CLASSES + 1, len(WORDS) + 1)).alias("n")).agg(F.sum("n")).first()[0] or 0
-    large = words.where((F.col("words") > 0) & (F.col("words") >= MIN_REFERENCE_SHARE * total)).select("lang")
-    rows = bins.join(large, "lang", "left_semi").groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"]).alias("h")).orderBy("lang").collect()
+    whole = bins.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"]).alias("h"))
+    rows = whole.where(F.exists(F.slice("h", CLASSES + 1, len(WORDS) + 1), lambda n: n > 0)).orderBy("lang").collect()
     hist = np.array([r["h"] for r in rows], np.float64).reshape(len(rows), CLASSES + len(WORDS) + 1)
     return hist[:, :CLASSES], hist[:, CLASSES:]
 
@@ -157,6 +155,16 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(p[:, :, 0]), np.nan, out)
 
 
+def nearest(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The least distance of each row of p to a row of q, in blocks of either; nan where p is empty or q has no row."""
+    out, many = np.full(len(p), np.nan), max(1, min(len(q), PAIRS // 8))
+    for k in range(0, len(q), many):
+        rows = max(1, PAIRS // many)
+        for i in range(0, len(p), rows):
+            out[i : i + rows] = np.fmin(out[i : i + rows], js_distance(p[i : i + rows], q[k : k + many]).min(1))
+    return out
+
+
 def assess(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, counts, class_distance, word_distance, kept_by_divergence); distances are null below the guards."""
     measured = scratch.keep(measure(df, id_col, text_col, lang_col), "measured")
@@ -171,8 +179,7 @@ def assess(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: st
             n_words = b.column("n_words").to_numpy()
             far = []
             for k, ref, most in (("classes", ref_classes, wide["classes"].sum(1) >= MIN_CHARS), ("words", ref_words, n_words >= MIN_WORDS)):
-                d = np.concatenate([js_distance(wide[k][i : i + 2000], ref).min(1) for i in range(0, b.num_rows, 2000)]) if len(ref) else np.full(b.num_rows, np.nan)
-                far.append(np.where(most, d, np.nan))
+                far.append(np.where(most, nearest(wide[k], ref), np.nan))
             bad = (far[0] > MAX_CLASS_DISTANCE) | (far[1] > MAX_WORD_DISTANCE)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in (id_col, *COUNTS)], *[pa.array(x, mask=np.isnan(x)) for x in far], pa.array(~bad)], names=[id_col, *COUNTS, "class_distance", "word_distance", "kept_by_divergence"])
 

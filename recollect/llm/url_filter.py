@@ -5,7 +5,8 @@ other as canonical are one equivalence class, found as a connected component of
 one member reaches the aliases that have no rule of their own. An explicit allow goes first: a url's own
 rule always decides for it, and a class in which any url is explicitly allowed passes no block on.
 
-Every canonical link and every redirect of a page is an edge. Nodes of the graph are urls without scheme and fragment. Null
+Every canonical link and every redirect of a page is an edge. Nodes of the graph are urls without scheme and fragment, an
+empty path being ``/`` and dot segments gone (the columns host and path are as written). Links are resolved against the page's ``<base href>`` or its url. Null
 urls and urls without ``://`` have empty host and path, fit no rule and are allowed. The longest fitting rule decides; of
 fitting rules of one length an allow goes first, then the text in order, however many rules there are. Repeated rows are judged alike.
 Html is searched whole, a tag ends at the next angle bracket. Empty tables give empty results; other columns are not read.
@@ -25,6 +26,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Up to so many rules are literals of the plan; more are joined by host.
 LITERAL_RULES = 256
 CANONICAL = r"""(?is)<link\b(?=[^<>]*\brel\s*=\s*["']?canonical\b)[^<>]*?\bhref\s*=\s*["']?([^"'\s<>]+)"""
+BASE = r"""(?is)<base\b[^<>]*?\bhref\s*=\s*["']?([^"'\s<>]+)"""
 REFRESH = r"""(?is)<meta\b(?=[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^<>]*?\bcontent\s*=\s*["']?[^"'<>]*?\burl\s*=\s*["']?([^"'\s<>]+)"""
 
 
@@ -55,25 +57,53 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def node_of(url: Column) -> Column:
-    """Host, path and query; null where there is no host."""
-    key = F.concat(host_of(url), path_of(url), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1))
-    return F.when(host_of(url) != "", key)
+    """Host, path (``/`` if empty, without dot segments) and query; null where there is no host."""
+    return let(url, lambda u: F.when(host_of(u) != "", F.concat(host_of(u), without_dots(F.concat(F.when(path_of(u) == "", F.lit("/")).otherwise(F.lit("")), path_of(u))), query_of(u))))
+
+
+def query_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1), F.lit(""))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments: each ``..`` takes the segment before it away, a last one of either leaves a slash."""
+
+    def whole(parts: Column) -> Column:
+        kept = F.aggregate(
+            parts, F.array().cast("array<string>"),
+            lambda out, p: F.when(p == ".", out).when(p == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(p))),
+        )
+        end = F.get(parts, F.size(parts) - 1).isin(".", "..")
+        return let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(end & (F.size(k) > 0), F.lit("/")).otherwise(F.lit(""))))
+
+    return let(path, lambda p: F.when(p.startswith("/") & F.contains(p, F.lit("/.")), let(F.slice(F.split(p, "/", -1), 2, 1 << 30), whole)).otherwise(p))
 
 
 def resolved(base: Column, href: Column) -> Column:
-    """A link target as an absolute url; null for empty and fragment-only links and other schemes."""
-    href = F.regexp_replace(F.trim(href), "&amp;", "&")
-    root = F.concat(F.lit("http://"), host_of(base))
-    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
-    return (
-        F.when((href == "") | href.startswith("#"), F.lit(None))
-        .when(href.rlike(r"(?i)^https?://"), href)
-        .when(href.startswith("//"), F.concat(F.lit("http:"), href))
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
-        .when(href.startswith("/"), F.concat(root, href))
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), href))
-    )
+    """A link target as an absolute url by RFC 3986, 5.2: relative to the base's folder or host, a query alone on the base's path.
+    Null for empty and fragment-only links, other schemes, and relative links where the base has no host. Dot segments go in ``node_of``."""
+    href = F.regexp_replace(F.regexp_replace(F.trim(href), "&amp;", "&"), "(?s)#.*$", "")
+
+    def target(b: Column, h: Column) -> Column:
+        root = F.when(host_of(b) != "", F.concat(F.lit("http://"), host_of(b)))
+        own = F.when(path_of(b) == "", F.lit("/")).otherwise(path_of(b))
+        return (
+            F.when(h == "", F.lit(None))
+            .when(h.rlike(r"(?i)^https?://"), h)
+            .when(h.startswith("//"), F.concat(F.lit("http:"), h))
+            .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when(h.startswith("/"), F.concat(root, h))
+            .when(h.startswith("?"), F.concat(root, own, h))
+            .otherwise(F.concat(root, F.regexp_replace(own, r"[^/]*$", ""), h))
+        )
+
+    return let(F.struct(base.alias("b"), href.alias("h")), lambda x: target(x["b"], x["h"]))
 
 
 def with_rule(df: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -103,8 +133,8 @@ def judge(pages: DataFrame, rules: list[Rule], scratch: Scratch, id_col: str = "
     links = F.concat(*[F.regexp_extract_all(html, F.lit(x), 1) for x in (CANONICAL, REFRESH)])
     edges = (
         pages.where(html.rlike(r"(?i)canonical|http-equiv"))
-        .select(url.alias("url"), F.explode(links).alias("href"))
-        .select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("url"), F.col("href"))).alias("b"))
+        .select(url.alias("url"), F.coalesce(resolved(url, F.regexp_extract(html, BASE, 1)), url).alias("base"), F.explode(links).alias("href"))
+        .select(node_of(F.col("url")).alias("a"), node_of(resolved(F.col("base"), F.col("href"))).alias("b"))
     )
     parts = connected_components(edges, scratch, "aliases")
     nodes = with_rule(parts.select("node", "component", F.regexp_extract("node", r"(?s)^([^/?]*)", 1).alias("host"), F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1).alias("path")), rules)

@@ -22,6 +22,46 @@ def docs(spark, texts):
     return spark.createDataFrame([(i, t, None, None, None, "x", None, "y") for i, t in enumerate(texts)], DOC)
 
 
+LINKS = [
+    "", "#top", "?b=2", "?", "x", "./x", "../x", "../../x", "../../../x", "x/../y", "x/./y/", ".", "..", "./", "../", "/", "/a/../b", "/a/./b/..", "//other.net", "//other.net/a/../b?c", "http://abs.net", "HTTP://ABS.net/a/./b#f",
+    "https://abs.net/?q=http://z/../w", "x?y=../z", "x#../z", "/.well-known/x", "x&amp;y", "mailto:a@b.c", "javascript:void(0)",
+]
+
+
+def test_links_as_the_standard_library_resolves_them(spark):
+    """Every form of link against pages with and without path, query and base; nodes of both are equal."""
+    from urllib.parse import urljoin, urlsplit
+
+    bases = ["http://h.net", "http://h.net/", "http://h.net/p/q?b=1#f", "https://H.net/p/q/", "http://h.net/a/../p/./q"]
+    rows = [(b, x) for b in bases for x in LINKS]
+    df = spark.createDataFrame(rows, "base string, href string")
+    got = df.select("base", "href", url_filter.node_of(url_filter.resolved(F.col("base"), F.col("href"))).alias("node")).collect()
+    for r in got:
+        href = r["href"].replace("&amp;", "&").split("#")[0]
+        if not href or href.startswith(("mailto", "javascript")):
+            assert r["node"] is None
+            continue
+        if href == "?":  # an empty query counts as one
+            assert r["node"].endswith("?")
+            continue
+        want = urlsplit(urljoin(r["base"], href))
+        path = urlsplit(urljoin("http://z", want.path)).path if want.path else "/"  # absolute links keep their dots there
+        assert r["node"] == want.netloc.lower() + path + (f"?{want.query}" if want.query else ""), (r, want)
+    assert df.limit(1).select(url_filter.resolved(F.lit("no host"), F.lit("x")).alias("x")).first()["x"] is None
+
+
+def test_relative_links_pass_blocks_on(spark):
+    """Relative, absolute, query and base forms of one target reach the same class; host and path stay as written."""
+    link = '<link rel="canonical" href="{}">'
+    rows = [
+        (1, "http://x.com/p/q", link.format("../de/a")), (2, "http://x.com/p/r", link.format("/de/a")), (3, "http://x.com/de/a", ""), (4, "http://w.net/p/q?b=1", link.format("?b=2")), (5, "http://w.net/p/q?b=2", link.format("http://x.com/de/a")),
+        (6, "http://v.net", link.format("http://x.com/z/../de/a")), (7, "http://v.net/", ""), (8, "http://u.net/s/t", '<base href="http://x.com/de/">' + link.format("a")), (9, "http://t.net/s/t", link.format("a")), (10, None, link.format("a")),
+    ]
+    got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), url_filter.RULES, Scratch(spark, "t")).collect()}
+    assert {k for k, r in got.items() if r["verdict"] == "block"} == {1, 2, 3, 4, 5, 6, 7, 8}
+    assert got[6]["path"] == "" and got[7]["path"] == "/"
+
+
 def test_word_hashes():
     rng = random.Random(1)
     seen = {}
@@ -237,11 +277,22 @@ def test_quality_verdict_brute(spark, tmp_path):
 
 
 def test_quality_many_languages(spark):
-    """Thousands of languages: only those with a share of the words are references."""
-    df = spark.range(12_000).selectExpr("id AS doc_id", "repeat('the cat of the house ', 40) AS text", "concat('x', id) AS lang").unionAll(spark.range(3000).selectExpr("id", "repeat('the dog of the house ', 40)", "'en'"))
+    """Every language is a reference: three texts of a rare one are kept beside thousands of texts of another, as one of each of many languages is."""
+    df = spark.range(600).selectExpr("id AS doc_id", "repeat('the cat of the house ', 40) AS text", "concat('x', id) AS lang").unionAll(spark.range(3000).selectExpr("id", "repeat('the dog of the house ', 40)", "'en'"))
+    rare = " ".join(["это", "чистый", "русский", "текст"] * 18)
+    df = df.unionAll(spark.createDataFrame([(9000 + i, f"{rare} {i}", "ru") for i in range(3)], "doc_id long, text string, lang string"))
     measured = quality_rules.measure(df, "doc_id", "text", "lang")
-    assert len(quality_rules.references(measured)[0]) == 1
-    assert quality_rules.assess(df, Scratch(spark, "t")).where("kept_by_divergence").count() == 15_000
+    assert len(quality_rules.references(measured)[0]) == 602
+    assert quality_rules.assess(df, Scratch(spark, "t")).where("kept_by_divergence").count() == 3_603
+
+
+def test_nearest_in_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    p, q = rng.integers(0, 9, (50, 7)).astype(float), rng.integers(1, 9, (40, 7)).astype(float)
+    p[3] = 0
+    want = quality_rules.js_distance(p, q).min(1)
+    monkeypatch.setattr(quality_rules, "PAIRS", 64)
+    assert np.allclose(quality_rules.nearest(p, q), want, equal_nan=True) and np.isnan(quality_rules.nearest(p, q[:0])).all()
 
 
 def test_js_distance():

@@ -215,14 +215,17 @@ def test_language_odd(spark, tmp_path):
     assert language_id.op5_language_id(spark, tables(spark, tmp_path / "none", [], [])).count() == 0
 
 
-def test_language_many(spark, monkeypatch):
-    """Ten thousand values of lang: the most frequent are learned, and the driver gets no more centroids than that."""
-    monkeypatch.setattr(language_id, "LANGUAGES", 50)
-    df = spark.range(10_000).selectExpr("id AS doc_id", "concat('w', id, ' text ', id * 7) AS text", "concat('x', id) AS lang")
-    df = df.unionAll(spark.range(200).selectExpr("id + 20000", "concat('the house of the dog number ', id)", "'en'")).unionAll(spark.range(200).selectExpr("id + 30000", "concat('der hund und die katze nummer ', id)", "'de'"))
+def test_language_many(spark):
+    """Two thousand languages of a text or two are all learned, beside large ones, one whose ids are all null and one whose rows share an id."""
+    rare = spark.range(2_000).selectExpr("id AS doc_id", "concat('w', id, ' text ', id * 7) AS text", "concat('x', id) AS lang")
+    own = lambda word, lang, key: spark.range(300).selectExpr(f"{key} AS doc_id", f"concat('{word} ', id)", f"'{lang}'")
+    parts = [own("the house of the dog number", "en", "id + 20000"), own("der hund und die katze nummer", "de", "CAST(NULL AS BIGINT)"), own("el perro y la casa numero", "es", "1234L"), own("le chien et la maison numero", "fr", "999L")]
+    df = rare
+    for x in parts:
+        df = df.unionAll(x)
     model = language_id.fit(df)
-    assert len(set(model.langs)) == 50 and {"en", "de"} <= set(model.langs) and len(model.centroids) <= 50 * language_id.CENTROIDS
-    assert model.predict(["the house of the dog", "der hund und die katze"])[0] == ["en", "de"]
+    assert len(set(model.langs)) == 2_004 and len(model.centroids) <= language_id.SAMPLE
+    assert model.predict(["the house of the dog", "der hund und die katze", "el perro y la casa", "le chien et la maison"])[0] == ["en", "de", "es", "fr"]
 
 
 def test_language_nearest_brute(spark):
