@@ -51,11 +51,11 @@ def cached_reads(reads: DataFrame, key: str, ts: str, id_col: str, seconds: int
 
 
 def done_events(events: DataFrame) -> DataFrame:
-    """(session, type, tool_calls): the closing event of each session both of whose answers have ended, with the tools it called in order.
+    """(session, type, tool_calls): the closing event of each session both of whose answers have ended, with the tools it called in order. An ``error`` ends an answer too.
 
     events: (session, stream a or b, seq, type, name). A plain aggregation, so it is the same on a stream, in update or complete mode.
     """
-    ends = F.bool_or(F.expr("stream = 'a' AND type = 'plain_done'")) & F.bool_or(F.expr("stream = 'b' AND type = 'memory_done'"))
+    ends = F.bool_or(F.expr("stream = 'a' AND type IN ('plain_done', 'error')")) & F.bool_or(F.expr("stream = 'b' AND type IN ('memory_done', 'error')"))
     calls = F.array_sort(F.collect_list(F.when(F.col("type") == "memory_tool_start", F.struct("seq", "name"))))
     per = events.groupBy("session").agg(ends.alias("done"), F.transform(calls, lambda x: x["name"]).alias("tool_calls"))
     return per.where("done").select("session", F.lit("done").alias("type"), "tool_calls")

@@ -28,12 +28,20 @@ def ingest_stream(queue: DataFrame, files: DataFrame, index_path: str, checkpoin
     replaces what it wrote, and its files' older rows are hidden by the readers' newest-batch rule (``current_index``)."""
 
     def put(batch: DataFrame, number: int) -> None:
-        empty = batch.sparkSession.createDataFrame([], "memory_id string, file_id string, user_id string, source string, text string")
-        ingest(batch, files, empty).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
+        _put_index(ingest(batch, files, batch.sparkSession.createDataFrame([], INDEX)), batch, f"{index_path}/batch={number}")
 
     return queue.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+INDEX = "memory_id string, file_id string, user_id string, source string, text string"
+
+
+def _put_index(items: DataFrame, jobs: DataFrame, path: str) -> None:
+    """Write a batch's items, and for each file of its jobs a row without item, which hides older rows of files that have none now."""
+    marks = jobs.select("file_id").distinct().select(*[F.col(c) if c == "file_id" else F.lit(None).cast("string").alias(c) for c in ("memory_id", "file_id", "user_id", "source", "text")])
+    items.unionByName(marks).write.mode("overwrite").parquet(path)
+
+
 STATE = "file_id string, status string, attempts int, error string, batch int, step int"
 
 
@@ -47,12 +55,11 @@ def attempt_stream(queue: DataFrame, files: DataFrame, index_path: str, state_pa
     def put(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         earlier = latest(session.read.schema(STATE).parquet(state_path).where(F.col("batch") < number))
-        empty = session.createDataFrame([], "memory_id string, file_id string, user_id string, source string, text string")
-        index, states = attempt(batch, files, empty, earlier)
-        started = batch.select("file_id").distinct().join(files, "file_id", "left_semi")
-        started = started.select("file_id", F.lit("processing").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"))
+        index, states = attempt(batch, files, session.createDataFrame([], INDEX), earlier)
+        known = batch.select("file_id").distinct().join(files, "file_id", "left_semi")
+        started = known.select("file_id", F.lit("processing").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"))
         started.write.mode("overwrite").parquet(f"{state_path}/batch={number}/step=0")
-        index.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{index_path}/batch={number}")
+        _put_index(index, known, f"{index_path}/batch={number}")
         states.write.mode("overwrite").parquet(f"{state_path}/batch={number}/step=1")
 
     return queue.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -69,10 +76,10 @@ def current_states(spark: SparkSession, state_path: str) -> DataFrame:
 
 
 def current_index(spark: SparkSession, index_path: str) -> DataFrame:
-    """The items of each file's latest batch."""
-    rows = spark.read.parquet(index_path)
+    """The items of each file's latest batch, none where that batch found none."""
+    rows = spark.read.schema(f"{INDEX}, batch int").parquet(index_path)
     latest = rows.groupBy("file_id").agg(F.max("batch").alias("batch"))
-    return rows.join(latest, ["file_id", "batch"]).drop("batch")
+    return rows.where("memory_id IS NOT NULL").join(latest, ["file_id", "batch"]).drop("batch")
 
 
 def growth_view(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:

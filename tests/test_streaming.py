@@ -3,8 +3,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from recollect.operators import limits
+from recollect.operators.jobs import attempt, backfill_job
 from recollect.schemas import schema
-from recollect.streaming import jobs
+from recollect.sources import readers
+from recollect.streaming import commits, jobs
 
 
 def run_to_memory(df, name, mode="append", **options):
@@ -25,6 +27,90 @@ def test_ingest_stream(spark, tmp_path):
     assert now.count() == 3 and now.select("memory_id").distinct().count() == 3
 
 
+def test_index_of_files_that_change(spark, tmp_path):
+    """Both streams give what the batch form gives for files that become empty, broken and whole again."""
+    queue, kind = f"{tmp_path}/queue", "file_id string, text string, error string"
+    none = spark.createDataFrame([], jobs.INDEX)
+    index, states = none, spark.createDataFrame([], "file_id string, status string, attempts int")
+    texts = [("one", "two"), ("one", None), ("", "two"), ("three", ""), (None, "four")]
+    for n, (f1, f2) in enumerate(texts):
+        rows = [(f, t, None if t is not None else "broken") for f, t in (("f1", f1), ("f2", f2))]
+        files = spark.createDataFrame(rows, kind)
+        new = spark.createDataFrame([(f, "u", "manual") for f in (("f1", "f2") if n != 3 else ("f1",))], schema("ingest_job"))
+        jobs.enqueue(new, queue)
+        stream = lambda: jobs.job_queue(spark, queue, "ingest_job")
+        jobs.attempt_stream(stream(), files, f"{tmp_path}/i1", f"{tmp_path}/s1", f"{tmp_path}/c1").awaitTermination()
+        jobs.ingest_stream(stream(), files.where("error IS NULL").select("file_id", "text"), f"{tmp_path}/i2", f"{tmp_path}/c2").awaitTermination()
+        index, _ = attempt(new, files, index, states)
+        index = spark.createDataFrame(index.collect(), index.schema)
+        want = sorted(map(tuple, index.select("file_id", "text").collect()))
+        for path in ("i1", "i2"):
+            assert sorted(map(tuple, jobs.current_index(spark, f"{tmp_path}/{path}").select("file_id", "text").collect())) == want, (n, path)
+    assert want == [("f2", "four")]
+
+
+def test_backfill_stream_is_all_or_nothing(spark, tmp_path):
+    """A batch that dies after any of its writes shows nothing; started anew it gives what the batch form gives."""
+    items = spark.createDataFrame([(i, 1, [1.0, i / 10]) for i in range(8)], "id long, user_id long, vector array<double>")
+    spaces = spark.createDataFrame([(5, 1, [1.0, 0.0], 2, True), (6, 1, [0.0, 1.0], 1, True)], "space_id long, user_id long, description_vector array<double>, version int, reclassifying boolean")
+    memories = spark.createDataFrame([(i, [], {}, i == 0) for i in range(8)], "memory_id long, space_ids array<string>, space_versions map<string,int>, manual_override boolean")
+    events = spark.createDataFrame([(100 + i, i, None) for i in range(8)], "id long, memory_id long, space_id string")
+    plain = lambda df: sorted(map(repr, df.collect()))
+    rows = [(5, 1, None)], [(6, 1, None)]
+    ddl = "space_id long, attempts int, error string"
+    want, now = [], (memories, events, spaces)
+    for r in rows:
+        now = backfill_job(*now, items, spark.createDataFrame(r, ddl), hi=0.95, lo=0.9)
+        now = tuple(spark.createDataFrame(x.collect(), x.schema) for x in now)
+        want.append([plain(x) for x in now])
+    tables = {"memories": (memories, "memory_id"), "events": (events, "id"), "spaces": (spaces, "space_id")}
+    seen = [[plain(x) for x in (memories, events, spaces)], *want]
+    assert seen[0] != seen[1] != seen[2]
+    for dies in ("memories", "events", "spaces", "commit"):
+        root = f"{tmp_path}/{dies}"
+        book, calls = commits.Commits(spark, f"{root}/t", tables), []
+
+        def fail(name, dies=dies, calls=calls):
+            calls.append(name)
+            if name == dies:
+                raise OSError("killed")
+
+        show = lambda book=book: [plain(x) for x in (book.read()[k].select(*tables[k][0].columns) for k in ("memories", "events", "spaces"))]
+        for n, r in enumerate(rows):
+            spark.createDataFrame(r, ddl).write.mode("append").json(f"{root}/queue")
+            start = lambda **k: commits.backfill_stream(spark.readStream.schema(ddl).json(f"{root}/queue"), book, items, f"{root}/check", hi=0.95, lo=0.9, **k)
+            try:
+                start(after_write=fail).awaitTermination()
+            except Exception:  # the query died where it was told to
+                pass
+            assert dies in calls and show() == seen[n + (dies == "commit")]
+            start().awaitTermination()
+            assert show() == seen[n + 1]
+
+
+def test_event_files(spark, tmp_path):
+    """An epoch that is replayed, whole or after a task died in it, writes no line twice."""
+    spark.createDataFrame([(i, f"n{i}") for i in range(20)], "id long, name string").repartition(3).write.parquet(f"{tmp_path}/in")
+    lines = readers.as_event_lines(spark.readStream.schema("id long, name string").parquet(f"{tmp_path}/in"))
+    commits.write_events(lines, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    read = lambda: sorted(x for p in (tmp_path / "out").glob("*.txt") for x in p.read_text().split("\n\n") if x)
+    once = read()
+    assert len(once) == 20 and all(x.startswith("data: {") for x in once)
+    for mark in (tmp_path / "check" / "commits").iterdir():
+        mark.unlink()
+    commits.write_events(lines, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    assert read() == once
+    w = commits.EventFiles(f"{tmp_path}/own")
+    assert w.open(0, 7)
+    w.process({"value": "half"})
+    w.close(OSError("died"))
+    assert list((tmp_path / "own").iterdir()) == []
+    assert w.open(0, 7)
+    w.process({"value": "data: 1\n\n"})
+    w.close(None)
+    assert not w.open(0, 7) and [p.read_text() for p in (tmp_path / "own").iterdir()] == ["data: 1\n\n"]
+
+
 def test_attempt_stream(spark, tmp_path):
     """A broken file is tried three times and fails; the others are indexed in the same batches."""
     files = spark.createDataFrame([("f1", "hello", None), ("f2", None, "broken")], "file_id string, text string, error string")
