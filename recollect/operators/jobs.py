@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +15,17 @@ from .membership import apply_labels, stamp_growth
 ATTEMPTS = 3
 
 
-def backfill_job(memories: DataFrame, events: DataFrame, spaces: DataFrame, items: DataFrame, jobs: DataFrame, k: int = BACKFILL, hi: float = HI, lo: float = LO, decide: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def backfill_job(memories: DataFrame, events: DataFrame, spaces: DataFrame, items: DataFrame, jobs: DataFrame, k: int = BACKFILL, hi: float = HI, lo: float = LO, decide: Column | None = None, ask: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(memories, growth events, spaces) after the backfill jobs (space_id, attempts, error; null: it can run).
 
     A label's nearest items get it unless they were edited by hand, their unlabelled events get the first new label, and the
     label is no longer being reclassified. After an error it is so only once its attempts are used up, and nothing else changes.
+    Candidates are kept by ``decide``, or by ``ask``, which gets their pairs and gives those to keep (as ``ask.confirmed_pairs``).
     """
     decide = stub_decision(hi, lo) if decide is None else decide
     runs = spaces.join(jobs.where("error IS NULL"), "space_id", "left_semi")
-    found = backfill(items, runs, k, hi, lo).where((F.col("band") == "auto") | decide)
+    near = backfill(items, runs, k, hi, lo)
+    found = near.where((F.col("band") == "auto") | decide) if ask is None else near.where("band = 'auto'").unionByName(ask(near.where("band = 'candidate'")))
     labels = F.transform(F.array_sort(F.collect_set("space_id")), lambda x: x.cast("string"))
     new = found.groupBy(F.col("id").alias("memory_id")).agg(labels.alias("space_ids")).join(memories.where("NOT manual_override"), "memory_id", "left_semi")
     versions = spaces.select(F.col("space_id").cast("string").alias("space_id"), "version")
