@@ -10,6 +10,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,8 @@ class Scratch:
     """
 
     opened: list["Scratch"] = []
+    #: Those opened while ``collecting`` in this context.
+    _mine: ContextVar[list["Scratch"] | None] = ContextVar("scratches", default=None)
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -86,6 +89,8 @@ class Scratch:
         self.spark = spark
         self.root, self.name = f"{base}/{name}-{uuid.uuid4().hex}", name
         Scratch.opened.append(self)
+        if (mine := Scratch._mine.get()) is not None:
+            mine.append(self)
 
     def keep(self, df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
         """Write a table, in folders by the columns ``by``, and read it back; that cuts the lineage at a place that survives executors."""
@@ -112,6 +117,16 @@ class Scratch:
         if self in Scratch.opened:
             Scratch.opened.remove(self)
 
+    @classmethod
+    @contextlib.contextmanager
+    def collecting(cls) -> Iterator[list["Scratch"]]:
+        """A list of what operators open inside, and in no other thread or task, to be closed by the caller."""
+        token = cls._mine.set([])
+        try:
+            yield cls._mine.get()
+        finally:
+            cls._mine.reset(token)
+
     @classmethod
     def close_all(cls, prefix: str) -> None:
         for s in [s for s in cls.opened if s.name.startswith(prefix)]:
