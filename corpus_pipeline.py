@@ -55,8 +55,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "whole-pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
-        Scratch.close_all("pipeline-")  # the stage's result is written
+        with Scratch.collecting() as own:
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        for s in own:  # the stage's result is written; other runs' tables are theirs
+            s.close()
         if i:
             scratch.drop(STAGES[i - 1][0])
     return docs
