@@ -138,58 +138,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model([r["lang"] for r in found], centroids, np.array([r["floor"] for r in found]), idf)
 
 
-def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(language, cosine, rejected) of each text."""
-        if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        cos = vectors(texts, self.idf) @ self.centroids.T
-        best = cos.argmax(1)
-        top = np.clip(cos[np.arange(len(texts)), best], 0, 1).astype(np.float64)
-        blank = np.array([not any(map(str.isalpha, t)) for t in texts], bool)
-        langs = ["und" if e else self.langs[b] for b, e in zip(best, blank, strict=True)]
-        return langs, np.where(blank, 0.0, top), blank | (top < self.floors[best])
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from the rows of ``docs`` with a language and a non-empty text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where((F.length("text") > 0) & F.col("lang").isNotNull())
-    idf = inverse_frequencies(rows.select("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    per = max(1, min(SAMPLE_PER_LANGUAGE, SAMPLE // max(1, len(sizes))))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    # a share of each language by hash leaves some four times the sample, so that no language is ranked whole
-    share = docs.sparkSession.createDataFrame([(x, min(1.0, 4.0 * per / n)) for x, n in sizes.items()], "lang string, share double")
-    some = rows.select("id", "lang").where("id IS NOT NULL").join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    picked = some.select("id", "lang").distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per).drop("r")  # SAMPLE rows at most
-    sample = rows.join(F.broadcast(picked), ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
-
-    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in steps(batches, rows=256):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in vectors(texts, idf)], pa.binary())], names=["lang", "v"])
-
-    by: dict[str, list] = {}
-    for r in sample.mapInArrow(embed, "lang string, v binary").collect():
-        by.setdefault(r["lang"], []).append(bytes(r["v"]))
-    langs, centroids, floors = [], [], []
-    for lang in sorted(by):
-        v = np.frombuffer(b"".join(sorted(by[lang])), np.float32).reshape(-1, DIMS)
-        c, cos = cluster(v, CENTROIDS)
-        for j in range(len(c)):
-            own = cos[cos.argmax(1) == j, j]
-            langs.append(lang)
-            centroids.append(c[j])
-            floors.append(REJECT_SHARE * np.quantile(own, REJECT_QUANTILE) if len(own) else 0.0)
-    return Model(langs, np.array(centroids, np.float32).reshape(-1, DIMS), np.array(floors), idf)
-
-
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected), one row per row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most CENTROIDS a language, and no more than the sample has texts
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.centroids, model.floors, model.idf))  # at most CENTROIDS a language, and no more than the sample has texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(*sent.value)
         for batch, texts in steps(batches, rows=256):
-            langs, cos, rejected = sent.value.predict(texts)
+            langs, cos, rejected = own.predict(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(cos), pa.array(rejected)], names=[id_col, "lang_pred", "score", "rejected"])
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
