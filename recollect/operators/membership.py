@@ -99,7 +99,7 @@ def space_items_page(memories: DataFrame, space_id: str, user_id, cursor=None, l
     """An owner's items of a label, newest first, after the item ``cursor``."""
     rows = memories.where((F.col("user_id") == F.lit(user_id)) & F.array_contains("space_ids", space_id))
     if cursor is not None:
-        at = rows.where(F.col("memory_id") == F.lit(cursor)).select(F.col("created_at").alias("_t"), F.col("memory_id").alias("_m"))
+        at = rows.where(F.col("memory_id") == F.lit(cursor)).agg(F.min(F.struct("created_at", "memory_id")).alias("_c")).select(F.col("_c.created_at").alias("_t"), F.col("_c.memory_id").alias("_m"))
         rows = rows.crossJoin(F.broadcast(at)).where((F.col("created_at") < F.col("_t")) | ((F.col("created_at") == F.col("_t")) & (F.col("memory_id") > F.col("_m")))).drop("_t", "_m")  # one row
     return rows.orderBy(F.desc("created_at"), "memory_id").limit(limit)
 

@@ -47,14 +47,12 @@ def _cascade(s, d, part):
     return m.cascade_delete(_doomed(s, d), dom.memory_index(s, d), dom.growth_events(s, d))[part]
 
 
-def _spaces(s):
-    rows = [("en", "English", "texts in English", 1, False), ("de", "German", "texts in German", 4, False), ("fr", "French", "texts in French", 2, True)]
-    return s.createDataFrame(rows, "space_id string, name string, description string, version int, reclassifying boolean")
-
-
 def _bumped(s, d):
-    edits = s.createDataFrame([("en", "English prose", None), ("de", "texts in German", "Deutsch"), ("fr", None, None)], "space_id string, description string, name string")
-    return m.bump_versions(_spaces(s), edits)
+    """Customers as labels, all of them edited: descriptions stay, are given again or change, every second name changes."""
+    c, n = load(s, d, "customer"), F.col("c_custkey")
+    spaces = c.select(n.cast("string").alias("space_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("description"), (F.col("c_nationkey") % 4 + 1).alias("version"), (F.col("c_acctbal") < 0).alias("reclassifying"))
+    described = F.when(n % 3 == 1, F.col("c_mktsegment")).when(n % 3 == 2, F.concat("c_mktsegment", F.lit(" texts")))
+    return m.bump_versions(spaces, c.select(n.cast("string").alias("space_id"), described.alias("description"), F.when(n % 2 == 0, F.upper("c_name")).alias("name")))
 
 
 def _insert_ignore(s, d):
@@ -120,7 +118,8 @@ ORACLE_SQL = {
     "cascade_delete_growth": dom.prelude("memory_index", "files", "growth_event") + ", x AS (SELECT id AS file_id, id % 50 AS user_id FROM files WHERE id % 4 = 0), g AS (SELECT memory_id FROM memory_index WHERE (file_id, user_id) IN (SELECT file_id, user_id FROM x)) SELECT id, memory_id AS memory_id FROM growth_event WHERE memory_id NOT IN (SELECT memory_id FROM g)",
     "insert_ignore": "SELECT DISTINCT doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT -doc_id FROM documents WHERE doc_id % 3 = 0) WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id >= 0)",
     "upsert": "WITH b AS (SELECT n_nationkey, n_name FROM nation), d AS (SELECT n_nationkey + 3 AS k, lower(n_name) AS m FROM nation WHERE n_nationkey >= 20) SELECT CAST(coalesce(k, n_nationkey) AS INTEGER) AS n_nationkey, coalesce(m, n_name) AS n_name FROM b FULL JOIN d ON n_nationkey = k",
-    "bump_versions": "SELECT * FROM (VALUES ('en', 'English', 'English prose', 2, true), ('de', 'Deutsch', 'texts in German', 4, false), ('fr', 'French', 'texts in French', 2, true)) t(space_id, name, description, version, reclassifying)",
+    "bump_versions": """SELECT CAST(c_custkey AS VARCHAR) AS space_id, CASE WHEN c_custkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS name, c_mktsegment || CASE WHEN c_custkey % 3 = 2 THEN ' texts' ELSE '' END AS description,
+  CAST(c_nationkey % 4 + 1 + CASE WHEN c_custkey % 3 = 2 THEN 1 ELSE 0 END AS INTEGER) AS version, c_acctbal < 0 OR c_custkey % 3 = 2 AS reclassifying FROM customer""",
     "toggle_membership": _MI + " SELECT memory_id, array_to_string(CASE WHEN list_contains(space_ids, 'long') THEN list_filter(space_ids, lambda x: x <> 'long') ELSE list_append(space_ids, 'long') END, ',') AS space_ids FROM memory_index",
     "clamp_sets": _MI + " SELECT memory_id, array_to_string(CASE WHEN memory_id % 4 = 0 THEN space_ids ELSE list_filter(['fr', 'long', 'en', 'fr'], lambda x: list_contains(space_ids, x)) END, ',') AS effective FROM memory_index",
     "confirmed_candidates": _MI + " SELECT memory_id, array_to_string(list_filter(space_ids, lambda x: x IN ('long', 'en')), ',') AS confirmed FROM memory_index",
