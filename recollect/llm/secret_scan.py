@@ -1,8 +1,8 @@
 """Secret scans: an Aho-Corasick keyword pass, anchored expressions at its hits, embedded checksums.
 
-One pass over each text finds all keywords. Only where a keyword stands is an expression tried, anchored
-there, so no expression ever scans a text. Tokens whose format carries a checksum are accepted only when
-it holds. Bare hexadecimal strings have no keyword; a single character-class run finds them.
+One pass over each text finds all keywords. Only where a keyword stands is its expression tried, anchored
+there. Tokens whose format carries a checksum are accepted only when
+it holds. Bare hexadecimal strings have no keyword; one expression of a character class scans each text for them.
 
 Kinds, in the order in which spans at one start are listed:
 
