@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import band, cosine
 
-HI, LO, BACKFILL = 0.75, 0.45, 200
+AUTO, CANDIDATE, BACKFILL = 0.75, 0.45, 200
 
 
 def thresholds(env: Mapping[str, str] = os.environ) -> tuple[float, float]:
@@ -22,7 +22,11 @@ def thresholds(env: Mapping[str, str] = os.environ) -> tuple[float, float]:
         except ValueError:
             return default
 
-    return number("CLASSIFY_THRESHOLD_AUTO", HI), number("CLASSIFY_THRESHOLD_CANDIDATE", LO)
+    return number("CLASSIFY_THRESHOLD_AUTO", AUTO), number("CLASSIFY_THRESHOLD_CANDIDATE", CANDIDATE)
+
+
+#: Thresholds of operators that are given none, as the environment has them when this is loaded.
+HI, LO = thresholds()
 
 
 def scores(items: DataFrame, spaces: DataFrame, hi: float = HI, lo: float = LO) -> DataFrame:

@@ -29,11 +29,13 @@ def areas(memories: DataFrame, spaces: DataFrame) -> DataFrame:
 
 
 def relative_sizes(areas: DataFrame) -> DataFrame:
-    """Card size and height relative to the largest count, and the palette place by rank."""
-    top = areas.agg(F.greatest(F.coalesce(F.max("count"), F.lit(0)), F.lit(1)).alias("top"))
-    size = F.greatest(F.lit(0.5), F.col("count") / F.col("top"))
-    rank = F.row_number().over(Window.orderBy(F.desc("count"), "id"))  # one row a label
-    return areas.crossJoin(F.broadcast(top)).select("id", "count", size.alias("size"), round_half_up(CARD_MIN + size * (CARD_MAX - CARD_MIN)).cast("int").alias("height"), ((rank - 1) % PALETTE_SIZE).alias("color"))
+    """Card size and height relative to the largest count, and the palette place by rank; among an owner's labels where ``areas`` has a ``user_id``."""
+    owner = [c for c in ("user_id",) if c in areas.columns]
+    count = F.coalesce("count", F.lit(0))
+    top = F.greatest(F.max(count).over(Window.partitionBy(*owner)), F.lit(1))
+    size = F.greatest(F.lit(0.5), F.col("count") / top)
+    rank = F.row_number().over(Window.partitionBy(*owner).orderBy(F.desc("count"), "id"))  # without owners one row a label of one owner
+    return areas.select(*owner, "id", "count", size.alias("size"), round_half_up(CARD_MIN + size * (CARD_MAX - CARD_MIN)).cast("int").alias("height"), ((rank - 1) % PALETTE_SIZE).alias("color"))
 
 
 def since(as_of: Column, span: str) -> tuple[Column, str]:

@@ -174,6 +174,12 @@ def test_leads(spark):
     assert len(leads.sheet_rows(leads.normalized(spark.createDataFrame(rows, cols), moment(NOW))).columns) == 13
 
 
+def test_relative_sizes_by_owner(spark):
+    rows = [(1, "a", 4), (1, "b", 1), (2, "a", 1), (2, "b", 1), (None, "a", 3)]
+    got = growth.relative_sizes(spark.createDataFrame(rows, "user_id long, id string, count long")).collect()
+    assert sorted(((r["user_id"] or 0), r["id"], r["size"], r["color"]) for r in got) == [(0, "a", 1.0, 0), (1, "a", 1.0, 0), (1, "b", 0.5, 1), (2, "a", 1.0, 0), (2, "b", 1.0, 1)]
+
+
 def test_revoke_and_grant(spark):
     c = spark.createDataFrame([(1, 7, False), (2, 8, False)], "id long, user_id long, revoked boolean")
     s = spark.createDataFrame([(5, 7), (6, 8)], "space_id long, user_id long")
