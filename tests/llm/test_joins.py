@@ -208,12 +208,14 @@ def test_block_sums(spark):
     items.basis = rng.normal(size=(16, 5)).astype(np.float32)
     lens = np.array([3, 0, 64, 40, 1])
     at = rng.integers(-1, 16, lens.sum())
-    sums, begin = decontamination.block_sums(items, at, lens, 8)
-    text, start, end = decontamination.passages(lens, 32, 8)
-    first = np.cumsum(lens) - lens
-    for t, s, e in zip(text, start, end, strict=True):
-        b = begin[t] + (s - first[t]) // 8
-        assert np.allclose(sums[b : b + 4].sum(0), sum((items.basis[w] for w in at[s:e] if w >= 0), np.zeros(5)), atol=1e-4)
+    first, half = np.cumsum(lens) - lens, None
+    for stride in (8, 16, 32):
+        sums, begin = decontamination.block_sums(items, at, lens, stride, half)
+        assert np.allclose(sums, decontamination.block_sums(items, at, lens, stride)[0], atol=1e-4)
+        for t, s, e in zip(*decontamination.passages(lens, 4 * stride, stride), strict=True):
+            b = begin[t] + (s - first[t]) // stride
+            assert np.allclose(sums[b : b + 4].sum(0), sum((items.basis[w] for w in at[s:e] if w >= 0), np.zeros(5)), atol=1e-4)
+        half = sums
 
 
 def test_lcs():
