@@ -95,6 +95,30 @@ def test_default_deny(spark):
         search.top_k(req, items, 0)
 
 
+def most_rows(plan) -> int:
+    """The most rows that a node of an executed plan has put out."""
+    name = plan.getClass().getSimpleName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlanExec" else [plan.plan()] if name.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(most_rows, inner)])
+
+
+def test_same_questions_are_ranked_once(spark):
+    items = spark.range(300).selectExpr("id", "1L AS user_id", "array(IF(id % 2 = 0, 'a', 'b')) AS space_ids", "array(1.0D, id / 100D) AS vector")
+    req = spark.range(200).selectExpr("id AS request_id", "1L AS user_id", "array(0.0D, 1.0D) AS vector", "IF(id % 2 = 0, array('a', 'b'), array('b', 'a', 'b')) AS effective")
+    hits = search.top_k(req, items, 2)
+    got = {(r["request_id"], r["id"], r["rank"]) for r in hits.collect()}
+    assert got == {(q, i, n) for q in range(200) for i, n in ((299, 1), (298, 2))}
+    assert most_rows(hits._jdf.queryExecution().executedPlan()) <= 600  # not 200 * 300
+
+
+def test_top_k_without_own_item(spark):
+    items = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [1.0, 0.1]), (3, 1, [1.0, 0.2])], "id long, user_id long, vector array<double>")
+    req = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [1.0, 0.0]), (9, 1, [1.0, 0.0]), (9, 1, [1.0, 0.0])], "request_id long, user_id long, vector array<double>")
+    got = sorted((r["request_id"], r["rank"], r["id"]) for r in search.top_k(req, items, 2, same_id=False).collect())
+    assert got == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (9, 1, 1), (9, 2, 1)]  # a request that is there twice has its hits twice
+
+
 def test_assign_order(spark):
     items = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, [0.0, 0.0])], "id long, user_id long, vector array<double>")
     spaces = spark.createDataFrame([(1, 1, [0.7, 0.714]), (2, 1, [1.0, 0.1]), (3, 2, [1.0, 0.0]), (4, 1, [0.5, 0.87])], "space_id long, user_id long, description_vector array<double>")
