@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, crc_mod, mix, steps, table, word_hashes
+from .common import Scratch, crc_mod, give_back, mix, steps, table, word_hashes
 from .packed import bucket_edges, pack, pack_sorted, unpack, unpack_sorted
 
 #: Tokens of a segment, and keys of a bucket, about. Larger segments ask for fewer keys and take more memory.
@@ -90,16 +90,38 @@ def segments(df: DataFrame) -> DataFrame:
     return df.select("id", "text", "held").mapInArrow(run, f"seg long, ids array<{kind}>, lens binary, train binary, vocab binary, tokens binary, n long, v long")
 
 
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, where each comes first, and each value's place among them: ``np.unique`` with fewer arrays at a time."""
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    codes, first = codes[new], order[new].astype(np.int32)
+    back = np.empty(len(order), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    return codes, first, back
+
+
+def freed(batches: Iterator[pa.RecordBatch], one) -> Iterator[pa.RecordBatch]:
+    """What ``one(row, schema)`` yields for each row of some batches. A row's arrays are gone before the next row's are made, and an idle worker keeps none."""
+    for b in batches:
+        for r in b.to_pylist():
+            yield from one(r, b.schema)
+            r = None
+            give_back()
+
+
 class Segment:
     """A segment's n-grams up to an order. Per order k: distinct keys in their order (``keys``), each token's n-gram (``back``), and of
     each n-gram its training count (``times``), its history (``history``: a place in ``names``) and what is left of it
-    without its first word (``shorter``: an n-gram of order k - 1). Histories of order k are the n-grams of order k - 1, and a start mark."""
+    without its first word (``shorter``: an n-gram of order k - 1). Histories of order k are the n-grams of order k - 1, and a start mark.
+    Places are 32-bit, as a segment has fewer tokens than that."""
 
     def __init__(self, row: dict, order: int):
         self.lens = unpack(row["lens"], np.int32).astype(np.int64)
         self.starts = np.cumsum(self.lens) - self.lens
         self.train = np.repeat(unpack(row["train"], np.uint8).astype(bool), self.lens)
-        self.keys, self.back = {1: unpack_sorted(row["vocab"])}, {1: unpack(row["tokens"], np.uint32).astype(np.int64)}
+        self.keys, self.back = {1: unpack_sorted(row["vocab"])}, {1: unpack(row["tokens"], np.int32)}
         self.times, self.history, self.shorter, self.names = {1: self.counted(1)}, {}, {}, {}
         for k in range(2, order + 1):
             self.extend(k)
@@ -110,15 +132,20 @@ class Segment:
     def extend(self, k: int) -> None:
         vocab, tokens, last = self.keys[1], self.back[1], self.back[k - 1]
         names = np.append(self.keys[k - 1], START)
-        before = np.concatenate([[0], last[:-1]])
-        before[self.starts] = len(names) - 1
-        codes, first, back = np.unique(before * len(vocab) + tokens, return_index=True, return_inverse=True)
-        history, word = codes // len(vocab), codes % len(vocab)
+        codes = np.zeros(len(last), np.int64)
+        codes[1:] = last[:-1]
+        codes[self.starts] = len(names) - 1
+        codes *= len(vocab)
+        codes += tokens
+        codes, first, back = distinct(codes)
+        history, word = (codes // len(vocab)).astype(np.int32), (codes % len(vocab)).astype(np.int32)
+        del codes
         with np.errstate(over="ignore"):
             keys = mix(mix(names[history]) * np.uint64(0x9E3779B97F4A7C15) + vocab[word])
+        del word
         order = np.argsort(keys, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         self.keys[k], self.back[k], self.names[k] = keys[order], place[back], names
         self.history[k], self.shorter[k] = history[order], last[first[order]]
         self.times[k] = self.counted(k)
@@ -153,6 +180,8 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, lis
             rows.append(r)
     if rows:
         yield *key, rows
+    rows = b = r = None
+    give_back()
 
 
 def merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,47 +303,41 @@ def fit_and_score(docs: DataFrame, held, scratch: Scratch, id_col: str = "doc_id
     total = segs.agg(F.sum("v"), F.sum("n")).first()
     buckets = {k: max(1, -(-(total[k > 1] or 0) // BUCKET)) for k in range(1, order + 1)}
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                s = Segment(r, 1)
-                for k in buckets:
-                    if k > 1:
-                        s.extend(k)
-                    yield ask(k, r["seg"], buckets[k], s.keys[k], s.times[k])
+    def count(r: dict, _: pa.Schema) -> Iterator[pa.RecordBatch]:
+        s = Segment(r, 1)
+        for k in buckets:
+            if k > 1:
+                s.extend(k)
+            yield ask(k, r["seg"], buckets[k], s.keys[k], s.times[k])
 
-    ngrams = scratch.keep(exchanged(segs.select(*PARTS).mapInArrow(count, ASK), totals), "ngrams", by=("part", "kind"))
+    ngrams = scratch.keep(exchanged(segs.select(*PARTS).mapInArrow(lambda x: freed(x, count), ASK), totals), "ngrams", by=("part", "kind"))
     p = Params(stats_of(ngrams, order))
 
     def masses(k: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r in b.to_pylist():
-                    s = Segment(r, k)
-                    c, own = joined(r[f"c{k}"], "a", np.int64), joined(r[f"c{k}"], "b", np.uint8) > 0
-                    lower = p.probability(s, r, k - 1)[s.shorter[k][own]]
-                    sums = [np.bincount(s.history[k][own], weights=x, minlength=len(s.names[k])) for x in (c[own], p.discounted(c[own], k), lower)]
-                    at = s.by_name(k)
-                    yield ask(k, r["seg"], buckets[k - 1], s.names[k][at], *(x[at] for x in sums))
-
-        return run
+        def one(r: dict, _: pa.Schema) -> Iterator[pa.RecordBatch]:
+            s = Segment(r, k)
+            c, own = joined(r[f"c{k}"], "a", np.int64), joined(r[f"c{k}"], "b", np.uint8) > 0
+            lower = p.probability(s, r, k - 1)[s.shorter[k][own]]
+            sums = [np.bincount(s.history[k][own], weights=x, minlength=len(s.names[k])) for x in (c[own], p.discounted(c[own], k), lower)]
+            at = s.by_name(k)
+            yield ask(k, r["seg"], buckets[k - 1], s.names[k][at], *(x[at] for x in sums))
+
+        return lambda batches: freed(batches, one)
 
     backoffs: dict[int, DataFrame] = {}
     for k in range(2, order + 1):
         asks = answered(segs.select(*PARTS), ngrams, k, backoffs).mapInArrow(masses(k), ASK)
         backoffs[k] = scratch.keep(exchanged(asks, weights), f"backoff{k}", by=("part", "kind"))
 
-    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                s = Segment(r, order)
-                score = np.log10(p.probability(s, r, order))
-                c = joined(r["c1"], "a", np.int64)
-                base = np.log10((c + 0.5) / (p.n + 0.5 * (p.v + 1)))
-                sums = [np.add.reduceat(x, s.starts) for x in ((c > 0)[s.back[1]].astype(np.int64), base[s.back[1]], score[s.back[order]])]
-                yield pa.RecordBatch.from_arrays([pa.array(r["ids"], b.schema.field("ids").type.value_type), pa.array(~s.train[s.starts]), pa.array(s.lens), pa.array(sums[0]), pa.array(np.full(len(s.lens), int(p.n))), pa.array(sums[1]), pa.array(sums[2])], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    out = answered(segs.select("ids", *PARTS), ngrams, order, backoffs).mapInArrow(evaluate, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def evaluate(r: dict, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        s = Segment(r, order)
+        score = np.log10(p.probability(s, r, order))
+        c = joined(r["c1"], "a", np.int64)
+        base = np.log10((c + 0.5) / (p.n + 0.5 * (p.v + 1)))
+        sums = [np.add.reduceat(x, s.starts) for x in ((c > 0)[s.back[1]].astype(np.int64), base[s.back[1]], score[s.back[order]])]
+        yield pa.RecordBatch.from_arrays([pa.array(r["ids"], schema.field("ids").type.value_type), pa.array(~s.train[s.starts]), pa.array(s.lens), pa.array(sums[0]), pa.array(np.full(len(s.lens), int(p.n))), pa.array(sums[1]), pa.array(sums[2])], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    out = answered(segs.select("ids", *PARTS), ngrams, order, backoffs).mapInArrow(lambda x: freed(x, evaluate), f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     known = [t.where("part = 'model'").select("kind", "bucket", "keys", "a", "b") for t in backoffs.values()]
     return out.withColumnRenamed("id", id_col), {"ngrams": ngrams.where("part = 'model'").select("kind", "bucket", "keys", "a"), "backoff": functools.reduce(DataFrame.unionAll, known)}
 

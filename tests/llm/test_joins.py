@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -316,3 +317,19 @@ def test_discounts_fall_back():
     assert (katz_lm.discounts(np.zeros(6)) > 0).all() and (katz_lm.discounts(np.array([5, 0, 3, 0, 0, 1]))[1:] < 1).all()
     d = katz_lm.discounts(np.array([1000, 400, 200, 110, 70, 45]))
     assert (d[1:] > 0).all() and (d[1:] < 1).all() and d[0] == 1
+
+
+def test_katz_segment_is_lean():
+    rng = np.random.default_rng(3)
+    tokens = rng.zipf(1.3, 300_000) % 50_000
+    vocab, back = np.unique(tokens, return_inverse=True)
+    n = np.full(300, 1000, np.int32)
+    row = {"lens": katz_lm.pack(n), "train": katz_lm.pack(np.ones(300, np.uint8)), "vocab": katz_lm.pack_sorted(vocab.astype(np.uint64) * np.uint64(1 << 40)), "tokens": katz_lm.pack(back.astype(np.uint32))}
+    katz_lm.Segment(row, 2)
+    tracemalloc.start()
+    s = katz_lm.Segment(row, 2)
+    kept, most = (x / len(tokens) for x in tracemalloc.get_traced_memory())
+    tracemalloc.stop()
+    assert kept < 22 and most < 55  # bytes a token; with 64-bit places and np.unique 28 and 72
+    pairs = set(zip(np.where(np.arange(len(back)) % 1000, np.roll(back, 1), -1).tolist(), back.tolist(), strict=True))
+    assert len(s.keys[2]) == len(pairs) and s.times[2].sum() == len(tokens)
