@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -14,6 +14,8 @@ from ..plugins import extractor
 
 MAX_CHARS, OVERLAP, MAX_CHUNKS = 4000, 400, 200
 TRIM = SPACE
+#: Rows and bytes of an Arrow batch of whole texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def soft_break(piece: str) -> int:
@@ -44,6 +46,14 @@ def chunks(text: str, size: int = MAX_CHARS, overlap: int = OVERLAP, most: int =
     return out
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's limits on Arrow batches: a Python worker holds a batch's texts, its pieces and copies of both. Lower limits stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
@@ -53,8 +63,9 @@ def _chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def chunk(df: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per piece with its place; texts that are empty after normalising give none.
 
-    One pass: each text is normalised once, and only texts beyond one piece go through Python.
+    One pass: each text is normalised once, and only texts beyond one piece go through Python, in batches of bounded size.
     """
+    bounded_batches(df.sparkSession)
     norm = F.col("_norm")
     rows = df.select("*", F.explode(F.array(normalize_text(F.col(text_col)))).alias("_norm")).where(non_empty(norm))  # a generated column is not computed anew where it is named
     pieces = F.when(F.length(norm) <= MAX_CHARS, F.array(norm)).otherwise(_chunks(F.when(F.length(norm) > MAX_CHARS, norm)))

@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -238,3 +239,24 @@ def test_sheet_appends(spark, tmp_path):
         leads.append_sheet(rows, f"{tmp_path}/sheet")
     got = spark.read.option("header", True).csv(f"{tmp_path}/sheet")
     assert got.columns == columns and {r[0] for r in got.collect()} == {columns[0] + "0", columns[0] + "1"}
+
+
+def test_chunk_batches_are_bounded(spark, monkeypatch):
+    """What a Python worker holds does not grow with the table."""
+
+    @F.pandas_udf("array<string>")
+    def seen(x: pd.Series) -> pd.Series:
+        return pd.Series([[f"{len(x)},{sum(map(len, x.dropna()))}"]] * len(x))
+
+    monkeypatch.setattr(ingest, "_chunks", seen)
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], "10000")
+        spark.conf.unset(keys[1])
+        for n, size in ((3000, 5000), (600, 40_000)):
+            got = [tuple(map(int, r["chunk"].split(","))) for r in ingest.chunk(spark.range(n).coalesce(1).select(F.repeat(F.lit("x"), size).alias("text"))).collect()]
+            assert len(got) == n and max(r for r, _ in got) <= ingest.BATCH_ROWS and max(b for _, b in got) <= 2 * ingest.BATCH_BYTES
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
