@@ -378,3 +378,16 @@ def test_pipeline_odd(spark, tmp_path):
     for name, schema in (("documents", df.schema), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/{name}.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_known_pieces_and_plain_normalising_cost_nothing():
+    """Pieces of a large vocabulary stay known; the short way to a normalised text gives what the library's normaliser gives."""
+    from recollect.llm import sentencepiece_codec as sc
+
+    codec = sc.Codec(sc.model_bytes())
+    codec.kept = {f"{i}": b"" for i in range(300_000)}
+    codec.encode(["a text"])
+    assert "299999" in codec.kept
+    for t in [*sc.HARD, " ", f"{sc.MARK}{sc.MARK} x", "\n "]:
+        full = codec.fast.normalizer.normalize_str(t).replace(sc.MARK, " ")
+        assert codec.normalised(t) == (full[1:] if codec.model.dummy_prefix and full else full)
