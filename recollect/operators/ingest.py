@@ -27,13 +27,13 @@ def soft_break(piece: str) -> int:
     return 0
 
 
-def chunks(text: str, size: int = MAX_CHARS, overlap: int = OVERLAP, most: int = MAX_CHUNKS) -> list[str]:
-    """Pieces of a normalised text; pieces overlap after a soft break only."""
+def chunks(text: str, size: int = MAX_CHARS, overlap: int = OVERLAP, most: int | None = MAX_CHUNKS) -> list[str]:
+    """Pieces of a normalised text, the first ``most`` (None: all); pieces overlap after a soft break only."""
     if len(text) <= size:
         return [text] if text else []
     out: list[str] = []
     start = 0
-    while start < len(text) and len(out) < most:
+    while start < len(text) and (most is None or len(out) < most):
         end = min(start + size, len(text))
         stop = end if end == len(text) else start + soft_break(text[start:end]) or end
         if end < len(text) and stop == start:
@@ -60,15 +60,22 @@ def _chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda t: chunks(t) if t else [])
 
 
-def chunk(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row per piece with its place; texts that are empty after normalising give none.
+@F.pandas_udf(ArrayType(StringType()))
+def _all_chunks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(lambda t: chunks(t, most=None) if t else [])
+
+
+def chunk(df: DataFrame, text_col: str = "text", whole: bool = False) -> DataFrame:
+    """One row per piece with its place; texts that are empty after normalising give none. ``whole``: texts beyond ``MAX_CHUNKS`` pieces are cut up to their end.
 
     One pass: each text is normalised once, and only texts beyond one piece go through Python, in batches of bounded size.
     """
     bounded_batches(df.sparkSession)
     norm = F.col("_norm")
     rows = df.select("*", F.explode(F.array(normalize_text(F.col(text_col)))).alias("_norm")).where(non_empty(norm))  # a generated column is not computed anew where it is named
-    pieces = F.when(F.length(norm) <= MAX_CHARS, F.array(norm)).otherwise(_chunks(F.when(F.length(norm) > MAX_CHARS, norm)))
+    cut = _all_chunks if whole else _chunks
+    pieces = F.when(F.length(norm) <= MAX_CHARS, F.array(norm)).otherwise(cut(F.when(F.length(norm) > MAX_CHARS, norm)))
     return rows.select(*df.columns, F.posexplode(pieces).alias("chunk_no", "chunk"))
 
 

@@ -28,8 +28,8 @@ def _marked(s, d):
     return load(s, d, "documents").select("doc_id", F.concat(F.lit(" \t"), F.regexp_replace("text", "\n", F.when(F.col("doc_id") % 3 == 0, "\r\n").when(F.col("doc_id") % 3 == 1, "\n\n\n\n").otherwise("\n")), F.lit("\n ")).alias("text"))
 
 
-def _chunked(s, d):
-    return ing.chunk(_marked(s, d))
+def _chunked(s, d, whole=False):
+    return ing.chunk(_marked(s, d), whole=whole)
 
 
 def _tries(s, d):
@@ -53,7 +53,7 @@ def _export(s, d):
 QUERIES = {
     "normalize_text": lambda s, d: _marked(s, d).select("doc_id", t.normalize_text(F.col("text")).alias("text")),
     "chunk_documents": lambda s, d: _chunked(s, d).select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.md5(F.encode("chunk", "UTF-8")).alias("digest")),
-    "chunk_stats": lambda s, d: _chunked(s, d).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars")),
+    "chunk_stats": lambda s, d: _chunked(s, d, whole=True).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk")).alias("chars")),
     "import_conversations": lambda s, d: im.from_turns(dom.conversations(s, d)),
     "import_export_json": _export,
     "last_user_message": lambda s, d: im.last_user_message(dom.conversations(s, d)),
@@ -83,14 +83,14 @@ WS = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ' || chr(160) || c
 NORMAL = f"trim(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), {WS}) AS t"
 _NORM = f"""marked AS (SELECT doc_id, ' ' || chr(9) || replace(text, chr(10), CASE doc_id % 3 WHEN 0 THEN chr(13) || chr(10) WHEN 1 THEN repeat(chr(10), 4) ELSE chr(10) END) || chr(10) || ' ' AS text FROM documents),
 norm AS (SELECT doc_id, {NORMAL} FROM marked)"""
-def chunks_sql(norm: str) -> str:
-    """Where the chunker's loop starts and stops each piece of norm(doc_id, t), as a recursive query."""
+def chunks_sql(norm: str, most: int | None = 200) -> str:
+    """Where the chunker's loop starts and stops each piece of norm(doc_id, t), the first ``most`` or all, as a recursive query."""
     return f"""WITH RECURSIVE {norm}, texts AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n FROM norm WHERE t <> ''),
 cut(doc_id, t, n, a, e, no) AS (SELECT doc_id, t, n, 0::BIGINT, NULL::BIGINT, 0::BIGINT FROM texts UNION ALL
   SELECT doc_id, t, n, CASE WHEN stop = n THEN n WHEN stop = hard THEN stop ELSE greatest(stop - 400, a + 1) END, stop, no + 1 FROM (
     SELECT *, CASE WHEN n <= 4000 OR hard = n THEN n WHEN p2 > 2000 THEN a + p2 WHEN p1 > 2000 THEN a + p1 ELSE hard END AS stop FROM (
       SELECT *, CASE WHEN contains(s, chr(10) || chr(10)) THEN length(s) - 2 - (strpos(reverse(s), chr(10) || chr(10)) - 1) ELSE -1 END AS p2, CASE WHEN contains(s, chr(10)) THEN length(s) - 1 - (strpos(reverse(s), chr(10)) - 1) ELSE -1 END AS p1 FROM (
-        SELECT doc_id, t, n, a, no, least(a + 4000, n) AS hard, substr(t, a + 1, least(a + 4000, n) - a) AS s FROM cut WHERE a < n AND no < 200)))),
+        SELECT doc_id, t, n, a, no, least(a + 4000, n) AS hard, substr(t, a + 1, least(a + 4000, n) - a) AS s FROM cut WHERE a < n{'' if most is None else f' AND no < {most}'})))),
 pieces AS (SELECT c.doc_id, c.no - 1 AS k, trim(substr(c.t, p.a + 1, c.e - p.a), {WS}) AS chunk FROM cut c JOIN cut p ON p.doc_id = c.doc_id AND p.no = c.no - 1 WHERE c.no > 0),
 chunked AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_no, chunk FROM pieces WHERE chunk <> '')
 """
@@ -113,7 +113,7 @@ ORACLE_SQL = {
     "event_lines": """SELECT 'data: {"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' || chr(10) || chr(10) AS value FROM nation""",
     "normalize_text": f"WITH {_NORM} SELECT doc_id, t AS text FROM norm",
     "chunk_documents": _CHUNKS + "SELECT doc_id, chunk_no, CAST(length(chunk) AS INTEGER) AS n_chars, md5(chunk) AS digest FROM chunked",
-    "chunk_stats": _CHUNKS + "SELECT doc_id, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS chars FROM chunked GROUP BY 1",
+    "chunk_stats": chunks_sql(_NORM, None) + "SELECT doc_id, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS chars FROM chunked GROUP BY 1",
     "import_conversations": f"WITH {_SAID}, w AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) AS text FROM lines GROUP BY 1) SELECT conv_id, substr(text, 1, 8000) AS text FROM w WHERE length(text) > 20",
     "last_user_message": "SELECT conv_id, arg_max(text, turn) AS last_message FROM conversations WHERE role = 'user' GROUP BY 1",
     "merged_events": "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'a' ELSE 'b' END AS stream FROM events",
