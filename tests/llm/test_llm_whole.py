@@ -90,3 +90,30 @@ def test_short_items_exact(spark, tmp_path):
         finally:
             if name == "many":
                 decontamination.BLOCK = real
+
+
+def test_space_of_all_passages(spark, monkeypatch):
+    """The latent space is the one of every passage of every text, repeated ones too, and of the items: compared with the whole matrix."""
+    from recollect.llm.common import Scratch
+
+    d, rng = decontamination, random.Random(3)
+    monkeypatch.setattr(d, "RANK", 8)
+    monkeypatch.setattr(d, "EXTRA", 100)
+    monkeypatch.setattr(d, "SAMPLE_DOCS", 5)
+    monkeypatch.setattr(d, "COMMON", 10)
+    monkeypatch.setattr(d, "ROWS", 7)
+    monkeypatch.setattr(d, "WEIGHED_AT", 20_000)
+    bench = [" ".join(f"w{rng.randrange(40)}" for _ in range(12)) for _ in range(20)]
+    texts = [" ".join(f"w{min(int(rng.paretovariate(0.4)), 60)}" for _ in range(rng.randrange(0, 3000 if i % 50 == 0 else 90))) for i in range(400)] + ["w1 w2 w3"] * 50 + [None, "", "nothing known"]
+    items = next(d.fitted(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(5), spark.createDataFrame(list(enumerate(bench)), "item long, text string"), Scratch(spark, "t")))
+    rows = []
+    for t in texts:
+        at = items.index(d.words([t or ""])[0])
+        rows += [np.bincount(at[k : k + d.PASSAGE][at[k : k + d.PASSAGE] >= 0], minlength=len(items.vocab)) for k in range(0, len(at), d.PASSAGE)]
+    a = np.array(rows, float)
+    assert len(a) > 16 * d.SAMPLE_DOCS and np.allclose(items.idf, np.log((1 + len(a)) / (1 + (a > 0).sum(0))) + 0.1)
+    own = np.array([np.bincount(w, minlength=len(items.vocab)) for w in items.words], float)
+    a, own = d.unit(a * items.idf), d.ITEM_WEIGHT * d.unit(own * items.idf)
+    want = np.linalg.svd(np.concatenate([a, own]), full_matrices=False)[2][:8].T
+    got = items.basis / items.idf[:, None]
+    assert got.shape == want.shape and np.abs(got @ got.T - want @ want.T).max() < 1e-3
