@@ -117,3 +117,45 @@ def test_space_of_all_passages(spark, monkeypatch):
     want = np.linalg.svd(np.concatenate([a, own]), full_matrices=False)[2][:8].T
     got = items.basis / items.idf[:, None]
     assert got.shape == want.shape and np.abs(got @ got.T - want @ want.T).max() < 1e-3
+
+
+def test_toxicity_learns_from_every_label(spark, monkeypatch):
+    """A word that only the labelled rows beyond the first 2,000 of a class hold is learned; rows are gone over some at a time."""
+    from pyspark.sql import functions as F
+
+    from recollect.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "SEGMENT_WORDS", 8000)
+    rng, n = random.Random(4), 2700
+    order = [r["id"] for r in spark.range(0, 2 * n, 2).orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(order[2000:])
+    texts = {i: " ".join([f"n{rng.randrange(300)}" for _ in range(7)] + ([] if i % 2 else ["grue" if i in late else "vile"])) for i in range(2 * n)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in texts], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    for own in (late, set(order[:2000]), {i for i in texts if i % 2}):
+        assert np.mean([(r["score"] >= toxicity.CUT) == (r["doc_id"] % 2 == 0) for r in got if r["doc_id"] in own]) > 0.95
+
+
+def test_round_is_the_mean_of_its_tasks(spark):
+    """Tasks' changes are averaged by their rows, a bucket's over the tasks that changed it."""
+    from recollect.llm import toxicity
+
+    texts = [f"a{i % 7} b{i % 5} common only{i // 20}" for i in range(50)]
+    rows = [(i, i % 2, bytearray(c)) for i, c in enumerate(toxicity.coded(texts))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "id long, label int, x binary")
+    parts = [[tuple(r) for r in p] for p in df.rdd.glom().collect() if p]
+    assert len(parts) == 3
+    trainer = toxicity.Trainer((25, 25))
+    before, changes = trainer.state(), []
+    for p in parts:
+        own = toxicity.Trainer((25, 25))
+        p.sort(key=lambda r: str(r[0]))
+        own.learn(toxicity.uncoded([bytes(r[2]) for r in p])[0], np.array([r[1] for r in p]), np.random.default_rng([5, 0]), 2)
+        changes.append([x.astype(float) - y for x, y in zip(own.state(), before, strict=True)])
+    toxicity.one_round(df, trainer, 0, 2)
+    n = np.array([len(p) for p in parts], float)
+    touched = np.array([(c[0] != 0).any(1) for c in changes])
+    want = sum(k * c[0] for k, c in zip(n, changes, strict=True)) / np.maximum((n[:, None] * touched).sum(0), 1)[:, None]
+    after = trainer.state()
+    assert np.allclose(after[0] - before[0], want, atol=1e-5) and np.allclose(after[1] - before[1], sum(k * c[1] for k, c in zip(n, changes, strict=True)) / n.sum(), atol=1e-5)
