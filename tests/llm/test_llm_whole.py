@@ -159,3 +159,24 @@ def test_round_is_the_mean_of_its_tasks(spark):
     want = sum(k * c[0] for k, c in zip(n, changes, strict=True)) / np.maximum((n[:, None] * touched).sum(0), 1)[:, None]
     after = trainer.state()
     assert np.allclose(after[0] - before[0], want, atol=1e-5) and np.allclose(after[1] - before[1], sum(k * c[1] for k, c in zip(n, changes, strict=True)) / n.sum(), atol=1e-5)
+
+
+def test_pipeline_fits_on_all_texts(spark, tmp_path, monkeypatch):
+    """The pipeline's stages take no sample: neither of texts for the latent space nor of labels."""
+    import corpus_pipeline
+    from recollect.llm import common, toxicity
+
+    def fails(*a, **b):
+        raise AssertionError("a sample was taken")
+
+    monkeypatch.setattr(decontamination, "sampled", fails)
+    monkeypatch.setattr(common, "labelled_sample", fails)
+    monkeypatch.setattr(toxicity, "labelled_sample", fails, raising=False)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(40)) for _ in range(60)]
+    leak = "the capital of this country is a fine place to be in all year"
+    df = spark.createDataFrame([*enumerate(texts), (60, f"so {leak} he said")], "doc_id long, text string")
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, df, str(tmp_path)).columns == df.columns
+    assert {r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()} == set(range(60))
